@@ -18,8 +18,15 @@ BATCH_ROWS = 2000
 BATCH_BYTES = 16 << 20
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that go to Python workers, by rows and by bytes."""
+def ready_for_python(spark: SparkSession) -> None:
+    """Bound the Arrow batches that go to Python workers, by rows and by bytes, and let workers on this host import the package.
+
+    Executors on other hosts need the package on their Python path, as by ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -79,18 +86,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Cache(dict):
-    """token -> value, computed once by ``make``; emptied at ``limit`` entries, so memory is bounded."""
+_KEPT: dict = {}
 
-    def __init__(self, make, limit: int = 400_000):
-        super().__init__()
-        self.make, self.limit = make, limit
 
-    def __missing__(self, token):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[token] = self.make(token)
-        return value
+def per_worker(key, make):
+    """``make()``, kept from task to task in a Python worker for as long as no other key is asked for."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
 
 
 def byte_slices(data: bytes, size: int = 1 << 20):

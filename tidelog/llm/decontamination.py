@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import as_bytes, bounded_batches, byte_slices, written
+from tidelog.llm.common import as_bytes, ready_for_python, byte_slices, written
 
 WINDOW = 13
 BROADCAST_BYTES = 8 << 20
@@ -144,7 +144,7 @@ def _parts(benchmark: DataFrame, item_id: str, text: str, limit: int) -> tuple[D
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
     """All columns of ``docs`` with ``n_words``, ``n_hit``, ``spans`` (of word numbers, half-open) and ``items``."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    ready_for_python(spark)
     items, parts = _parts(benchmark, item_id, item_text, limit)
     out = docs.drop(*(f.name for f in FOUND))
     for k in range(parts):
@@ -198,7 +198,7 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without contaminated documents; from the others, hit spans are cut out (``n_chars`` follows the text)."""
-    bounded_batches(docs.sparkSession)
+    ready_for_python(docs.sparkSession)
     names, at = docs.columns, docs.columns.index(text)
     found = find_contamination(docs, benchmark, text).where(~contaminated()).select(*names, "spans")
 

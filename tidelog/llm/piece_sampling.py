@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import bounded_batches, mix64
+from tidelog.llm.common import ready_for_python, mix64
 from tidelog.llm.lattice import TOKEN, PieceModel, loaded, slices, tries
 
 THETA, SEED = 1.0, 42
@@ -141,7 +141,7 @@ def with_pieces(docs: DataFrame, proto: bytes, theta: float = THETA, seed: int =
 def decoded(docs: DataFrame, proto: bytes, pieces: str = "piece_ids", out: str = "decoded_text") -> DataFrame:
     """All columns of ``docs`` and ``out``, the text of the piece ids; null ids give null."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    ready_for_python(spark)
     shared = spark.sparkContext.broadcast(proto)
     docs = docs.drop(out)
     at = docs.columns.index(pieces)
@@ -157,7 +157,7 @@ def decoded(docs: DataFrame, proto: bytes, pieces: str = "piece_ids", out: str =
 
 def _mapped(docs, proto, theta, seed, key, text, out, kind):
     spark = docs.sparkSession
-    bounded_batches(spark)
+    ready_for_python(spark)
     shared = spark.sparkContext.broadcast(proto)
     docs = docs.drop(out)
     key_at, text_at = docs.columns.index(key), docs.columns.index(text)
@@ -175,7 +175,7 @@ def _mapped(docs, proto, theta, seed, key, text, out, kind):
 def piece_digest(docs: DataFrame, proto: bytes, theta: float = THETA, seed: int = SEED) -> DataFrame:
     """Per document: ``n_pieces``, ``ids_crc32`` of the ids as little-endian unsigned 32-bit integers, ``lossless`` (the decoded ids are the text)."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    ready_for_python(spark)
     shared = spark.sparkContext.broadcast(proto)
 
     def scan(batches):

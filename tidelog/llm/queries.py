@@ -8,8 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidelog.llm import decontamination, piece_sampling, simhash, token_counts, token_files
+from tidelog.llm import decontamination, language_id, license_scan, permutation_index, piece_sampling, simhash, token_counts, token_files, toxicity, url_filter
 
 PIECES, TOKENIZER = "piece_bpe_32k.model", "word_bpe_49k.json"
 
@@ -26,6 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: directories by source, thousand and hundred of the id."""
+    path = F.concat_ws("/", "source", F.expr("doc_id div 1000"), F.expr("doc_id div 100 % 10"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return license_scan.license_scan(files)
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,6 +54,18 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_sampling.piece_digest(table(spark, sf_dir, "documents"), vocabulary(PIECES))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_predictions(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary(PIECES))
 
@@ -63,9 +87,80 @@ from doc left join hits on hits.doc_id = doc.doc_id left join items on items.doc
 """
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _op1_sql() -> str:
+    lines = ", ".join(f"({i}, '{name}', '{text.lower()}')" for i, (name, text) in enumerate(license_scan.TEMPLATES))
+    return rf"""
+with template(tid, name, text) as (values {lines}),
+tt as (select tid, term, count(*) n from (select tid, unnest(regexp_extract_all(text, '[a-z0-9]+')) term from template) group by tid, term),
+vocabulary as (select distinct term from tt),
+line as (select row_number() over () lid, doc_id, regexp_extract_all(translate(line, '{_UPPER}', '{_LOWER}'), '[a-z0-9]+') w
+  from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line from documents)),
+total as (select count(*) n from line where len(w) > 0),
+lt as (select lid, term, count(*) n from (select lid, unnest(w) term from line) group by lid, term),
+seen as (select term, count(*) n from lt where term in (select term from vocabulary) group by term),
+idf as (select v.term, ln((1 + (select n from total)) / (1 + coalesce(seen.n, 0))) + 1 w from vocabulary v left join seen on seen.term = v.term),
+tlen as (select tid, sqrt(sum((n * w) * (n * w))) l from tt join idf using (term) group by tid),
+touched as (select distinct lid from lt where term in (select term from vocabulary)),
+llen as (select lid, sqrt(sum(power(n * coalesce(idf.w, ln(1 + (select n from total)) + 1), 2))) l from lt left join idf on idf.term = lt.term where lid in (select lid from touched) group by lid),
+cosine as (select lt.lid, template.name, round(sum(lt.n * idf.w * tt.n * idf.w) / (max(llen.l) * max(tlen.l)), 6) c
+  from lt join tt on tt.term = lt.term join idf on idf.term = lt.term join tlen on tlen.tid = tt.tid join llen on llen.lid = lt.lid join template on template.tid = tt.tid group by lt.lid, tt.tid, template.name),
+best as (select lid, name, c from cosine where c >= {license_scan.LEAST_COSINE} qualify row_number() over (partition by lid order by c desc, name) = 1),
+own as (select doc_id, name, c, sum(len(w)) over (partition by doc_id) inside from best join line using (lid) qualify row_number() over (partition by doc_id order by c desc, name) = 1),
+words as (select doc_id, sum(len(w)) words from line group by doc_id),
+file as (select d.doc_id, concat_ws('/', source, cast(d.doc_id // 1000 as varchar), cast(d.doc_id // 100 % 10 as varchar), d.doc_id || '.txt') path, own.name own_license, own.c cosine, inside >= words / 3.0 mostly
+  from documents d left join own on own.doc_id = d.doc_id left join words on words.doc_id = d.doc_id),
+placed as (select *, regexp_extract(path, '^(.*/)?') directory from file),
+source as (select directory source, arg_min(own_license, path) license from placed where own_license is not null and mostly group by directory),
+above as (select p.doc_id, arg_max(s.source, length(s.source)) up, arg_max(s.license, length(s.source)) license from placed p join source s on starts_with(p.directory, s.source) where p.own_license is null group by p.doc_id)
+select p.doc_id, p.path, p.directory, p.own_license, p.cosine, coalesce(p.own_license, above.license) license, above.up inherited_from,
+  case when p.own_license is not null then 'own' when above.license is not null then 'inherited' else 'none' end origin
+from placed p left join above on above.doc_id = p.doc_id
+"""
+
+
+def _op2_sql() -> str:
+    rules = ", ".join(f"('{action}', '{text}', '{text.split('/')[0]}', '{text[text.index('/'):]}')" for action, text in url_filter.RULES)
+
+    def node(url: str) -> str:
+        rest = f"case when instr({url}, '://') > 0 then substr({url}, instr({url}, '://') + 3) else '' end"
+        return f"translate(regexp_extract({rest}, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') host, regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) path"
+
+    def judged(table: str) -> str:
+        return f"""select t.*, r.rule, r.action from {table} t left join lateral (select rule, action from rules
+  where (t.host = domain or ends_with(t.host, '.' || domain)) and starts_with(t.path, prefix) order by length(rule) desc, action, rule limit 1) r on true"""
+
+    return rf"""
+with recursive rules(action, rule, domain, prefix) as (values {rules}),
+tag as (select url, unnest(list_concat(
+    list_transform(regexp_extract_all(html, '({url_filter.CANONICAL_TAG})', 1), lambda t: regexp_extract(t, '{url_filter.CANONICAL_HREF}', 1)),
+    list_transform(regexp_extract_all(html, '({url_filter.REFRESH_TAG})', 1), lambda t: regexp_extract(t, '{url_filter.REFRESH_URL}', 1)))) link
+  from pages where instr(url, '://') > 0),
+target as (select url, replace(link, '&amp;', '&') link from tag),
+pair as (select url, case when instr(link, '://') > 0 then link when starts_with(link, '//') then 'http:' || link
+  when starts_with(link, '/') then regexp_extract(url, '^[^:]*://[^/?#]*') || link end target from target),
+a as (select url, target, {node('url')} from pair where target is not null),
+b as (select host || path x, target, {node('target')} from a),
+edge as (select x, host || path y from b union select host || path, x from b),
+reach as (select x root, x node from edge union select r.root, e.y from reach r join edge e on e.x = r.node),
+member as (select distinct root, node, regexp_extract(node, '^[^/]*') host, substr(node, length(regexp_extract(node, '^[^/]*')) + 1) path from reach),
+ruled as ({judged('member')}),
+blocked as (select root from ruled group by root having bool_or(coalesce(action, '') = 'block') and not bool_or(coalesce(action, '') = 'allow')),
+page as (select page_id, {node("coalesce(url, '')")} from pages),
+judged as ({judged('page')})
+select page_id, host, path, rule, coalesce(action, case when host || path in (select root from blocked) then 'block' else 'allow' end) verdict from judged
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash, op4_decontamination, op5_token_files, op6_sentencepiece, op10_token_counts)}
+    found = (
+        op1_license_scan, op2_url_filter, op3_simhash, op4_decontamination, op5_token_files,
+        op6_sentencepiece, op7_toxicity, op8_permutation_index, op9_language_id, op10_token_counts,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL}
+    return {"op1_license_scan": _op1_sql(), "op2_url_filter": _op2_sql(), "op4_decontamination": OP4_SQL}

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import as_bytes, bounded_batches, byte_slices, mix64, written
+from tidelog.llm.common import as_bytes, ready_for_python, byte_slices, mix64, written
 from tidelog.llm.components import connected_components
 
 SEED = 42
@@ -78,7 +78,7 @@ def fingerprint(text: bytes | None, size: int, bits: int, distinct: bool) -> byt
 
 def fingerprints(docs: DataFrame, size: int = 3, bits: int = 64, distinct: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``tie`` (a hash of the text) and ``fp`` of every row."""
-    bounded_batches(docs.sparkSession)
+    ready_for_python(docs.sparkSession)
 
     def scan(batches):
         for batch in batches:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import bounded_batches
+from tidelog.llm.common import ready_for_python
 from tidelog.llm.lattice import TOKEN, loaded, slices, tries
 
 KEPT_TOKENS = 400_000
@@ -69,7 +69,7 @@ def counter(proto: bytes):
 def token_counts(docs: DataFrame, proto: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_pretokens`` and ``n_tokens`` of every row of ``docs``; ``proto``: a sentencepiece model's bytes."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    ready_for_python(spark)
     shared = spark.sparkContext.broadcast(proto)
 
     def scan(batches):

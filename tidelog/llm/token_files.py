@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import as_bytes, bounded_batches, byte_slices, drop_path, shared_path
+from tidelog.llm.common import as_bytes, ready_for_python, byte_slices, drop_path, shared_path
 
 END_ID = 1
 KEPT_CHUNKS = 400_000
@@ -102,7 +102,7 @@ def write_token_files(docs: DataFrame, definition: bytes, path: str | None = Non
     Returns the list of shards with their bases; ``definition`` is the tokenizer's JSON.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    ready_for_python(spark)
     path = path or shared_path(spark, "tokens")
     shared = spark.sparkContext.broadcast(definition)
 
