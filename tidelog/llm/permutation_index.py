@@ -2,8 +2,8 @@
 
 A vector is represented by its nearest pivots in order; its place in a pivot's inverted file is its
 rank there. A query ranks rows by the footrule distance between its pivot order and theirs, read off the
-inverted files of its own pivots, and the ``RERANK_SHARE`` of rows nearest by footrule is ranked again by
-the exact inner product. Every row is indexed. Pivots are chosen on the driver from a sample of
+inverted files of its own pivots, and the ``RERANK_SHARE`` of rows nearest by footrule (at least
+``LEAST_RERANKED`` times ``k``) is ranked again by the exact inner product. Every row is indexed. Pivots are chosen on the driver from a sample of
 ``PIVOT_SAMPLE`` rows at most (by hash), far from one another, so that a large group of copies does
 not take them all. Rows of unequal length get one more coordinate that makes the order by inner product
 the order by angle.
@@ -31,9 +31,9 @@ from pyspark.sql import window as W
 
 from tidelog.llm.common import ready_for_python, written
 
-PIVOTS, NEAREST = 128, 32
+PIVOTS, NEAREST = 256, 64  # NEAREST must fit in a byte
 PIVOT_SAMPLE = 4096
-RERANK_SHARE = 0.25
+RERANK_SHARE, LEAST_RERANKED = 0.15, 10
 SHARD_ROWS, BLOCK_QUERIES = 4096, 512
 
 
@@ -65,25 +65,21 @@ def pivot_order(vectors: np.ndarray, pivots: np.ndarray, nearest: int) -> np.nda
 
 
 class Shard:
-    """The rows of a shard and their inverted files: for each pivot, rows and ranks."""
+    """The rows of a shard and their inverted files: for each pivot a posting per row, ``nearest`` less its rank (0: not posted)."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, order: np.ndarray, pivots: int):
         self.ids, self.vectors, self.nearest = ids, vectors, order.shape[1]
-        flat = order.ravel()
-        by = np.argsort(flat, kind="stable")
-        self.row, self.rank = by // self.nearest, (by % self.nearest).astype(np.int16)
-        self.start = np.searchsorted(flat[by], np.arange(pivots + 1))
+        self.posted = np.zeros((pivots, len(ids)), dtype=np.uint8)
+        rank = np.arange(self.nearest, 0, -1, dtype=np.uint8)
+        self.posted[order.ravel(), np.repeat(np.arange(len(ids)), self.nearest)] = np.tile(rank, len(ids))
+        self.rank = rank[:, None]
 
     def overlap(self, order: np.ndarray) -> np.ndarray:
         """Twice this less than a constant is the footrule distance, pivots beyond the nearest counting as ranked next."""
-        total = np.zeros(len(self.ids), dtype=np.int32)
-        for rank, pivot in enumerate(order):
-            own = slice(self.start[pivot], self.start[pivot + 1])
-            total[self.row[own]] += self.nearest - np.maximum(self.rank[own], rank)
-        return total
+        return np.minimum(self.posted[order], self.rank).sum(axis=0, dtype=np.int32)
 
     def search(self, query_id: int, query: np.ndarray, order: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
-        many = min(len(self.ids), max(4 * k, int(np.ceil(share * len(self.ids)))))
+        many = min(len(self.ids), max(LEAST_RERANKED * k, int(np.ceil(share * len(self.ids)))))
         total = self.overlap(order)
         found = np.argpartition(-total, many - 1)[:many] if many < len(self.ids) else np.arange(len(self.ids))
         found = found[self.ids[found] != query_id]
