@@ -11,14 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from tidelog.errors import InvalidArgument
 from tidelog.functions.keys import has_prefix, in_range
 from tidelog.plans.tombstones import bucket_of
 
 
-class InvalidArgument(ValueError):
-    """A parameter that the contract forbids."""
-
-
 def get(state: DataFrame, key) -> DataFrame:
     return state.where(F.col("key") == F.lit(key))
 

@@ -40,14 +40,14 @@ def folded(kept: DataFrame, merge: Merge | CustomMerge | None) -> DataFrame:
     if isinstance(merge, CustomMerge):
         return _custom(kept, merge)
     base = F.max(F.when((F.col("op") == "put") & (F.col("seq") == F.col("term")), F.col("value")))
-    put = F.max(F.col("op") == "put")
+    put = F.max(F.col("op").isin("put", "merge"))
     if merge is None:
         merges = F.max(F.col("op") == "merge")
         rows = kept.groupBy("cf", "key").agg(base.alias("value"), F.max("seq").alias("seq"), put.alias("put"), merges.alias("merges"))
         value = F.when(F.col("merges"), F.raise_error(F.lit("merge without a merge operator")).cast(kept.schema["value"].dataType)).otherwise(F.col("value"))
         return rows.select("cf", "key", value.alias("value"), "seq", "put")
     operand = F.when(F.col("op") == "merge", merge.load(F.col("value")))
-    rows = kept.groupBy("cf", "key").agg(base.alias("base"), merge.fold(F.col("seq"), operand).alias("operands"), F.max("seq").alias("seq"), F.max(F.col("op").isin("put", "merge")).alias("put"))
+    rows = kept.groupBy("cf", "key").agg(base.alias("base"), merge.fold(F.col("seq"), operand).alias("operands"), F.max("seq").alias("seq"), put.alias("put"))
     return rows.select("cf", "key", merge.store(merge.join(merge.load(F.col("base")), F.col("operands"))).alias("value"), "seq", "put")
 
 
