@@ -9,24 +9,22 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.session import importable
 
 BATCH_ROWS = 2000
 BATCH_BYTES = 16 << 20
 
 
 def ready_for_python(spark: SparkSession) -> None:
-    """Bound the Arrow batches that go to Python workers, by rows and by bytes, and let workers on this host import the package.
-
-    Executors on other hosts need the package on their Python path, as by ``--py-files``.
-    """
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    """Bound the Arrow batches that go to Python workers, by rows and by bytes, and let workers import the package."""
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -72,6 +70,20 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def shielded(docs: DataFrame, taken: Iterable[str]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns of the ``taken`` names renamed, and the columns that give ``docs`` back."""
+    wanted, used = {t.lower() for t in taken}, {c.lower() for c in docs.columns}
+    new: dict[str, str] = {}
+    for c in docs.columns:
+        if c.lower() in wanted:
+            number = len(new)
+            while f"__kept{number}" in used:
+                number += 1
+            used.add(f"__kept{number}")
+            new[c] = f"__kept{number}"
+    return docs.withColumnsRenamed(new), [F.col(f"`{new.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     return column.cast(pa.binary()).to_pylist()

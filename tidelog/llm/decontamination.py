@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import as_bytes, ready_for_python, byte_slices, written
+from tidelog.llm.common import as_bytes, byte_slices, ready_for_python, shielded, written
 
 WINDOW = 13
 BROADCAST_BYTES = 8 << 20
@@ -200,7 +200,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
     """``docs`` without contaminated documents; from the others, hit spans are cut out (``n_chars`` follows the text)."""
     ready_for_python(docs.sparkSession)
     names, at = docs.columns, docs.columns.index(text)
-    found = find_contamination(docs, benchmark, text).where(~contaminated()).select(*names, "spans")
+    inner, back = shielded(docs, ["__spans", *(f.name for f in FOUND)])
+    found = find_contamination(inner, benchmark, text).where(~contaminated()).select(*back, F.col("spans").alias("__found"))
 
     def cut(batches):
         for batch in batches:

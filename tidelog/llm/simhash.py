@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import as_bytes, ready_for_python, byte_slices, mix64, written
+from tidelog.llm.common import as_bytes, byte_slices, mix64, ready_for_python, shielded, written
 from tidelog.llm.components import connected_components
 
 SEED = 42
@@ -244,15 +244,15 @@ def without_near_copies(docs: DataFrame, size: int = 5, bits: int = 256, max_dis
     prints = written(fingerprints(docs, size, bits, distinct=True), "prints")
     found = near_components(prints, bits, max_distance, segments)
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
-    keep = prints.join(found, "fp").select(F.xxhash64("fp").alias("h"), "component_id", "fp", key.alias("k"))
-    roots = written(keep.select("component_id", "fp", "k"), "grouped")
-    best = written(roots.groupBy("component_id").agg(F.min("k").alias("k")).select("k.*"), "best")
+    grouped = prints.join(found, "fp").select("component_id", key.alias("k"))
+    best = grouped.groupBy("component_id").agg(F.min("k").alias("k")).select("k.*")
     rows = prints.groupBy(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "tie").count()
     best = best.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "none", "tie")
     best = written(best.join(rows, ["id", "none", "tie"]).withColumnsRenamed({"id": "__id", "none": "__none", "tie": "__tie", "count": "__rows"}), "kept")
-    own = [F.coalesce(docs["doc_id"].cast("long"), F.lit(0)) == best["__id"], docs["doc_id"].isNull() == best["__none"], F.xxhash64(docs["text"].cast("string")) == best["__tie"]]
-    kept = docs.join(best, own)
-    out = kept.where("__rows = 1").select(*docs.columns)
+    inner, back = shielded(docs, best.columns)
+    own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) == F.col("__id"), F.col("doc_id").isNull() == F.col("__none"), F.xxhash64(F.col("text").cast("string")) == F.col("__tie")]
+    kept = inner.join(best, own)
+    out = kept.where("__rows = 1").select(*back)
     if not best.where("__rows > 1").isEmpty():
-        out = out.unionByName(kept.where("__rows > 1").dropDuplicates(["__id", "__none", "__tie"]).select(*docs.columns))
+        out = out.unionByName(kept.where("__rows > 1").dropDuplicates(["__id", "__none", "__tie"]).select(*back))
     return out
