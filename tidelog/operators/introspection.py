@@ -11,10 +11,11 @@ from tidelog.functions.keys import in_range
 ENTRY_OVERHEAD = 13
 
 
-def memory_stats(log: DataFrame, start=None, end=None, cf: int = 1) -> DataFrame:
-    """Entries (every version, tombstones of points too) and bytes of a key range."""
+def memory_stats(log: DataFrame, start=None, end=None, cf: int = 1, raw: bool = False) -> DataFrame:
+    """Entries (every version, tombstones of points too) and bytes of a key range; ``raw``: values are bytes, else sized as text."""
     rows = log.where((F.col("cf") == cf) & (F.col("op") != "delete_range") & in_range(F.col("key"), start, end))
-    size = F.octet_length("key") + ENTRY_OVERHEAD + F.coalesce(F.octet_length(F.col("value").cast("string")), F.lit(0))
+    value = F.col("value") if raw else F.col("value").cast("string")
+    size = F.octet_length("key") + ENTRY_OVERHEAD + F.coalesce(F.octet_length(value), F.lit(0))
     return rows.agg(F.count("*").alias("entries"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"))
 
 

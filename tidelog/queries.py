@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.keys import in_range, padded
 from tidelog.functions.merges import APPEND, COUNTER
-from tidelog.operators import compaction, expiry, histories, introspection, reads, transactions
+from tidelog.operators import compaction, expiry, histories, introspection, reads, transactions, workloads
 from tidelog.plans.log import DEFAULT_CF, ORDERS_CF, conversation_log, event_log, order_log, table
 from tidelog.plans.resolve import live_points, resolve
 from tidelog.plans.tombstones import bucket_of, distinct_tombstones, sampled_bounds, skyline_table
@@ -561,6 +561,37 @@ def kv_latency_summary(spark, sf):
     return introspection.ranked_latency(rows, "v", "op")
 
 
+# --- generated workloads
+
+
+_ZIPF_ETA, _ZIPF_WHOLE = (1 - (2 / 1000) ** (1 - 0.99)) / (1 - workloads.zeta(2, 0.99) / workloads.zeta(1000, 0.99)), workloads.zeta(1000, 0.99)
+
+
+@query(f"""with x as (select (event_id * 7919 % 100003) / 100003.0::double u from events) select case when u * {_ZIPF_WHOLE!r} < 1 then 0 when u * {_ZIPF_WHOLE!r} < {1 + 0.5**0.99!r} then 1
+  else least(floor(1000 * power({_ZIPF_ETA!r}::double * u - {_ZIPF_ETA!r}::double + 1, {1 / (1 - 0.99)!r}::double)), 999) end::bigint rank, count(*) n from x group by 1""")
+def kv_zipf_ranks(spark, sf):
+    u = (F.col("event_id") * 7919 % 100003) / F.lit(100003.0)
+    return table(spark, sf, "events").groupBy(workloads.zipf(u, 1000).alias("rank")).agg(F.count("*").alias("n"))
+
+
+def _mix_sql() -> str:
+    parts = []
+    for mix, shares in workloads.MIXES.items():
+        upto, cases = 0, ""
+        for name, share in zip(workloads.OPERATIONS, shares, strict=True):
+            upto += share
+            cases += f" when p < {upto} then '{name}'"
+        parts.append(f"select '{mix}' mix, case{cases} end op, count(*) n from (select event_id * 7919 % 100 p from events) group by all")
+    return " union all ".join(parts)
+
+
+@query(_mix_sql())
+def kv_ycsb_workloads(spark, sf):
+    percent = F.col("event_id") * 7919 % 100
+    kinds = F.array(*(F.struct(F.lit(mix).alias("mix"), workloads.ycsb_operation(percent, mix).alias("op")) for mix in workloads.MIXES))
+    return table(spark, sf, "events").select(F.explode(kinds).alias("x")).groupBy("x.mix", "x.op").agg(F.count("*").alias("n"))
+
+
 # --- streaming
 
 
