@@ -21,8 +21,10 @@ empty result; other columns of the input are not read, whatever their names.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +34,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import as_bytes, ready_for_python, byte_slices, drop_path, shared_path
+from tidelog.llm.common import as_bytes, byte_slices, drop_path, per_worker, ready_for_python, shared_path
 
 END_ID = 1
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 800_000
+GROUP_WORDS = 1000
 NULL_ID = -(2**63)
 SHARDS = "shard int, path string, id_bytes int, n_docs long, n_tokens long, doc_base long, token_base long"
-_TOKENIZERS: dict[int, object] = {}
+#: Marks that are neither letters, digits nor white space.
+STOP = re.compile(rb"(?<=[a-z0-9])[.,](?=[ \n]|$)")  # one mark, a pre-token by itself
+MARKS = b".,;:!?\"'()[]{}*%$&#-_/|"
 
 
 class Encoder:
@@ -46,31 +51,68 @@ class Encoder:
 
     The tokenizer's rules never look across a space or line feed: white space is only removed, and
     neither composition nor lower-casing nor its pattern crosses it. So a text's ids are those of its
-    space-separated chunks, and a chunk is encoded once for as long as it is remembered.
+    space-separated chunks, and a chunk is encoded once for as long as it is remembered. Lower-casing
+    ASCII first changes nothing; nor does encoding a word and the ASCII punctuation after it apart, as
+    the pattern never joins letters or digits with it. Only special tokens are spelled otherwise, so
+    chunks with ``<|`` are encoded as they are. New words of letters are encoded many at once, and told apart
+    by the ids that end a word.
     """
 
     def __init__(self, definition: bytes):
         from tokenizers import Tokenizer
 
-        key = hash(definition)
-        if key not in _TOKENIZERS:
-            _TOKENIZERS[key] = Tokenizer.from_buffer(definition)
-        self.tokenizer = _TOKENIZERS[key]
+        self.tokenizer = Tokenizer.from_buffer(definition)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.word_end = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.word_end[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
+        self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         self.known: dict[bytes, bytes] = {b"": b""}
 
+    def _learn(self, chunks: set[bytes]) -> None:
+        """Remember the ids of all chunks."""
+        parts = {c: self._halves(c) for c in chunks}
+        new = {p for halves in parts.values() for p in halves}.difference(self.known)
+        words = [c for c in new if c.isalpha() or c.decode().isalpha()]
+        groups = [words[i : i + GROUP_WORDS] for i in range(0, len(words), GROUP_WORDS)]
+        for group, found in zip(groups, self._ids([b" ".join(g) for g in groups]), strict=True):
+            ids = np.array(found, dtype=self.dtype)
+            ends = np.flatnonzero(self.word_end[ids]) + 1
+            if len(ends) == len(group):  # each word is one pre-token, with one last id
+                data, cuts = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
+                self.known.update((c, data[i:j]) for c, i, j in zip(group, [0, *cuts], cuts, strict=False))
+                new.difference_update(group)
+        rest = list(new)
+        self.known.update((c, array(self.code, ids).tobytes()) for c, ids in zip(rest, self._ids(rest), strict=True))
+        self.known.update((c, self.known[a] + self.known[b]) for c, (a, b) in parts.items())
+
+    def _ids(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    @staticmethod
+    def _halves(chunk: bytes) -> tuple[bytes, bytes]:
+        word = chunk.rstrip(MARKS)
+        if b"<|" in chunk or len(word) in (0, len(chunk)):
+            return chunk, b""
+        last = chr(word[-1]) if word[-1] < 128 else word.decode()[-1]
+        if not last.isalnum() or last == "İ":  # a mark, also one that lower-casing makes, would join what follows
+            return chunk, b""
+        return word, chunk[len(word) :]
+
     def _chunks(self, chunks: list[bytes]) -> bytes:
-        new = list(set(chunks).difference(self.known))
+        new = set(chunks).difference(self.known)
         if new:
             if len(self.known) + len(new) > KEPT_CHUNKS:
                 self.known = {b"": b""}
-                new = list(set(chunks) - {b""})
-            found = self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
-            self.known.update((c, np.array(e.ids, dtype=self.dtype).tobytes()) for c, e in zip(new, found, strict=True))
+                new = set(chunks) - {b""}
+            self._learn(new)
         return b"".join(map(self.known.__getitem__, chunks))
 
     def encode(self, text: bytes | None) -> bytes:
-        return b"".join(self._chunks(part.replace(b"\n", b" ").split(b" ")) for part in byte_slices(text)) if text else b""
+        if not text:
+            return b""
+        if b"<|" not in text:
+            text = STOP.sub(rb" \g<0>", text.lower())
+        return b"".join(self._chunks(part.replace(b"\n", b" ").split(b" ")) for part in byte_slices(text))
 
 
 def _local(path: str) -> str | None:
@@ -117,7 +159,7 @@ def write_token_files(docs: DataFrame, definition: bytes, path: str | None = Non
             if not batch.num_rows:
                 continue
             if name is None:
-                encoder = Encoder(shared.value)
+                encoder = per_worker(("encoder", hash(shared.value)), lambda: Encoder(shared.value))
                 tail = np.array([end_id], dtype=encoder.dtype).tobytes()
                 name = f"{path}/{part:06d}-{uuid.uuid4().hex}"
                 ids, keys = _open(f"{name}.bin"), _open(f"{name}.doc")
