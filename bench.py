@@ -10,6 +10,7 @@ import time
 from pyspark.sql import SparkSession
 
 from tidelog.queries import CATALOGUE
+from tidelog.session import tuned
 
 HEADLINE = [
     "kv_scan_latest", "kv_snapshot_scan", "kv_point_get", "kv_multi_get", "kv_range_scan", "kv_prefix_scan", "kv_scan_page", "kv_seek_ceil", "kv_next_prev",
@@ -25,7 +26,7 @@ def main() -> None:
         SparkSession.builder.master(f"local[{cpus}]").appName("bench").config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "8g")).getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    tuned(spark).sparkContext.setLogLevel("ERROR")
     took = {}
     for name in HEADLINE:
         run, times = CATALOGUE[name][0], []

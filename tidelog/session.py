@@ -1,4 +1,4 @@
-"""What Python workers need of a session."""
+"""What the engine asks of a session."""
 
 from __future__ import annotations
 
@@ -6,6 +6,12 @@ import os
 
 from pyspark.sql import SparkSession
 
+#: Settings that the plans count on: run-time planning, and splitting a join's hot keys even where that adds a shuffle.
+SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -14,3 +20,11 @@ def importable(spark: SparkSession) -> None:
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """The session with :data:`SETTINGS` and importable by its workers."""
+    importable(spark)
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
+    return spark
