@@ -17,6 +17,7 @@ table gives an empty result; columns of the input with the names of new columns
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import ready_for_python, written
+from tidelog.llm.common import per_worker, ready_for_python, written
 from tidelog.llm.lattice import slices
 
 SWITCH_PENALTY = 12.0
@@ -35,7 +36,7 @@ WORST_WORD = 8.0
 LEAST_SHARE = 2e-6
 #: A language uses a script if it has this share of the language's letters.
 SCRIPT_SHARE = 0.01
-KEPT_WORDS = 300_000
+KEPT_WORDS = 400_000
 UNKNOWN = "und"
 #: First code point of Unicode's script ranges (rough blocks), each up to the next.
 SCRIPTS = [
@@ -45,7 +46,10 @@ SCRIPTS = [
     (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "han"), (0xAC00, "hangul"),
     (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB50, "arabic"), (0xFE00, "other"), (0x20000, "han"),
 ]
+MARKS = ".,;:!?\"'()[]{}*%$&#-_/|"
 _STARTS = np.array([a for a, _ in SCRIPTS])
+#: Characters before it are of the first range.
+FIRST_OTHER = chr(SCRIPTS[1][0])
 
 
 def script(char: str) -> str:
@@ -53,12 +57,10 @@ def script(char: str) -> str:
 
 
 def letters(word: str) -> str:
-    return "".join(c for c in word.lower() if c.isalpha())
-
-
-def trigrams(word: str) -> list[str]:
-    padded = f"^{word}$"
-    return [padded[i : i + 3] for i in range(len(padded) - 2)]
+    low = word.lower()
+    if low.isalpha() or (low := low.strip(MARKS)).isalpha():
+        return low
+    return "".join(c for c in low if c.isalpha())
 
 
 def held_out(doc_id):
@@ -73,28 +75,41 @@ class LanguageModel:
         self.languages = sorted(grams, key=lambda x: (-sum(scripts[x].values()), x))
         totals = [sum(grams[x].values()) for x in self.languages]
         every = sorted(set().union(*grams.values())) if grams else []
-        self.grams: dict[str, np.ndarray] = {}
-        for gram in every:
-            row = np.array([np.log((grams[x][gram] + 0.5) / (t + 0.5 * len(every))) for x, t in zip(self.languages, totals, strict=True)])
-            self.grams[gram] = row - row.max()
+        # row 0 is for unknown trigrams
+        self.index = {gram: i + 1 for i, gram in enumerate(every)}
+        self.table = np.zeros((len(every) + 1, len(self.languages)))
+        for j, (x, t) in enumerate(zip(self.languages, totals, strict=True)):
+            self.table[1:, j] = np.log((np.array([grams[x][gram] for gram in every]) + 0.5) / (t + 0.5 * len(every)))
+        if self.languages:
+            self.table -= self.table.max(axis=1, keepdims=True)
+        self.key = uuid.uuid4().hex
         names = {s for _, s in SCRIPTS}
         self.uses = {s: np.array([scripts[x][s] >= SCRIPT_SHARE * sum(scripts[x].values()) for x in self.languages], dtype=bool) for s in names}
 
-    def word(self, token: str) -> tuple[np.ndarray, int]:
-        """Scores of a word by language, 0 for the best, and its number of letters."""
-        own = letters(token)
-        total = np.zeros(len(self.languages))
-        if not own:
-            return total, 0
-        if len(self.languages):
-            for gram in trigrams(own):
-                if (row := self.grams.get(gram)) is not None:
-                    total += row
-            candidates = self.uses[script(own[0])]
-            if candidates.any():
-                total[~candidates] = -np.inf
-            total = np.maximum(total - total.max(), -WORST_WORD)
-        return total, len(own)
+    def words(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of words by language, 0 for the best, and their numbers of letters."""
+        own = list(map(letters, tokens))
+        sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+        total = np.zeros((len(own), len(self.languages)))
+        spoken = np.flatnonzero(sizes)
+        if not len(spoken) or not self.languages:
+            return total, sizes
+        get, rows = self.index.get, []
+        for word in filter(None, own):
+            padded = f"^{word}$"
+            rows += [get(padded[i : i + 3], 0) for i in range(len(word))]
+        ends = np.cumsum(sizes[spoken])
+        total[spoken] = np.add.reduceat(self.table[rows], ends - sizes[spoken])
+        ranges: dict[str, list[int]] = {}
+        for i in spoken.tolist():
+            char = own[i][0]
+            ranges.setdefault("latin" if char < FIRST_OTHER else script(char), []).append(i)
+        for name, at in ranges.items():
+            candidates = self.uses[name]
+            if candidates.any() and not candidates.all():
+                total[np.ix_(at, ~candidates)] = -np.inf
+        total[spoken] = np.maximum(total[spoken] - total[spoken].max(axis=1, keepdims=True), -WORST_WORD)
+        return total, sizes
 
 
 class Labeller:
@@ -115,9 +130,11 @@ class Labeller:
             return self._rows(words)
         while len(self.place) + len(new) > len(self.sizes):
             self.scores, self.sizes = np.concatenate((self.scores, np.zeros_like(self.scores))), np.concatenate((self.sizes, np.zeros_like(self.sizes)))
-        for word in new:
-            at = self.place[word] = len(self.place)
-            self.scores[at], self.sizes[at] = self.model.word(word)
+        if new:
+            at = len(self.place)
+            fresh = list(new)
+            self.scores[at : at + len(fresh)], self.sizes[at : at + len(fresh)] = self.model.words(fresh)
+            self.place.update(zip(fresh, range(at, at + len(fresh)), strict=True))
         return np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
 
     def _words(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -215,13 +232,19 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
         def flush():
             kinds, langs, names, counts = [], [], [], []
             for language, seen in words.items():
-                grams, ranges = Counter(), Counter()
+                grams: dict[str, int] = {}
+                ranges: dict[str, int] = {}
                 for token, n in seen.items():
-                    if own := letters(token):
-                        for gram in trigrams(own):
-                            grams[gram] += n
-                        for char in own:
-                            ranges[script(char) if ord(char) > 0x36F else "latin"] += n
+                    own = letters(token)
+                    padded = f"^{own}$"
+                    for i in range(len(own)):
+                        gram = padded[i : i + 3]
+                        grams[gram] = grams.get(gram, 0) + n
+                    others = [c for c in own if c >= FIRST_OTHER] if not own.isascii() else ()
+                    ranges["latin"] = ranges.get("latin", 0) + n * (len(own) - len(others))
+                    for char in others:
+                        name = script(char)
+                        ranges[name] = ranges.get(name, 0) + n
                 for kind, found in (("gram", grams), ("script", ranges)):
                     kinds += [kind] * len(found)
                     langs += [language] * len(found)
@@ -262,7 +285,7 @@ def with_language(docs: DataFrame, model: LanguageModel, text: str = "text", spa
     at = docs.columns.index(text)
 
     def scan(batches):
-        labeller = Labeller(shared.value)
+        labeller = per_worker(("labeller", shared.value.key), lambda: Labeller(shared.value))
         for batch in batches:
             found = labeller.label(batch.column(at).to_pylist())
             columns = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
