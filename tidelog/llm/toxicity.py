@@ -8,7 +8,8 @@ lexicon densities, how near hits are to second-person words, and rates of capita
 obfuscation. The trees and the calibration are fitted on a sample of ``SAMPLE_ROWS`` labelled rows
 at most (a documented bound, drawn by a hash of doc_id); scores never use labels, lang, source or doc_id.
 
-The labelled training texts are joined once and written; scoring has no shuffle.
+The labelled training texts are joined once, by a sort-merge join at any size as labels grow with the documents,
+and written; scoring has no shuffle.
 
 Defined cases: a null or empty text has all features zero and gets the score of such texts; rows with null
 doc_id or label are no training rows, and of repeated labels the largest counts; without labelled rows
@@ -195,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
-    known = written(rows.join(written(marks, "labels"), "doc_id").select("doc_id", "toxic", fold, "text"), "labelled")
+    known = written(rows.join(marks.hint("merge"), "doc_id").select("doc_id", "toxic", fold, "text"), "labelled")
     sizes = {(r.fold, r.toxic): r["count"] for r in known.groupBy("fold", (F.col("toxic") > 0).alias("toxic")).count().collect()}
     toxic, clean = (sum(n for (_, t), n in sizes.items() if t is x) for x in (True, False))
     mean = toxic / max(1, toxic + clean)
