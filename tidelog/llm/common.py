@@ -101,11 +101,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _KEPT: dict = {}
 
 
-def per_worker(key, make):
-    """``make()``, kept from task to task in a Python worker for as long as no other key is asked for."""
+def per_worker(key=None, make=None):
+    """``make()``, kept from task to task in a Python worker until another key (or none) is asked for."""
     if key not in _KEPT:
         _KEPT.clear()
-        _KEPT[key] = make()
+        _KEPT[key] = make() if make else None
     return _KEPT[key]
 
 

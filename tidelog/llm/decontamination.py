@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import as_bytes, byte_slices, ready_for_python, shielded, written
+from tidelog.llm.common import as_bytes, byte_slices, per_worker, ready_for_python, shielded, written
 
 WINDOW = 13
 BROADCAST_BYTES = 8 << 20
@@ -162,6 +162,7 @@ def _pass(docs: DataFrame, windows, text: str) -> DataFrame:
     at = docs.columns.index(text)
 
     def scan(batches):
+        per_worker()
         for batch in batches:
             found = windows.value.scan(as_bytes(batch.column(at)))
             spans, items = [s for _, s, _ in found], [i for _, _, i in found]

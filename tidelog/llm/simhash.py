@@ -13,8 +13,8 @@ a group of copies. A group over ``GROUP_LIMIT`` is dealt further by pieces of it
 than bits may still differ, of which a linked pair shares at least one; so large groups are split without
 losing a link. Links then go through distributed connected components.
 
-With ``max_distance`` above what the segments guarantee (2 * segments - 1), links up to the
-guarantee are all found, and those beyond it if one segment is still within a bit.
+With ``max_distance`` above what the segments guarantee (2 * segments - 1 of the indexed bits), links up to
+the guarantee are all found, and those beyond it if one segment is still within a bit.
 
 Defined cases: a null or empty text has no words and fingerprint zero, linked like any other; fewer
 words than a shingle make one shingle; copies and repeated rows share a fingerprint; a null doc_id
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import as_bytes, byte_slices, mix64, ready_for_python, shielded, written
+from tidelog.llm.common import as_bytes, byte_slices, mix64, per_worker, ready_for_python, shielded, written
 from tidelog.llm.components import connected_components
 
 SEED = 42
@@ -81,6 +81,7 @@ def fingerprints(docs: DataFrame, size: int = 3, bits: int = 64, distinct: bool
     ready_for_python(docs.sparkSession)
 
     def scan(batches):
+        per_worker()
         for batch in batches:
             made = [fingerprint(t, size, bits, distinct) for t in as_bytes(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["doc_id", "tie", "fp"])
@@ -160,9 +161,9 @@ def _links(groups: DataFrame, most: int) -> DataFrame:
     return groups.repartition("group").sortWithinPartitions("group").mapInArrow(search, "a binary, b binary")
 
 
-def near_edges(distinct_fps: DataFrame, bits: int, max_distance: int, segments: int, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """Links (a, b) among distinct fingerprints that connect whatever is within ``max_distance`` bits."""
-    bounds = _bounds(bits, segments)
+def near_edges(distinct_fps: DataFrame, indexed: int, max_distance: int, segments: int, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """Links (a, b) among distinct fingerprints that connect whatever is within ``max_distance`` bits; the first ``indexed`` bits are cut into segments."""
+    bounds = _bounds(indexed, segments)
     if max(b - a for a, b in bounds) > 32:
         raise ValueError("a segment may have 32 bits at most")
 
@@ -177,14 +178,21 @@ def near_edges(distinct_fps: DataFrame, bits: int, max_distance: int, segments:
     parts = written(distinct_fps.select("fp").mapInArrow(cut, "fp binary, segment int, value long"), "segments")
     values = written(parts.groupBy("segment", "value").agg(F.count("*").alias("n")), "values")
     width = F.element_at(F.array(*(F.lit(b - a) for a, b in bounds)), F.col("segment") + 1)
-    wild = values.select("segment", "value", "n", F.explode(F.sequence(F.lit(0), width - 1)).alias("place"))
+    # Dealt evenly first, as each row becomes many; then by variant, so that no map task sums what hardly repeats.
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wild = values.select("segment", "value").repartition(tasks).select("segment", "value", F.explode(F.sequence(F.lit(0), width - 1)).alias("place"))
     one = F.expr("shiftleft(1L, place)")
     key = F.expr("shiftleft(segment * 64L + place, 32)").bitwiseOR(F.col("value").bitwiseAND(F.bitwise_not(one)))
-    apart = wild.groupBy(key.alias("variant")).agg(F.count("*").alias("many"), F.min("value").alias("a"), F.max("value").alias("b"), F.sum("n").alias("n")).where("many = 2")
-    apart = apart.select(F.expr("cast(shiftright(variant, 38) as int)").alias("segment"), "a", "b", "n", F.lit(1).alias("apart"))
-    alike = values.where("n > 1").select("segment", F.col("value").alias("a"), F.col("value").alias("b"), "n", F.lit(0).alias("apart"))
-    pairs = alike.unionByName(apart).withColumn("group", F.xxhash64("segment", "a", "b"))
-    members = written(pairs.select("segment", F.explode(F.array_distinct(F.array("a", "b"))).alias("value"), "group", (F.col("n") > group_limit).alias("large"), "apart"), "members")
+    # A variant has two values at most, told apart by the bit at the wildcard: 1 and 2 mark which are there.
+    mark = F.when(F.col("value").bitwiseAND(one) == 0, 1).otherwise(2).cast("byte")
+    both = wild.select(key.alias("variant"), mark.alias("mark")).repartition("variant").groupBy("variant").agg(F.bit_or("mark").alias("marks")).where("marks = 3")
+    low = F.expr("variant & 4294967295L")
+    apart = both.select(F.expr("cast(shiftright(variant, 38) as int)").alias("segment"), low.alias("a"), low.bitwiseOR(F.expr("shiftleft(1L, cast(shiftright(variant, 32) & 63 as int))")).alias("b"))
+    alike = values.where("n > 1").select("segment", F.col("value").alias("a"), F.col("value").alias("b"))
+    pairs = alike.unionByName(apart).select("segment", F.explode(F.array_distinct(F.array("a", "b"))).alias("value"), F.xxhash64("segment", "a", "b").alias("group"), (F.col("a") != F.col("b")).cast("int").alias("apart"))
+    sized = written(pairs.join(values, ["segment", "value"]), "pairs")
+    large = sized.groupBy("group").agg(F.sum("n").alias("all")).where(F.col("all") > group_limit).select("group", F.lit(True).alias("large"))
+    members = written(sized.join(large, "group", "left").select("segment", "value", "group", F.coalesce("large", F.lit(False)).alias("large"), "apart"), "members")
     grouped = parts.join(members, ["segment", "value"]).select("group", "fp", "segment", "large", "apart")
 
     def deal(batches):
@@ -217,11 +225,11 @@ def near_edges(distinct_fps: DataFrame, bits: int, max_distance: int, segments:
     return _links(dealt, max_distance)
 
 
-def near_components(prints: DataFrame, bits: int = 64, max_distance: int = 3, segments: int | None = None) -> DataFrame:
+def near_components(prints: DataFrame, indexed: int = 64, max_distance: int = 3, segments: int | None = None) -> DataFrame:
     """(fp, component_id) of a written table of :func:`fingerprints`; the id is the smallest doc_id reachable."""
     segments = segments or -(-(max_distance + 1) // 2)
     own = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
-    roots = written(connected_components(near_edges(own, bits, max_distance, segments), "a", "b"), "roots")
+    roots = written(connected_components(near_edges(own, indexed, max_distance, segments), "a", "b"), "roots")
     named = written(own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
     ids = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     return written(named.join(ids, "root").select("fp", "component_id"), "components")
@@ -234,15 +242,17 @@ def simhash_duplicates(docs: DataFrame, size: int = 3, max_distance: int = 3) ->
     return prints.join(found, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def without_near_copies(docs: DataFrame, size: int = 5, bits: int = 256, max_distance: int = 40, segments: int = 10) -> DataFrame:
+def without_near_copies(docs: DataFrame, size: int = 5, bits: int = 512, max_distance: int = 82, segments: int = 12, width: int = 25) -> DataFrame:
     """``docs`` with one row of each group of near copies, that of the smallest doc_id (of equal ids, the smallest hash of the text).
 
-    Shingles count once, so the share of differing bits estimates the angle between shingle sets: 40 of
-    256 bits are a Jaccard similarity of 0.8. Ten segments guarantee links up to 19 bits; beyond,
-    a link is found if one segment is within a bit of its like.
+    Shingles count once, so the share of differing bits estimates the angle between shingle sets: 78 of
+    512 bits are a Jaccard similarity of 0.8, and the limit of 82 leaves room for the estimate's error. Twelve
+    segments of 25 bits guarantee links of which the indexed bits differ in 23 places at most; beyond,
+    a link is found if one segment is within a bit of its like. ``width`` should exceed the logarithm to base 2 of the number of
+    distinct texts, or chance candidates outnumber the texts.
     """
     prints = written(fingerprints(docs, size, bits, distinct=True), "prints")
-    found = near_components(prints, bits, max_distance, segments)
+    found = near_components(prints, segments * width, max_distance, segments)
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
     grouped = prints.join(found, "fp").select("component_id", key.alias("k"))
     best = grouped.groupBy("component_id").agg(F.min("k").alias("k")).select("k.*")
