@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidelog.session import importable
 
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
 
 

@@ -197,27 +197,47 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without contaminated documents; from the others, hit spans are cut out (``n_chars`` follows the text)."""
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``docs`` without contaminated documents; from the others, hit spans are cut out (``n_chars`` follows the text).
+
+    A benchmark that is broadcast whole is scanned for and cut in one pass over the documents.
+    """
     ready_for_python(docs.sparkSession)
+    items, parts = _parts(benchmark, "item_id", "text", limit)
+    if parts == 1:
+        windows = docs.sparkSession.sparkContext.broadcast(WindowSet([(r.item, r.text) for r in items.distinct().collect()]))
+        names, at = docs.columns, docs.columns.index(text)
+
+        def clean(batches):
+            per_worker()
+            for batch in batches:
+                found = windows.value.scan(as_bytes(batch.column(at)))
+                keep = [i for i, (n, spans, _) in enumerate(found) if not spans or CONTAMINATED_SHARE * sum(b - a for a, b in spans) < n]
+                yield _cut(batch.take(pa.array(keep, pa.int64())), names, at, [found[i][1] for i in keep])
+
+        return docs.mapInArrow(clean, docs.schema)
+    inner, back = shielded(docs, ["__found", *(f.name for f in FOUND)])
     names, at = docs.columns, docs.columns.index(text)
-    inner, back = shielded(docs, ["__spans", *(f.name for f in FOUND)])
-    found = find_contamination(inner, benchmark, text).where(~contaminated()).select(*back, F.col("spans").alias("__found"))
+    left = find_contamination(inner, benchmark, text, limit=limit).where(~contaminated()).select(*back, F.col("spans").alias("__found"))
 
     def cut(batches):
         for batch in batches:
-            columns = batch.columns[:-1]
-            spans = batch.column(len(names)).to_pylist()
-            if any(spans):
-                texts = [without_spans(t, [(x["start"], x["end"]) for x in s]).decode() if s else t.decode() if t is not None else None for t, s in zip(as_bytes(columns[at]), spans, strict=True)]
-                columns[at] = pa.array(texts, pa.string())
-                if "n_chars" in names:
-                    i = names.index("n_chars")
-                    old = columns[i].to_pylist()
-                    columns[i] = pa.array([len(t) if s else n for t, s, n in zip(texts, spans, old, strict=True)], columns[i].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return found.mapInArrow(cut, docs.schema)
+            spans = [[(x["start"], x["end"]) for x in s] for s in batch.column(len(names)).to_pylist()]
+            yield _cut(batch, names, at, spans)
+
+    return left.mapInArrow(cut, docs.schema)
+
+
+def _cut(batch: pa.RecordBatch, names: list[str], at: int, spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+    """The first columns of a batch, called ``names``, with the spans cut from the texts in column ``at``."""
+    columns = list(batch.columns[: len(names)])
+    if any(spans):
+        texts = [None if t is None else (without_spans(t, s) if s else t).decode() for t, s in zip(as_bytes(columns[at]), spans, strict=True)]
+        columns[at] = pa.array(texts, pa.string())
+        if "n_chars" in names:
+            i = names.index("n_chars")
+            columns[i] = pa.array([len(t) if s else n for t, s, n in zip(texts, spans, columns[i].to_pylist(), strict=True)], columns[i].type)
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

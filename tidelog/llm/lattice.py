@@ -18,7 +18,7 @@ import numpy as np
 ZIPF_OFFSET = 10.0
 #: Log probability of one byte piece, below that of any ordinary piece.
 BYTE_LOGP = -16.0
-CHUNK_WORDS, CHUNK_CELLS = 20_000, 4_000_000
+CHUNK_WORDS, CHUNK_CELLS = 10_000, 4_000_000
 SLICE_CHARS = 1_000_000
 TOKEN = re.compile(r"\n| *[^ \n]+| +")
 CUT = re.compile(r"\n|(?<=[^ ]) ")

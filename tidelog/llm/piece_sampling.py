@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import ready_for_python, mix64
+from tidelog.llm.common import mix64, per_worker, ready_for_python
 from tidelog.llm.lattice import TOKEN, PieceModel, loaded, slices, tries
 
 THETA, SEED = 1.0, 42
-KEPT_TOKENS, KEPT_EDGES = 300_000, 3_000_000
-GROUP_TOKENS = 500_000
+KEPT_TOKENS, KEPT_EDGES = 150_000, 1_000_000
+GROUP_TOKENS = 100_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,7 +45,7 @@ class Sampler:
     def _forget(self) -> None:
         self.term: dict[str, int] = {}
         self.nodes = 0
-        self.cum, self.src, self.piece = np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.cum, self.src, self.piece = np.zeros(0), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
 
     def _learn(self, tokens: list[str]) -> None:
         new = set(tokens).difference(self.term)
@@ -55,8 +55,8 @@ class Sampler:
         cum, src, piece = [self.cum], [self.src], [self.piece]
         for words, trie in tries(self.model, new):
             cum.append(trie.forward(self.theta) + trie.dst + self.nodes)
-            src.append(np.where(trie.src == 0, -1, trie.src + self.nodes))
-            piece.append(trie.piece)
+            src.append(np.where(trie.src == 0, -1, trie.src + self.nodes).astype(np.int32))
+            piece.append(trie.piece.astype(np.int32))
             self.term.update(zip(words, (trie.term + self.nodes).tolist(), strict=True))
             self.nodes += trie.nodes
         self.cum, self.src, self.piece = np.concatenate(cum), np.concatenate(src), np.concatenate(piece)
@@ -79,7 +79,7 @@ class Sampler:
         for i, (who, _) in enumerate(steps):
             many[who] = i + 1
         last = np.cumsum(many) - 1
-        out = np.zeros(int(many.sum()), dtype=np.int64)
+        out = np.zeros(int(many.sum()), dtype=np.int32)
         for i, (who, piece) in enumerate(steps):
             out[last[who] - i] = piece
         return self._spelled(out, many)
@@ -163,7 +163,7 @@ def _mapped(docs, proto, theta, seed, key, text, out, kind):
     key_at, text_at = docs.columns.index(key), docs.columns.index(text)
 
     def scan(batches):
-        sampler = Sampler(loaded(shared.value), theta)
+        sampler = per_worker(("sampler", hash(shared.value), theta), lambda: Sampler(loaded(shared.value), theta))
         for batch in batches:
             ids, many = sampler.encode(batch.column(text_at).to_pylist(), row_seeds(batch.column(key_at), seed))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32)), pa.array(ids))
@@ -180,7 +180,7 @@ def piece_digest(docs: DataFrame, proto: bytes, theta: float = THETA, seed: int
 
     def scan(batches):
         model = loaded(shared.value)
-        sampler = Sampler(model, theta)
+        sampler = per_worker(("sampler", hash(shared.value), theta), lambda: Sampler(model, theta))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             ids, many = sampler.encode(texts, row_seeds(batch.column(0), seed))
