@@ -94,7 +94,7 @@ def test_planted_links_survive_splitting(spark, limit):
                 seed ^= 1 << bit
     values = sorted(values)
     fps = written(spark.createDataFrame([(v.to_bytes(8, "big"),) for v in values], "fp binary"), "test")
-    edges = simhash.near_edges(fps, 64, 3, 2, group_limit=limit)
+    edges, _ = simhash.near_edges(fps, 64, 3, 2, group_limit=limit)
     roots = {bytes(r.node): bytes(r.root) for r in connected_components(edges, "a", "b").collect()}
     want = brute_components(values, values, 3)
     found = [int.from_bytes(roots.get(v.to_bytes(8, "big"), v.to_bytes(8, "big")), "big") for v in values]
@@ -144,9 +144,10 @@ def test_contamination(spark):
         assert (found[7].n_hit, found[7].items) == (14, ["1"])
     digest = {r.doc_id: r.contaminated for r in contamination_digest(docs, bench).collect()}
     assert digest == {1: False, 2: True, 3: False, 4: False, 5: False, 6: False, 7: True, 8: False}
-    clean = {r.doc_id: r for r in decontaminated(docs, bench).collect()}
-    assert sorted(clean) == [1, 3, 4, 5, 6, 8]
-    assert clean[6].text == filler + " " and clean[6].n_chars == len(filler) + 1 and clean[8].n_chars == 3
+    for limit in (8 << 20, 10):
+        clean = {r.doc_id: r for r in decontaminated(docs, bench, limit=limit).collect()}
+        assert sorted(clean) == [1, 3, 4, 5, 6, 8] and {r.items for r in clean.values()} == {"c"}
+        assert clean[6].text == filler + " " and clean[6].n_chars == len(filler) + 1 and clean[8].n_chars == 3
     assert decontaminated(docs, bench.limit(0)).count() == len(rows) and contamination_digest(docs.limit(0), bench).collect() == []
 
 

@@ -6,8 +6,8 @@ needs: then one segment differs by at most one bit. Segment values are indexed u
 one-wildcard variants and joined by equality of variants. The index holds distinct values of a segment,
 so a bucket has two members at most, however common a value is.
 
-Each pair of values (equal, or one bit apart) names a group of distinct fingerprints; only groups of two
-or more are followed up. A group is searched breadth first against what is not yet reached, each
+A value that several distinct fingerprints have, or that has neighbours one bit apart, names a group: its
+fingerprints, and those of rarer neighbours. A group is searched breadth first against what is not yet reached, each
 link is verified on all bits, and only a spanning forest of the links leaves the task: no pairs within
 a group of copies. A group over ``GROUP_LIMIT`` is dealt further by pieces of its other bits, one piece more
 than bits may still differ, of which a linked pair shares at least one; so large groups are split without
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import as_bytes, byte_slices, mix64, per_worker, ready_for_python, shielded, written
+from tidelog.llm.common import as_bytes, byte_slices, drop_written, mix64, per_worker, ready_for_python, shielded, written
 from tidelog.llm.components import connected_components
 
 SEED = 42
@@ -161,8 +161,11 @@ def _links(groups: DataFrame, most: int) -> DataFrame:
     return groups.repartition("group").sortWithinPartitions("group").mapInArrow(search, "a binary, b binary")
 
 
-def near_edges(distinct_fps: DataFrame, indexed: int, max_distance: int, segments: int, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """Links (a, b) among distinct fingerprints that connect whatever is within ``max_distance`` bits; the first ``indexed`` bits are cut into segments."""
+def near_edges(distinct_fps: DataFrame, indexed: int, max_distance: int, segments: int, group_limit: int = GROUP_LIMIT) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) among distinct fingerprints that connect whatever is within ``max_distance`` bits; the first ``indexed`` bits are cut into segments.
+
+    Also the written tables behind the links, to be dropped once the links are used.
+    """
     bounds = _bounds(indexed, segments)
     if max(b - a for a, b in bounds) > 32:
         raise ValueError("a segment may have 32 bits at most")
@@ -188,12 +191,16 @@ def near_edges(distinct_fps: DataFrame, indexed: int, max_distance: int, segment
     both = wild.select(key.alias("variant"), mark.alias("mark")).repartition("variant").groupBy("variant").agg(F.bit_or("mark").alias("marks")).where("marks = 3")
     low = F.expr("variant & 4294967295L")
     apart = both.select(F.expr("cast(shiftright(variant, 38) as int)").alias("segment"), low.alias("a"), low.bitwiseOR(F.expr("shiftleft(1L, cast(shiftright(variant, 32) & 63 as int))")).alias("b"))
-    alike = values.where("n > 1").select("segment", F.col("value").alias("a"), F.col("value").alias("b"))
-    pairs = alike.unionByName(apart).select("segment", F.explode(F.array_distinct(F.array("a", "b"))).alias("value"), F.xxhash64("segment", "a", "b").alias("group"), (F.col("a") != F.col("b")).cast("int").alias("apart"))
-    sized = written(pairs.join(values, ["segment", "value"]), "pairs")
+    # Of two values a bit apart, the fingerprints of the rarer one visit the group of the other: all pairs between
+    # them meet there, and a common value is not repeated for each of its neighbours.
+    apart = apart.join(values.select("segment", F.col("value").alias("a"), F.col("n").alias("n_a")), ["segment", "a"]).join(values.select("segment", F.col("value").alias("b"), F.col("n").alias("n_b")), ["segment", "b"])
+    first = F.col("n_a") >= F.col("n_b")
+    visits = written(apart.select("segment", F.when(first, F.col("b")).otherwise(F.col("a")).alias("value"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("target"), F.least("n_a", "n_b").alias("n"), F.greatest("n_a", "n_b").alias("own")), "visits")
+    homes = visits.select("segment", F.col("target").alias("value"), "target", F.col("own").alias("n")).unionByName(values.where("n > 1").select("segment", "value", F.col("value").alias("target"), "n")).distinct()
+    sized = written(visits.drop("own").unionByName(homes).withColumn("group", F.xxhash64("segment", "target")), "pairs")
     large = sized.groupBy("group").agg(F.sum("n").alias("all")).where(F.col("all") > group_limit).select("group", F.lit(True).alias("large"))
-    members = written(sized.join(large, "group", "left").select("segment", "value", "group", F.coalesce("large", F.lit(False)).alias("large"), "apart"), "members")
-    grouped = parts.join(members, ["segment", "value"]).select("group", "fp", "segment", "large", "apart")
+    members = written(sized.join(large, "group", "left").select("segment", "value", "group", F.coalesce("large", F.lit(False)).alias("large")), "members")
+    grouped = parts.join(members, ["segment", "value"]).select("group", "fp", "segment", "large")
 
     def deal(batches):
         for batch in batches:
@@ -205,34 +212,36 @@ def near_edges(distinct_fps: DataFrame, indexed: int, max_distance: int, segment
             rows = batch.take(pa.array(large)).to_pydict()
             bit = _bits(rows["fp"])
             for s, (lo, hi) in enumerate(bounds):
-                for apart_by in (0, 1):
-                    at = [i for i in range(len(large)) if rows["segment"][i] == s and rows["apart"][i] == apart_by]
-                    if not at:
-                        continue
-                    rest = np.delete(bit[at], np.arange(lo, hi), axis=1)
-                    pieces = _bounds(rest.shape[1], max_distance - apart_by + 1)
-                    own = np.array([rows["group"][i] for i in at], dtype=np.int64).astype(np.uint64)
-                    fps = pa.array([rows["fp"][i] for i in at], pa.binary())
-                    for p, (x, y) in enumerate(pieces):
-                        packed = np.packbits(rest[:, x:y], axis=1).astype(np.uint64)
-                        with np.errstate(over="ignore"):
-                            new = mix64(own + np.uint64(p + 1))
-                            for j in range(packed.shape[1]):
-                                new = mix64(new * np.uint64(3) + packed[:, j])
-                        yield pa.RecordBatch.from_arrays([pa.array(new.astype(np.int64)), fps], names=["group", "fp"])
+                at = [i for i in range(len(large)) if rows["segment"][i] == s]
+                if not at:
+                    continue
+                rest = np.delete(bit[at], np.arange(lo, hi), axis=1)
+                own = np.array([rows["group"][i] for i in at], dtype=np.int64).astype(np.uint64)
+                fps = pa.array([rows["fp"][i] for i in at], pa.binary())
+                for p, (x, y) in enumerate(_bounds(rest.shape[1], max_distance + 1)):
+                    packed = np.packbits(rest[:, x:y], axis=1).astype(np.uint64)
+                    with np.errstate(over="ignore"):
+                        new = mix64(own + np.uint64(p + 1))
+                        for j in range(packed.shape[1]):
+                            new = mix64(new * np.uint64(3) + packed[:, j])
+                    yield pa.RecordBatch.from_arrays([pa.array(new.astype(np.int64)), fps], names=["group", "fp"])
 
     dealt = grouped.mapInArrow(deal, "group long, fp binary")
-    return _links(dealt, max_distance)
+    return _links(dealt, max_distance), [parts, values, visits, sized, members]
 
 
 def near_components(prints: DataFrame, indexed: int = 64, max_distance: int = 3, segments: int | None = None) -> DataFrame:
     """(fp, component_id) of a written table of :func:`fingerprints`; the id is the smallest doc_id reachable."""
     segments = segments or -(-(max_distance + 1) // 2)
     own = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
-    roots = written(connected_components(near_edges(own, indexed, max_distance, segments), "a", "b"), "roots")
+    edges, behind = near_edges(own, indexed, max_distance, segments)
+    roots = written(connected_components(edges, "a", "b"), "roots")
     named = written(own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
     ids = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
-    return written(named.join(ids, "root").select("fp", "component_id"), "components")
+    found = written(named.join(ids, "root").select("fp", "component_id"), "components")
+    for table in (*behind, own, roots, named, ids):
+        drop_written(table)
+    return found
 
 
 def simhash_duplicates(docs: DataFrame, size: int = 3, max_distance: int = 3) -> DataFrame:
@@ -242,12 +251,12 @@ def simhash_duplicates(docs: DataFrame, size: int = 3, max_distance: int = 3) ->
     return prints.join(found, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def without_near_copies(docs: DataFrame, size: int = 5, bits: int = 512, max_distance: int = 82, segments: int = 12, width: int = 25) -> DataFrame:
+def without_near_copies(docs: DataFrame, size: int = 5, bits: int = 512, max_distance: int = 82, segments: int = 14, width: int = 28) -> DataFrame:
     """``docs`` with one row of each group of near copies, that of the smallest doc_id (of equal ids, the smallest hash of the text).
 
     Shingles count once, so the share of differing bits estimates the angle between shingle sets: 78 of
-    512 bits are a Jaccard similarity of 0.8, and the limit of 82 leaves room for the estimate's error. Twelve
-    segments of 25 bits guarantee links of which the indexed bits differ in 23 places at most; beyond,
+    512 bits are a Jaccard similarity of 0.8, and the limit of 82 leaves room for the estimate's error. Fourteen
+    segments of 28 bits guarantee links of which the indexed bits differ in 27 places at most; beyond,
     a link is found if one segment is within a bit of its like. ``width`` should exceed the logarithm to base 2 of the number of
     distinct texts, or chance candidates outnumber the texts.
     """
