@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import ready_for_python
+from tidelog.llm.common import per_worker, ready_for_python
 from tidelog.llm.lattice import TOKEN, loaded, slices, tries
 
 KEPT_TOKENS = 400_000
@@ -73,7 +73,7 @@ def token_counts(docs: DataFrame, proto: bytes, doc_id: str = "doc_id", text: st
     shared = spark.sparkContext.broadcast(proto)
 
     def scan(batches):
-        count = counter(shared.value)
+        count = per_worker(("counter", hash(shared.value)), lambda: counter(shared.value))
         for batch in batches:
             words, pieces = count(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array(pieces)], names=["doc_id", "n_pretokens", "n_tokens"])
