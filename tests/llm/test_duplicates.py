@@ -120,6 +120,45 @@ def test_one_of_each_group_stays(spark):
     assert simhash.without_near_copies(docs.limit(0)).collect() == []
 
 
+def edited(words, share, draw):
+    """A copy whose five-word shingles have about the Jaccard similarity ``share`` with those of ``words``."""
+    words, many = list(words), len(words) - 4
+    lost = round(many * (1 - share) / (1 + share) - 1e-9)
+    for i in range(lost // 5):
+        words[4 + i * (many // (lost // 5 + 1))] = f"new{draw.random()}"
+    return words[lost % 5 :] + [f"tail{draw.random()}" for _ in range(lost % 5)]
+
+
+def similarity(a, b):
+    a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def planted(shares, each, seed):
+    draw = random.Random(seed)
+    rows, similar = [], {}
+    for share in shares:
+        for _ in range(each):
+            words = [f"w{draw.randrange(10**6)}" for _ in range(300)]
+            near = edited(words, share, draw)
+            at = len(rows)
+            rows += [(at, " ".join(words)), (at + 1, " ".join(near))]
+            similar[at + 1] = similarity(words, near)
+    return rows, similar
+
+
+def test_all_near_copies_go_and_no_others(spark):
+    """Pairs from 0.8 on lose their second document, as does a chain; pairs below, however close, keep both."""
+    rows, similar = planted([0.95, 0.9, 0.85, 0.82, 0.805], 30, 5)
+    assert all(0.8 <= s < 0.97 for s in similar.values())
+    kept = {r.doc_id for r in simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {r[0] for r in rows} - set(similar)
+    chain = [f"c{i}" for i in range(300)]
+    steps = [" ".join([f"s{j}" for j in range(i * 25)] + chain[i * 25 :]) for i in range(6)]
+    kept = [r.doc_id for r in simhash.without_near_copies(spark.createDataFrame([(5 - i, t) for i, t in enumerate(steps)], "doc_id long, text string")).collect()]
+    assert kept == [0]
+
+
 def test_repeated_shingles_and_chunks():
     text = ("A b c " * 500 + "\n").encode()
     assert int.from_bytes(simhash.fingerprint(text, 3, 64, False), "big") == brute_fp(text.decode())

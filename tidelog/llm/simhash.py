@@ -13,6 +13,9 @@ a group of copies. A group over ``GROUP_LIMIT`` is dealt further by pieces of it
 than bits may still differ, of which a linked pair shares at least one; so large groups are split without
 losing a link. Links then go through distributed connected components.
 
+:func:`without_near_copies` works on the shingle sets themselves: MinHash tables name the pairs to compare, and a pair is
+linked by its exact Jaccard similarity.
+
 With ``max_distance`` above what the segments guarantee (2 * segments - 1 of the indexed bits), links up to
 the guarantee are all found, and those beyond it if one segment is still within a bit.
 
@@ -38,6 +41,8 @@ from tidelog.llm.components import connected_components
 SEED = 42
 GROUP_LIMIT = 5000
 HASHES_AT_ONCE = 200_000
+TABLES, TABLE_MINIMA = 32, 5  # MinHash tables of near-dedup and the minima in a key
+HUB_TURNS, HUB_PAIRS = 3, 100
 
 
 def _shingle_hashes(text: bytes, size: int):
@@ -251,23 +256,147 @@ def simhash_duplicates(docs: DataFrame, size: int = 3, max_distance: int = 3) ->
     return prints.join(found, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def without_near_copies(docs: DataFrame, size: int = 5, bits: int = 512, max_distance: int = 82, segments: int = 14, width: int = 28) -> DataFrame:
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    """Distinct shingle hashes of a text, sorted."""
+    parts = list(_shingle_hashes(text, size)) if text else []
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, dtype=np.uint64)
+
+
+def table_keys(shingles: np.ndarray, tables: int, minima: int) -> np.ndarray:
+    """Key of a shingle set in each MinHash table: of ``minima`` independent minima of the set."""
+    factors = mix64(np.arange(1, tables * minima + 1, dtype=np.uint64)) | np.uint64(1)
+    least = np.full(len(factors), 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(shingles), 512):
+        least = np.minimum(least, (shingles[None, at : at + 512] * factors[:, None]).min(axis=1))
+    key = np.arange(tables, dtype=np.uint64)
+    for column in least.reshape(tables, minima).T:
+        key = mix64(key * np.uint64(3) + column)
+    return key.astype(np.int64)
+
+
+def _keyed(docs: DataFrame, size: int, tables: int, minima: int) -> DataFrame:
+    """``id`` (0 if ``none``), ``tie``, ``node`` (a hash of the shingle set) and table ``keys`` of every row."""
+
+    def scan(batches):
+        per_worker()
+        for batch in batches:
+            nodes, keys = [], []
+            for text in as_bytes(batch.column(3)):
+                own = shingle_set(text, size)
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                keys.append(table_keys(own, tables, minima))
+            made = pa.array(np.array(nodes, dtype=np.uint64).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], made, pa.array(keys, pa.list_(pa.int64()))], names=["id", "none", "tie", "node", "keys"])
+
+    text = F.col("text").cast("string")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").cast("long").isNull().alias("none"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    return rows.mapInArrow(scan, "id long, none boolean, tie long, node long, keys array<long>")
+
+
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """Shingle sets of (node, text)."""
+
+    def scan(batches):
+        for batch in batches:
+            made = [shingle_set(t, size).tobytes() for t in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "shingles"])
+
+    return texts.mapInArrow(scan, "node long, shingles binary")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``least`` or more; an ``a`` of many pairs is dealt to many tasks."""
+    many = F.broadcast(pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("parts")).where("parts > 1"))
+    part = F.coalesce("parts", F.lit(1))
+    left = sets.withColumnsRenamed({"node": "a", "shingles": "x"}).join(many, "a", "left").select("a", "x", F.explode(F.sequence(F.lit(0), part - 1)).alias("part"))
+    dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), part).cast("int").alias("part"))
+    both = dealt.join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b").join(left, ["a", "part"]).select("a", "b", "x", "y")
+
+    def compare(batches):
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(c.as_buffer(), dtype=np.uint64) for c in (x, y))
+                shared = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= least * max(len(x), len(y)) - 1 else 0
+                near.append(shared > 0 and shared / (len(x) + len(y) - shared) >= least)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(near, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    return both.mapInArrow(compare, "a long, b long")
+
+
+def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """A pair (hub, node) for each node that shares a table key with a hub of another component, of its hubs the first in this turn's order."""
+    order = F.xxhash64("node", F.lit(turn))
+    hubs = rows.groupBy("key").agg(F.min_by("node", order).alias("a"), F.min_by("root", order).alias("hub_root"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    met = rows.join(hubs, "key").where("root != hub_root")
+    return met.groupBy(F.col("node").alias("b")).agg(F.min_by("a", F.xxhash64("a", F.lit(turn))).alias("a")).select("a", "b")
+
+
+def _other_pairs(rows: DataFrame) -> DataFrame:
+    """Every pair of nodes of a table key that are in different components."""
+    main = rows.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", "count").alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    mixed = rows.join(main, "key")
+    strays = mixed.where("root != main").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
+    met = strays.join(mixed, "key").where("root != root_a and (root = main or node < a)")
+    return met.select("a", F.col("node").alias("b")).distinct()
+
+
+def shingle_components(docs: DataFrame, own: DataFrame, size: int, least: float) -> DataFrame:
+    """(node, root) of the nodes of ``own`` (a written table: node, id, none, tie, rows, keys) linked to others; every link is verified on the shingle sets.
+
+    Nodes of a table key are compared with a hub first, a hub a node and turn, which settles groups of near copies without their pairs;
+    all pairs of a key that are then in different components are compared after that.
+    """
+    members = own.select("node", F.explode("keys").alias("key"))
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    rows = written(members.join(shared, "key").select("key", "node", F.col("node").alias("root")), "members")
+    spoken = own.join(rows.select("node").distinct(), "node").select("node", F.col("id").alias("__id"), F.col("none").alias("__none"), F.col("tie").alias("__tie"), "rows")
+    same = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) == F.col("__id"), F.col("doc_id").cast("long").isNull() == F.col("__none"), F.xxhash64(F.col("text")) == F.col("__tie")]
+    sets = written(_sets(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(spoken, same).select("node", "text"), size), "sets")
+    if not spoken.where("rows > 1").isEmpty():
+        once = written(sets.dropDuplicates(["node"]), "sets")
+        drop_written(sets)
+        sets = once
+    tried, links, behind = None, None, [sets]
+    roots = docs.sparkSession.createDataFrame([], "node long, root long")
+    for turn in range(HUB_TURNS + 1):
+        pairs = _hub_pairs(rows, turn) if turn < HUB_TURNS else _other_pairs(rows)
+        pairs = pairs.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")})
+        pairs = written(pairs.join(tried, ["low", "high"], "left_anti") if tried else pairs, "pairs")
+        behind.append(pairs)
+        if pairs.isEmpty():
+            continue
+        tried = tried.unionByName(pairs.select("low", "high")) if tried else pairs.select("low", "high")
+        found = written(_alike(pairs.select("a", "b"), sets, least), "links")
+        behind.append(found)
+        links = links.unionByName(found) if links else found
+        roots = written(connected_components(links, "a", "b"), "roots")
+        if turn < HUB_TURNS:
+            new = written(rows.drop("root").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "members")
+            drop_written(rows)
+            rows = new
+    for table in (*behind, rows):
+        drop_written(table)
+    return roots
+
+
+def without_near_copies(docs: DataFrame, size: int = 5, least: float = 0.8, tables: int = TABLES, minima: int = TABLE_MINIMA) -> DataFrame:
     """``docs`` with one row of each group of near copies, that of the smallest doc_id (of equal ids, the smallest hash of the text).
 
-    Shingles count once, so the share of differing bits estimates the angle between shingle sets: 78 of
-    512 bits are a Jaccard similarity of 0.8, and the limit of 82 leaves room for the estimate's error. Fourteen
-    segments of 28 bits guarantee links of which the indexed bits differ in 27 places at most; beyond,
-    a link is found if one segment is within a bit of its like. ``width`` should exceed the logarithm to base 2 of the number of
-    distinct texts, or chance candidates outnumber the texts.
+    Near copies have sets of distinct shingles with a Jaccard similarity of ``least`` or more, verified on the sets of every link.
+    Pairs to compare share a key of a MinHash table: at similarity s all but (1 - s ** minima) ** tables of them do, at 0.8
+    all but 3 in a million.
     """
-    prints = written(fingerprints(docs, size, bits, distinct=True), "prints")
-    found = near_components(prints, segments * width, max_distance, segments)
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
-    grouped = prints.join(found, "fp").select("component_id", key.alias("k"))
-    best = grouped.groupBy("component_id").agg(F.min("k").alias("k")).select("k.*")
-    rows = prints.groupBy(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "tie").count()
-    best = best.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "none", "tie")
-    best = written(best.join(rows, ["id", "none", "tie"]).withColumnsRenamed({"id": "__id", "none": "__none", "tie": "__tie", "count": "__rows"}), "kept")
+    ready_for_python(docs.sparkSession)
+    prints = written(_keyed(docs, size, tables, minima), "prints")
+    each = prints.groupBy("node", "none", "id", "tie").agg(F.count("*").alias("rows"), F.first("keys").alias("keys"))
+    own = written(each.groupBy("node").agg(F.min(F.struct("none", "id", "tie", "rows")).alias("k"), F.first("keys").alias("keys")).select("node", "k.*", "keys"), "nodes")
+    drop_written(prints)
+    roots = shingle_components(docs, own, size, least)
+    named = own.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct("none", "id", "tie", "rows").alias("k"))
+    best = named.groupBy("root").agg(F.min("k").alias("k")).select("k.*")
+    best = written(best.withColumnsRenamed({"id": "__id", "none": "__none", "tie": "__tie", "rows": "__rows"}), "kept")
+    drop_written(own)
     inner, back = shielded(docs, best.columns)
     own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) == F.col("__id"), F.col("doc_id").isNull() == F.col("__none"), F.xxhash64(F.col("text").cast("string")) == F.col("__tie")]
     kept = inner.join(best, own)
