@@ -159,6 +159,20 @@ def test_neighbour_cases(spark):
     assert nearest_neighbours(docs.limit(0)).collect() == [] and nearest_neighbours(docs.where("vec_id = 0")).collect() == []
 
 
+def test_copies_that_tie_are_all_ranked():
+    """A third of the rows are one vector: of its copies the smallest ids are the neighbours."""
+    draw = np.random.default_rng(4)
+    vectors = draw.normal(size=(3000, 16))
+    copies = draw.permutation(3000)[:1000]
+    vectors[copies] = vectors[copies[0]]
+    long = lengthened(vectors, np.sqrt((vectors**2).sum(axis=1)).max())
+    pivots = choose_pivots(long, 64)
+    order = pivot_order(long, pivots, 16)
+    query = pivot_order(np.hstack((vectors[copies[:1]], [[0.0]])), pivots, 16)[0]
+    found, _ = Shard(np.arange(3000), vectors, order, 64).search(-1, vectors[copies[0]], query, 20, 0.15)
+    assert found.tolist() == sorted(copies.tolist())[:20]
+
+
 def test_overlap_is_the_footrule():
     draw = np.random.default_rng(1)
     vectors = draw.normal(size=(50, 8))

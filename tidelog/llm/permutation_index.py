@@ -3,7 +3,7 @@
 A vector is represented by its nearest pivots in order; its place in a pivot's inverted file is its
 rank there. A query ranks rows by the footrule distance between its pivot order and theirs, read off the
 inverted files of its own pivots, and the ``RERANK_SHARE`` of rows nearest by footrule (at least
-``LEAST_RERANKED`` times ``k``) is ranked again by the exact inner product. Every row is indexed. Pivots are chosen on the driver from a sample of
+``LEAST_RERANKED`` times ``k``, and all that tie with the last) is ranked again by the exact inner product. Every row is indexed. Pivots are chosen on the driver from a sample of
 ``PIVOT_SAMPLE`` rows at most (by hash), far from one another, so that a large group of copies does
 not take them all. Rows of unequal length get one more coordinate that makes the order by inner product
 the order by angle.
@@ -81,7 +81,8 @@ class Shard:
     def search(self, query_id: int, query: np.ndarray, order: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
         many = min(len(self.ids), max(LEAST_RERANKED * k, int(np.ceil(share * len(self.ids)))))
         total = self.overlap(order)
-        found = np.argpartition(-total, many - 1)[:many] if many < len(self.ids) else np.arange(len(self.ids))
+        # With all that tie with the last one: a cut among equals would drop ids by chance.
+        found = np.flatnonzero(total >= np.partition(total, len(total) - many)[len(total) - many])
         found = found[self.ids[found] != query_id]
         scores = (self.vectors[found] * query).sum(axis=1)
         best = np.lexsort((self.ids[found], -scores))[: 4 * k]
