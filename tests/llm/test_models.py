@@ -173,6 +173,27 @@ def test_copies_that_tie_are_all_ranked():
     assert found.tolist() == sorted(copies.tolist())[:20]
 
 
+def test_a_repeated_id_takes_one_place(spark):
+    """A third of the rows have one id: queries near it, and it as a query, still get all their other neighbours."""
+    draw = np.random.default_rng(6)
+    centre = draw.normal(size=16)
+    rows = [(0, (2 * centre + 0.01 * draw.normal(size=16)).tolist()) for _ in range(500)] + [(i, (centre + draw.normal(size=16)).tolist()) for i in range(1, 1001)]
+    found = {}
+    for r in nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), query_every=100).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    values, own = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    right = 0
+    for q in range(0, 1001, 100):
+        query = values[own == q] if q else np.array([min(v for i, v in rows if i == 0)])
+        best = {}
+        for i, score in zip(own.tolist(), (values * query[0]).sum(axis=1).tolist(), strict=True):
+            best[i] = max(score, best.get(i, score))
+        want = sorted((i for i in best if i != q), key=lambda i: (-best[i], i))[:20]
+        assert len(found[q]) == len(set(found[q])) == 20
+        right += len(set(want) & set(found[q]))
+    assert right >= 0.9 * 20 * 11
+
+
 def test_overlap_is_the_footrule():
     draw = np.random.default_rng(1)
     vectors = draw.normal(size=(50, 8))

@@ -3,7 +3,7 @@
 A vector is represented by its nearest pivots in order; its place in a pivot's inverted file is its
 rank there. A query ranks rows by the footrule distance between its pivot order and theirs, read off the
 inverted files of its own pivots, and the ``RERANK_SHARE`` of rows nearest by footrule (at least
-``LEAST_RERANKED`` times ``k``, and all that tie with the last) is ranked again by the exact inner product. Every row is indexed. Pivots are chosen on the driver from a sample of
+``LEAST_RERANKED`` times ``k``; of rows with one id the best counts; and all that tie with the last) is ranked again by the exact inner product. Every row is indexed. Pivots are chosen on the driver from a sample of
 ``PIVOT_SAMPLE`` rows at most (by hash), far from one another, so that a large group of copies does
 not take them all. Rows of unequal length get one more coordinate that makes the order by inner product
 the order by angle.
@@ -73,21 +73,28 @@ class Shard:
         rank = np.arange(self.nearest, 0, -1, dtype=np.uint8)
         self.posted[order.ravel(), np.repeat(np.arange(len(ids)), self.nearest)] = np.tile(rank, len(ids))
         self.rank = rank[:, None]
+        distinct, self.number = np.unique(ids, return_inverse=True)
+        self.distinct = len(distinct)
 
     def overlap(self, order: np.ndarray) -> np.ndarray:
         """Twice this less than a constant is the footrule distance, pivots beyond the nearest counting as ranked next."""
         return np.minimum(self.posted[order], self.rank).sum(axis=0, dtype=np.int32)
 
     def search(self, query_id: int, query: np.ndarray, order: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
-        many = min(len(self.ids), max(LEAST_RERANKED * k, int(np.ceil(share * len(self.ids)))))
-        total = self.overlap(order)
+        others = self.ids != query_id
+        total = np.where(others, self.overlap(order), -1)
+        # Ids count once in the share, by their best row.
+        of_ids = total
+        if self.distinct < len(self.ids):
+            of_ids = np.full(self.distinct, -1, dtype=total.dtype)
+            np.maximum.at(of_ids, self.number, total)
+        many = min(self.distinct, max(LEAST_RERANKED * k, int(np.ceil(share * self.distinct))))
         # With all that tie with the last one: a cut among equals would drop ids by chance.
-        found = np.flatnonzero(total >= np.partition(total, len(total) - many)[len(total) - many])
-        found = found[self.ids[found] != query_id]
+        found = np.flatnonzero(others & (total >= np.partition(of_ids, self.distinct - many)[self.distinct - many]))
         scores = (self.vectors[found] * query).sum(axis=1)
-        best = np.lexsort((self.ids[found], -scores))[: 4 * k]
+        best = np.lexsort((self.ids[found], -scores))
         _, first = np.unique(self.ids[found[best]], return_index=True)
-        best = best[np.sort(first)][:k]
+        best = best[np.sort(first)[:k]]
         return self.ids[found[best]], scores[best]
 
 
