@@ -148,7 +148,7 @@ def planted(shares, each, seed):
 
 
 def test_all_near_copies_go_and_no_others(spark):
-    """Pairs from 0.8 on lose their second document, as does a chain; pairs below, however close, keep both."""
+    """Pairs from 0.8 on lose their second document; of a chain one stays."""
     rows, similar = planted([0.95, 0.9, 0.85, 0.82, 0.805], 30, 5)
     assert all(0.8 <= s < 0.97 for s in similar.values())
     kept = {r.doc_id for r in simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -159,6 +159,13 @@ def test_all_near_copies_go_and_no_others(spark):
     assert kept == [0]
 
 
+def test_documents_below_the_threshold_stay(spark):
+    """No document goes for a similarity that the fingerprints only estimate."""
+    rows, similar = planted([0.79, 0.78, 0.76], 30, 7)
+    assert all(0.7 < s < 0.8 for s in similar.values())
+    assert simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+
+
 def test_repeated_shingles_and_chunks():
     text = ("A b c " * 500 + "\n").encode()
     assert int.from_bytes(simhash.fingerprint(text, 3, 64, False), "big") == brute_fp(text.decode())
