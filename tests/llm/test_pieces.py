@@ -2,6 +2,7 @@
 
 import math
 import random
+import string
 import zlib
 
 import numpy as np

@@ -58,6 +58,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def input_bytes(df: DataFrame, text: str) -> int:
+    """About how many bytes a table has: the planner's figure where it knows files, else the bytes of its texts, summed."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < 1 << 50:
+        return known
+    return df.agg(F.sum(F.octet_length(F.col(text).cast("string"))).alias("n")).first().n or 0
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`written`, once nothing lazy reads it any more."""
     for file in {os.path.dirname(f) for f in df.inputFiles()}:

@@ -9,13 +9,15 @@ A corpus is a set of shards in document order. Shard k has
 
 Global positions are a shard's base plus its own offsets; bases are prefix sums of the shards' sizes.
 
-The text is range-partitioned by document id, with a hash of the text as a second key so that even
-one id with a third of all rows is spread over partitions, and sorted; each task tokenises its range
+The text is range-partitioned by document id, with a hash of the text and a row's place in its input as further keys, so that
+one id or one repeated row with a third of all rows is spread over partitions, and sorted; there are enough ranges for about
+``SHARD_BYTES`` of input each. A task tokenises its range
 and writes one shard under a name of its own attempt. The list of shards is the result of that job, so
 what a lost or repeated attempt leaves behind is never read.
 
 Defined cases: null and empty texts have only the end id; rows are in the order of document id (null
-first), then of the text's hash, so repeated rows are adjacent; an empty table gives no shards and an
+first), then of the text's hash, so repeated rows are adjacent; a very long text goes through the tokenizer in
+slices of about 1 MB, a run without spaces as a whole; an empty table gives no shards and an
 empty result; other columns of the input are not read, whatever their names.
 """
 
@@ -34,25 +36,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import as_bytes, byte_slices, drop_path, per_worker, ready_for_python, shared_path
+from tidelog.llm.common import as_bytes, byte_slices, drop_path, input_bytes, per_worker, ready_for_python, shared_path
 
 END_ID = 1
 KEPT_CHUNKS = 800_000
+SHARD_BYTES = 256 << 20
 GROUP_WORDS = 1000
 NULL_ID = -(2**63)
 SHARDS = "shard int, path string, id_bytes int, n_docs long, n_tokens long, doc_base long, token_base long"
 #: Marks that are neither letters, digits nor white space.
-STOP = re.compile(rb"(?<=[a-z0-9])[.,](?=[ \n]|$)")  # one mark, a pre-token by itself
+STOP = re.compile(rb"(?<=[A-Za-z0-9])[.,](?=[ \n]|$)")  # one mark, a pre-token by itself
+#: A capital before a character that may be a combining mark: all from U+0300 on, as none before it is one.
+COMPOSES, CHUNK = re.compile(rb"[A-Z](?=[\xcc-\xff])"), re.compile(rb"[^ \n]+")
 MARKS = b".,;:!?\"'()[]{}*%$&#-_/|"
 
 
+def folded(text: bytes) -> bytes:
+    """ASCII lower-cased, chunks in which a capital may compose with a mark left as they are."""
+    if not COMPOSES.search(text):
+        return text.lower()
+    return CHUNK.sub(lambda m: m.group() if COMPOSES.search(m.group()) else m.group().lower(), text)
+
+
 class Encoder:
     """Ids of whole texts by a word-wise tokenizer of the tokenizers library.
 
     The tokenizer's rules never look across a space or line feed: white space is only removed, and
     neither composition nor lower-casing nor its pattern crosses it. So a text's ids are those of its
-    space-separated chunks, and a chunk is encoded once for as long as it is remembered. Lower-casing
-    ASCII first changes nothing; nor does encoding a word and the ASCII punctuation after it apart, as
+    space-separated chunks, and a chunk is encoded once for as long as it is remembered. ASCII is lower-cased
+    first, but in chunks where a mark may compose with a capital: the tokenizer composes before it
+    lower-cases. Encoding a word and the ASCII punctuation after it apart changes nothing, as
     the pattern never joins letters or digits with it. Only special tokens are spelled otherwise, so
     chunks with ``<|`` are encoded as they are. New words of letters are encoded many at once, and told apart
     by the ids that end a word.
@@ -111,7 +124,7 @@ class Encoder:
         if not text:
             return b""
         if b"<|" not in text:
-            text = STOP.sub(rb" \g<0>", text.lower())
+            text = STOP.sub(rb" \g<0>", folded(text))
         return b"".join(self._chunks(part.replace(b"\n", b" ").split(b" ")) for part in byte_slices(text))
 
 
@@ -179,9 +192,9 @@ def write_token_files(docs: DataFrame, definition: bytes, path: str | None = Non
             yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "path": [name], "id_bytes": pa.array([encoder.dtype.itemsize], pa.int32()), "n_docs": [len(offsets) - 1], "n_tokens": [int(offsets[-1])]})
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    rows = rows.withColumns({"tie": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs, text) // SHARD_BYTES))
+    ordered = rows.repartitionByRange(parts, "doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie")
     made = ordered.select("doc_id", "text").mapInArrow(write, "shard int, path string, id_bytes int, n_docs long, n_tokens long")
     shards, base = [], (0, 0)  # one short row for each task
     for r in sorted(made.collect(), key=lambda r: r.shard):
