@@ -9,10 +9,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidelog.llm.lattice import BYTE_LOGP, TOKEN, PieceModel, Trie, slices
+from tidelog.llm import lattice
+from tidelog.llm.lattice import BYTE_LOGP, TOKEN, PieceModel, Run, Trie, slices
 from tidelog.llm.piece_sampling import Sampler, decoded, piece_digest, row_seeds, with_pieces
 from tidelog.llm.queries import PIECES, TOKENIZER, op5_token_files, vocabulary
-from tidelog.llm.token_counts import token_counts
+from tidelog.llm.token_counts import counter, token_counts
 from tidelog.llm.token_files import Encoder, delete_token_files, mapped, read_token_files, write_token_files
 
 ODD = ["", None, "a", " a  b ", "\n\n x\n", "▁ü▁", "a\x00b", "日本語 テキスト😀", "x" * 3000, " " * 40, "The thing, the\tthing.", "<s> </s> <0x41>"]
@@ -114,6 +115,42 @@ def test_token_counts_are_brute_force(spark, proto):
         assert found[i] == (len(tokens), sum(len(max(paths(model, t), key=lambda x: x[0])[1]) for t in tokens))
 
 
+def test_token_counts_cases(spark, proto):
+    count = counter(proto)
+    texts = [" \n ", "the " * 400_000, "the" * 5000, "▁ü▁"]
+    rows = [(1, None, 5), (None, "", 5), (2, texts[0], 5), (2, texts[0], 5), (3, texts[1], 5), (4, texts[2], 5), (5, texts[3], 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens long")
+    found = sorted(((r.doc_id or -1, r.n_pretokens, r.n_tokens) for r in token_counts(docs, proto).collect()))
+    words, pieces = (x.tolist() for x in count(texts))
+    assert found == sorted([(1, 0, 0), (-1, 0, 0), *2 * [(2, words[0], pieces[0])], *((i, words[i - 2], pieces[i - 2]) for i in (3, 4, 5))])
+    assert words[1] == 400_001 and words[2] == 1 and pieces[2] <= 5001
+    assert token_counts(docs.limit(0), proto).collect() == []
+
+
+def test_runs_agree_with_tries(proto, monkeypatch):
+    model, draw = PieceModel(proto), random.Random(5)
+    monkeypatch.setattr(lattice, "WINDOW", 97)
+    for alphabet in ("ab", "thean", "é日本語the😀▁ab", "aGVsbG8gd29ybGQ="):
+        word = " " + "".join(draw.choices(alphabet, k=1500))
+        assert Run(model, word).count() == Trie(model, [word]).counts()[-1]
+        long, short = Sampler(model), Sampler(model)
+        key = np.array([7], dtype=np.uint64)
+        one, n_one = long._run(word, key[0])
+        two, n_two = short._draw([word], key)
+        assert one.tolist() == two.tolist() and n_one.tolist() == n_two.tolist()
+
+
+def test_unbroken_text_of_millions(proto):
+    model, draw = PieceModel(proto), random.Random(6)
+    text = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=500_000)) * 3 + " end"
+    sampler = Sampler(model)
+    ids, many = sampler.encode(["a b", text, None], np.arange(3, dtype=np.uint64))
+    assert model.spells(ids[many[0] : many[0] + many[1]], text) and not model.spells(ids[many[0] :], text[:-1]) and not many[2]
+    assert len(sampler.cum) < 1000  # the run left nothing behind
+    words, pieces = counter(proto)([text])
+    assert words[0] == 2 and 300_000 < pieces[0] < len(text)
+
+
 def test_encoder_is_the_library():
     from tokenizers import Tokenizer
 

@@ -5,12 +5,17 @@ line feed). No piece crosses such a cut, so the lattice of a text is the chain o
 its pre-tokens. Distinct pre-tokens go into a trie; forward scores belong to trie nodes, so a prefix
 that many pre-tokens share is scored once. Sorted pre-tokens with the lengths of their common
 prefixes are that trie: a row opens only the nodes that the row before it lacks.
+
+A pre-token over ``LONG`` characters (base64, minified code, scripts without spaces) is a :class:`Run` of its own:
+its edges are found ``WINDOW`` characters at a time and scored left to right with a window of the longest piece, so a
+run of any length needs little more than its own characters.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import exp, log
 
 import numpy as np
 
@@ -18,8 +23,10 @@ import numpy as np
 ZIPF_OFFSET = 10.0
 #: Log probability of one byte piece, below that of any ordinary piece.
 BYTE_LOGP = -16.0
-CHUNK_WORDS, CHUNK_CELLS = 10_000, 4_000_000
+CHUNK_WORDS, CHUNK_CELLS = 10_000, 1_000_000
 SLICE_CHARS = 1_000_000
+#: A longer pre-token is a run; one that is longer than ``SHORT`` is not remembered.
+LONG, SHORT, WINDOW = 2_000, 64, 1 << 16
 TOKEN = re.compile(r"\n| *[^ \n]+| +")
 CUT = re.compile(r"\n|(?<=[^ ]) ")
 
@@ -80,6 +87,9 @@ class PieceModel:
                 if state == len(final):
                     final.append(-1)
             final[state] = i
+        self.longest = max(map(len, self.ids), default=1)
+        self.is_byte = np.zeros(self.size, dtype=bool)
+        self.is_byte[self.byte_id] = True
         keys = np.fromiter(((s << 21) | ord(c) for s, c in step), dtype=np.int64, count=len(step))
         order = np.argsort(keys)
         self._keys, self._next = keys[order], np.fromiter(step.values(), dtype=np.int64, count=len(step))[order]
@@ -94,10 +104,51 @@ class PieceModel:
     def final(self, state: np.ndarray) -> np.ndarray:
         return self._final[state]
 
+    def endings(self, many: int, char: Callable[[np.ndarray, int], np.ndarray], depth: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Lattice edges that end at each of ``many`` places: place, length, piece, sorted by place and falling length.
+
+        ``char(places, back)`` are the code points that many places before, ``depth`` the characters up to a place. ``piece`` is a piece
+        id, or ``size`` + code point for a character spelled in bytes.
+        """
+        found: list[tuple[np.ndarray, ...]] = []
+        live, state, m = np.arange(many), np.zeros(many, dtype=np.int64), 0
+        while len(live):
+            m += 1
+            own = char(live, m - 1).astype(np.int64)
+            state = self.step(state, own)
+            piece = np.where(state >= 0, self.final(np.maximum(state, 0)), -1)
+            if m == 1:
+                piece = np.where(piece >= 0, piece, np.where(own < 128, self.byte_id[np.minimum(own, 127)], self.size + own))
+            good = piece >= 0
+            found.append((live[good], np.full(int(good.sum()), m), piece[good]))
+            keep = (state >= 0) & (depth[live] > m)
+            live, state = live[keep], state[keep]
+        place, length, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((-length, place))
+        return place[order], length[order], piece[order]
+
+    def costs(self, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability and number of pieces of each edge's piece."""
+        spelled = piece >= self.size
+        point = np.where(spelled, piece - self.size, 0)
+        size = np.where(spelled, 2 + (point >= 0x800) + (point >= 0x10000), 1)
+        plain = np.where(spelled, 0, piece)
+        return np.where(spelled | self.is_byte[plain], BYTE_LOGP * size, self.logp[plain]), size
+
     def decode(self, ids) -> str:
         """The text of piece ids; the space put before the first pre-token goes."""
         return b"".join(map(self.spelling.__getitem__, ids)).decode()[1:]
 
+    def spells(self, ids: np.ndarray, text: str) -> bool:
+        """Whether piece ids decode to the text; a bounded number at a time."""
+        want, at = memoryview((" " + text if text else "").encode()), 0
+        for lo in range(0, len(ids), 1 << 18):
+            own = b"".join(map(self.spelling.__getitem__, ids[lo : lo + (1 << 18)].tolist()))
+            if want[at : at + len(own)] != own:
+                return False
+            at += len(own)
+        return at == len(want)
+
 
 class Trie:
     """Trie of sorted distinct pre-tokens with the lattice edges that end at each node.
@@ -125,36 +176,11 @@ class Trie:
         self.level = np.searchsorted(depth, np.arange(width + 1)) + 1
         self.term = node[lens - 1, np.arange(len(words))]
 
-        found: list[tuple[np.ndarray, ...]] = []
-        live, state, m = np.arange(len(depth)), np.zeros(len(depth), dtype=np.int64), 0
-        while len(live):
-            m += 1
-            char = chars[row[live], depth[live] - (m - 1)].astype(np.int64)
-            state = model.step(state, char)
-            if m == 1:
-                piece = np.where(state >= 0, model.final(np.maximum(state, 0)), -1)
-                piece = np.where(piece >= 0, piece, np.where(char < 128, model.byte_id[np.minimum(char, 127)], model.size + char))
-                good = np.ones(len(live), dtype=bool)
-            else:
-                piece = np.where(state >= 0, model.final(np.maximum(state, 0)), -1)
-                good = piece >= 0
-            at = live[good]
-            before = depth[at] - m
-            src = np.where(before >= 0, node[np.maximum(before, 0), row[at]], 0)
-            found.append((at + 1, np.full(len(at), -m), src, piece[good]))
-            keep = (state >= 0) & (depth[live] >= m)
-            live, state = live[keep], state[keep]
-        dst, length, src, piece = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((length, dst))
-        self.dst, self.src, self.piece = dst[order], src[order], piece[order]
+        at, length, self.piece = model.endings(len(depth), lambda live, back: chars[row[live], depth[live] - back], depth + 1)
+        self.dst, before = at + 1, depth[at] - length
+        self.src = np.where(before >= 0, node[np.maximum(before, 0), row[at]], 0)
         self.ptr = np.searchsorted(self.dst, np.arange(self.nodes + 1))
-        spelled = self.piece >= model.size
-        point = np.where(spelled, self.piece - model.size, 0)
-        self.size = np.where(spelled, 2 + (point >= 0x800) + (point >= 0x10000), 1)
-        is_byte = np.zeros(model.size, dtype=bool)
-        is_byte[model.byte_id] = True
-        plain = np.where(spelled, 0, self.piece)
-        self.logp = np.where(spelled | is_byte[plain], BYTE_LOGP * self.size, model.logp[plain])
+        self.logp, self.size = model.costs(self.piece)
 
     def _levels(self):
         for lo, hi in zip(self.level[:-1], self.level[1:], strict=True):
@@ -190,14 +216,80 @@ class Trie:
         return inside
 
 
+class Run:
+    """The lattice of one long pre-token, found a window at a time; node i is the place after i characters."""
+
+    def __init__(self, model: PieceModel, word: str):
+        self.model, self.many = model, len(word)
+        self.chars = np.frombuffer(word.encode("utf-32-le"), dtype=np.uint32)
+
+    def _edges(self, lo: int, hi: int) -> tuple[np.ndarray, ...]:
+        """Edges into nodes lo + 1 to hi: first edge of each node, length, piece, log probability, number of pieces."""
+        at, length, piece = self.model.endings(hi - lo, lambda live, back: self.chars[lo + live - back], np.arange(lo + 1, hi + 1))
+        return np.searchsorted(at, np.arange(hi - lo + 1)), length, piece, *self.model.costs(piece)
+
+    def count(self) -> int:
+        """Pieces of the best segmentation, by the rule of :meth:`Trie.counts`; keeps the last nodes that a piece can reach back to."""
+        best, count, back = [0.0], [0], self.model.longest
+        for lo in range(0, self.many, WINDOW):
+            ptr, length, _, logp, size = (x.tolist() for x in self._edges(lo, min(lo + WINDOW, self.many)))
+            for a, b in zip(ptr[:-1], ptr[1:], strict=True):
+                top, first = best[-length[a]] + logp[a], a
+                for e in range(a + 1, b):
+                    if (value := best[-length[e]] + logp[e]) > top:
+                        top, first = value, e
+                count.append(count[-length[first]] + size[first])
+                best.append(top)
+            best, count = best[-back:], count[-back:]
+        return count[-1]
+
+    def sample(self, theta: float, draws: Iterator[float]) -> np.ndarray:
+        """Pieces of a path drawn backwards from the forward sums, a uniform number for each piece.
+
+        Forward sums are kept for every node (8 bytes a character); the edges of a window are found again on the way back.
+        """
+        alpha = np.empty(self.many + 1)
+        recent, back = [0.0], self.model.longest
+        alpha[0] = 0.0
+        for lo in range(0, self.many, WINDOW):
+            hi = min(lo + WINDOW, self.many)
+            ptr, length, _, logp, _ = (x.tolist() for x in self._edges(lo, hi))
+            for a, b in zip(ptr[:-1], ptr[1:], strict=True):
+                if b == a + 1:
+                    recent.append(recent[-length[a]] + theta * logp[a])
+                    continue
+                values = [recent[-length[e]] + theta * logp[e] for e in range(a, b)]
+                top = max(values)
+                recent.append(top + log(sum([exp(v - top) for v in values])))
+            alpha[lo + 1 : hi + 1] = recent[lo - hi :]
+            recent = recent[-back:]
+        out: list[np.ndarray] = []
+        node = self.many
+        for lo in range((self.many - 1) // WINDOW * WINDOW, -1, -WINDOW):
+            hi = min(lo + WINDOW, self.many)
+            ptr, length, piece, logp, _ = self._edges(lo, hi)
+            into = lo + np.repeat(np.arange(1, hi - lo + 1), np.diff(ptr))
+            chance = np.exp(alpha[into - length] + theta * logp - alpha[into]).tolist()
+            ptr, length, kinds, own = ptr.tolist(), length.tolist(), piece.tolist(), []
+            while node > lo:
+                u, a, b = next(draws), ptr[node - lo - 1], ptr[node - lo] - 1
+                while a < b and u >= chance[a]:
+                    u -= chance[a]
+                    a += 1
+                own.append(kinds[a])
+                node -= length[a]
+            out.append(np.array(own, dtype=np.int32))
+        return np.concatenate(out)[::-1]
+
+
 def tries(model: PieceModel, words) -> Iterator[tuple[list[str], Trie]]:
-    """Sorted chunks of distinct non-empty pre-tokens, each with its trie; the work of a chunk is bounded."""
+    """Sorted chunks of distinct non-empty pre-tokens of up to ``LONG`` characters, each with its trie; the work of a chunk is bounded."""
     words = sorted(words)
-    short = [w for w in words if len(w) <= 64]
+    short = [w for w in words if len(w) <= SHORT]
     for at in range(0, len(short), CHUNK_WORDS):
         yield (chunk := short[at : at + CHUNK_WORDS]), Trie(model, chunk)
     chunk: list[str] = []
-    for word in sorted((w for w in words if len(w) > 64), key=len):
+    for word in sorted((w for w in words if len(w) > SHORT), key=len):
         if chunk and (len(chunk) + 1) * len(word) > CHUNK_CELLS:
             yield (chunk := sorted(chunk)), Trie(model, chunk)
             chunk = []

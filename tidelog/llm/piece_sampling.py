@@ -10,6 +10,9 @@ Encoding puts one space before the text, as the model's pieces expect; decoding
 Characters without a piece, and a literal U+2581, are spelled in byte pieces, so
 ``decode(encode(text)) == text`` for every text.
 
+Pre-tokens over ``LONG`` characters are sampled by themselves, a window at a time, and never remembered, so a text of one unbroken
+run needs memory of about its own size.
+
 Defined cases: a null or empty text has no pieces and decodes to the empty text (null stays null in
 :func:`with_pieces`); a null key draws as one fixed key; rows with equal key and text are encoded
 alike; an empty table gives an empty result; columns of the input with the names of new columns are
@@ -27,11 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.llm.common import mix64, per_worker, ready_for_python
-from tidelog.llm.lattice import TOKEN, PieceModel, loaded, slices, tries
+from tidelog.llm.lattice import LONG, TOKEN, PieceModel, Run, loaded, slices, tries
 
 THETA, SEED = 1.0, 42
 KEPT_TOKENS, KEPT_EDGES = 150_000, 1_000_000
-GROUP_TOKENS = 100_000
+GROUP_TOKENS, GROUP_CHARS = 100_000, 1_000_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,6 +64,19 @@ class Sampler:
             self.nodes += trie.nodes
         self.cum, self.src, self.piece = np.concatenate(cum), np.concatenate(src), np.concatenate(piece)
 
+    def _draws(self, key: np.ndarray):
+        """The uniform numbers of one pre-token, step by step: those that :meth:`_draw` takes."""
+        step = np.arange(1, 4097, dtype=np.uint64)
+        while True:
+            with np.errstate(over="ignore"):
+                yield from ((mix64(key + step * GOLDEN) >> np.uint64(11)).astype(np.float64) * 2.0**-53).tolist()
+            step += np.uint64(4096)
+
+    def _run(self, word: str, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of one long pre-token."""
+        piece = Run(self.model, word).sample(self.theta, self._draws(key))
+        return self._spelled(piece, np.array([len(piece)]))
+
     def _draw(self, tokens: list[str], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of the tokens, one after another, and how many pieces each has."""
         self._learn(tokens)
@@ -102,15 +118,25 @@ class Sampler:
         tokens: list[str] = []
         owner: list[tuple[int, int, int]] = []
 
+        chars = 0
+
         def close() -> None:
             if tokens:
                 row, start, many = np.array(owner).T
                 place = np.arange(len(tokens)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start, many)
                 with np.errstate(over="ignore"):
                     key = mix64(np.repeat(seeds[row], many) ^ mix64(place.astype(np.uint64) * GOLDEN + np.uint64(1)))
-                piece, each = self._draw(tokens, key)
-                ids.append(piece.astype(np.int32))
-                np.add.at(totals, np.repeat(row, many), each)
+                owned = np.repeat(row, many)
+                long = [i for i, t in enumerate(tokens) if len(t) > LONG] if chars > LONG else []
+                at = 0
+                for i in [*long, len(tokens)]:  # stretches of ordinary pre-tokens, and the runs between them
+                    for own, made in ((slice(at, i), self._draw), (slice(i, i + 1), None)):
+                        if not tokens[own]:
+                            continue
+                        piece, each = made(tokens[own], key[own]) if made else self._run(tokens[i], key[i])
+                        ids.append(piece.astype(np.int32))
+                        np.add.at(totals, owned[own], each)
+                    at = i + 1
                 tokens.clear()
                 owner.clear()
 
@@ -121,8 +147,10 @@ class Sampler:
                 tokens.extend(found)
                 owner.append((i, place, len(found)))
                 place += len(found)
-                if len(tokens) > GROUP_TOKENS:
+                chars += len(part)
+                if len(tokens) > GROUP_TOKENS or chars > GROUP_CHARS:
                     close()
+                    chars = 0
         close()
         return np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32), totals
 
@@ -188,7 +216,7 @@ def piece_digest(docs: DataFrame, proto: bytes, theta: float = THETA, seed: int
             crc, same = [], []
             for text, lo, hi in zip(texts, (ends - many).tolist(), ends.tolist(), strict=True):
                 crc.append(zlib.crc32(ids[lo:hi].astype("<u4").tobytes()))
-                same.append(model.decode(ids[lo:hi].tolist()) == (text or ""))
+                same.append(model.spells(ids[lo:hi], text or ""))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(many), pa.array(crc, pa.int64()), pa.array(same)], names=["doc_id", "n_pieces", "ids_crc32", "lossless"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, "doc_id long, n_pieces long, ids_crc32 long, lossless boolean")

@@ -3,9 +3,10 @@
 Every document's text is segmented by the best path of a unigram model; the count of a document is
 the sum of the counts stored at its pre-tokens' terminal nodes. Distinct pre-tokens are inserted in
 a trie, the forward score of a shared prefix is computed once, and the terminal counts are kept for
-later batches in a table of bounded size. No shuffle.
+later batches in a table of bounded size. Pre-tokens over ``LONG`` characters are counted by themselves, a window at a time, and
+only short ones are remembered, so a text of one unbroken run needs little more memory than the text. No shuffle.
 
-Defined cases: a null or empty text has no tokens; a repeated row gives a repeated result; an empty
+Defined cases: a null or empty text has no tokens; of equally good segmentations the one with the longest last piece counts; a repeated row gives a repeated result; an empty
 table gives an empty result; other columns of the input are not read, whatever their names.
 """
 
@@ -17,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import per_worker, ready_for_python
-from tidelog.llm.lattice import TOKEN, loaded, slices, tries
+from tidelog.llm.lattice import LONG, SHORT, TOKEN, Run, loaded, slices, tries
 
-KEPT_TOKENS = 400_000
+KEPT_TOKENS, GROUP_TOKENS, GROUP_CHARS = 400_000, 1_000_000, 8_000_000
 SCHEMA = "doc_id long, n_pretokens long, n_tokens long"
 
 
@@ -33,9 +34,12 @@ def counter(proto: bytes):
         if len(known) + len(new) > KEPT_TOKENS:
             known.clear()
             new = set(tokens)
-        for words, trie in tries(model, new):
-            known.update(zip(words, trie.counts()[trie.term].tolist(), strict=True))
-        return np.fromiter(map(known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        runs = {t for t in new if len(t) > LONG}
+        own = {t: Run(model, t).count() for t in runs}
+        for words, trie in tries(model, new - runs):
+            own.update(zip(words, trie.counts()[trie.term].tolist(), strict=True))
+        known.update((t, n) for t, n in own.items() if len(t) <= SHORT)
+        return np.fromiter((own[t] if t in own else known[t] for t in tokens) if own else map(known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
 
     def count(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         words, pieces = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
@@ -52,14 +56,17 @@ def counter(proto: bytes):
                 tokens.clear()
                 owners.clear()
 
+        chars = 0
         for i, text in enumerate(texts):
             if text:
                 for part in slices(" " + text):
                     found = TOKEN.findall(part)
                     tokens.extend(found)
                     owners.append((i, len(found)))
-                    if len(tokens) > 1_000_000:
+                    chars += len(part)
+                    if len(tokens) > GROUP_TOKENS or chars > GROUP_CHARS:
                         close()
+                        chars = 0
         close()
         return words, pieces
 
