@@ -124,9 +124,17 @@ from placed p left join above on above.doc_id = p.doc_id
 def _op2_sql() -> str:
     rules = ", ".join(f"('{action}', '{text}', '{text.split('/')[0]}', '{text[text.index('/'):]}')" for action, text in url_filter.RULES)
 
+    def rest(url: str) -> str:
+        return f"case when instr({url}, '://') > 0 then substr({url}, instr({url}, '://') + 3) else '' end"
+
+    def place(url: str) -> str:
+        return f"translate(regexp_extract({rest(url)}, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') host, regexp_extract({rest(url)}, '^[^/?#]*([^?#]*)', 1) path"
+
     def node(url: str) -> str:
-        rest = f"case when instr({url}, '://') > 0 then substr({url}, instr({url}, '://') + 3) else '' end"
-        return f"translate(regexp_extract({rest}, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') host, regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) path"
+        return f"translate(regexp_extract({rest(url)}, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') || regexp_extract({rest(url)}, '^[^/?#]*([^#]*)', 1)"
+
+    plain = """list_reduce(list_concat([['']], list_transform(string_split(path, '/')[2:], lambda s: [s])),
+    lambda a, s: case when s[1] = '..' then a[1:greatest(len(a) - 1, 1)] when s[1] = '.' then a else list_concat(a, s) end)"""
 
     def judged(table: str) -> str:
         return f"""select t.*, r.rule, r.action from {table} t left join lateral (select rule, action from rules
@@ -138,19 +146,22 @@ tag as (select url, unnest(list_concat(
     list_transform(regexp_extract_all(html, '({url_filter.CANONICAL_TAG})', 1), lambda t: regexp_extract(t, '{url_filter.CANONICAL_HREF}', 1)),
     list_transform(regexp_extract_all(html, '({url_filter.REFRESH_TAG})', 1), lambda t: regexp_extract(t, '{url_filter.REFRESH_URL}', 1)))) link
   from pages where instr(url, '://') > 0),
-target as (select url, replace(link, '&amp;', '&') link from tag),
-pair as (select url, case when instr(link, '://') > 0 then link when starts_with(link, '//') then 'http:' || link
-  when starts_with(link, '/') then regexp_extract(url, '^[^:]*://[^/?#]*') || link end target from target),
-a as (select url, target, {node('url')} from pair where target is not null),
-b as (select host || path x, target, {node('target')} from a),
-edge as (select x, host || path y from b union select host || path, x from b),
+target as (select url, replace(link, '&amp;', '&') link, {place('url')} from tag),
+pair as (select url, case when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') then substr(link, instr(link, '://') + 3)
+  when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') or link = '' or starts_with(link, '#') then null
+  when starts_with(link, '//') then substr(link, 3) when starts_with(link, '/') then host || link when starts_with(link, '?') then host || path || link
+  else host || case when path = '' then '/' else regexp_extract(path, '^(.*/)?') end || link end target, starts_with(link, '?') asis from target),
+cut as (select url, regexp_extract(target, '^([^/?#]*)', 1) host, regexp_extract(target, '^[^/?#]*([^?#]*)', 1) path, regexp_extract(target, '^[^?#]*([^#]*)', 1) query, asis from pair where target is not null),
+edge0 as (select {node('url')} x, translate(host, '{_UPPER}', '{_LOWER}') || case when contains(path, '/.') and not asis then array_to_string({plain}, '/')
+  || case when regexp_matches(path, '/[.][.]?$') then '/' else '' end else path end || query y from cut),
+edge as (select x, y from edge0 union select y, x from edge0),
 reach as (select x root, x node from edge union select r.root, e.y from reach r join edge e on e.x = r.node),
-member as (select distinct root, node, regexp_extract(node, '^[^/]*') host, substr(node, length(regexp_extract(node, '^[^/]*')) + 1) path from reach),
+member as (select distinct root, node, regexp_extract(node, '^[^/?]*') host, regexp_extract(node, '^[^/?]*([^?]*)', 1) path from reach),
 ruled as ({judged('member')}),
 blocked as (select root from ruled group by root having bool_or(coalesce(action, '') = 'block') and not bool_or(coalesce(action, '') = 'allow')),
-page as (select page_id, {node("coalesce(url, '')")} from pages),
+page as (select page_id, {place("coalesce(url, '')")}, {node("coalesce(url, '')")} node from pages),
 judged as ({judged('page')})
-select page_id, host, path, rule, coalesce(action, case when host || path in (select root from blocked) then 'block' else 'allow' end) verdict from judged
+select page_id, host, path, rule, coalesce(action, case when node in (select root from blocked) then 'block' else 'allow' end) verdict from judged
 """
 
 

@@ -1,13 +1,17 @@
 """URL rules whose decisions spread over redirect equivalence.
 
-A URL's node is its host and path. Allow and block rules judge a node directly; the longest rule that fits
+A node is an address: host, path and query string; neither scheme nor fragment tell addresses apart. Allow and block rules judge
+a node by host and path; the longest rule that fits
 wins, an allow before a block of equal length. Redirects (meta refresh) and canonical links in the pages, and any
 further edges given, join nodes into classes by distributed connected components. A class with a
 block has its unruled aliases blocked, unless a rule explicitly allows one of its nodes: an explicit
 allow takes precedence over what spreads, but never over a node's own rule. A class without rules is allowed.
 
-Defined cases: a null URL, or one without ``://``, has empty host and path and is judged like any other
-node; null html has no links; links that name neither a host nor an absolute path are ignored; repeated pages
+Links are resolved against their page's URL as RFC 3986 says, dot segments included; links of schemes without ``//`` (mail, scripts)
+and links to a place in the page itself join nothing, and ``base`` tags are not read.
+
+Defined cases: a null URL, or one without ``://``, has empty host and path, its links are not read and it is in no class; null html has
+no links; very long html is searched whole; repeated pages
 get equal results; an empty table gives an empty result; other columns of the input are not read,
 whatever their names.
 """
@@ -62,15 +66,46 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     # Both tags are rare: the cheap test spares most pages the patterns.
     likely = F.lower(F.col(html)).contains("canonical") | F.lower(F.col(html)).contains("refresh")
     found = pages.where(likely & F.col(url).contains("://")).select(F.col(url).alias("from_url"), F.explode(tags).alias("link"))
-    link = F.replace(F.col("link"), F.lit("&amp;"), F.lit("&"))
-    origin = F.regexp_extract("from_url", r"^[^:]*://[^/?#]*", 0)
-    to = F.when(link.contains("://"), link).when(link.startswith("//"), F.concat(F.lit("http:"), link)).when(link.startswith("/"), F.concat(origin, link))
-    return found.select("from_url", to.alias("to_url")).where(F.col("to_url").isNotNull())
+    found = found.select("from_url", F.replace(F.col("link"), F.lit("&amp;"), F.lit("&")).alias("link"))
+    return found.select("from_url", resolved("from_url", "link").alias("to_url")).where(F.col("to_url").isNotNull())
+
+
+def without_dots(path: Column) -> Column:
+    """A path that starts with a slash without its ``.`` and ``..`` segments."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        F.slice(parts, 2, F.size(parts)), F.array(F.lit("")),
+        lambda a, s: F.when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))).when(s == ".", a).otherwise(F.concat(a, F.array(s))),
+    )
+    last = F.element_at(parts, -1)
+    whole = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(F.contains(path, F.lit("/.")), F.array_join(whole, "/")).otherwise(path)
+
+
+def resolved(base: str, link: str) -> Column:
+    """The absolute address of a link in the page at ``base``; null where it leads to no other page."""
+    own = F.col(link)
+    host, path = host_and_path(base)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, "^(.*/)?", 0))
+    rest = (
+        F.when(own.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.expr(f"substring({link}, instr({link}, '://') + 3)"))
+        .when(own.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (own == "") | own.startswith("#"), None)
+        .when(own.startswith("//"), F.substring(own, 3, 1 << 30))
+        .when(own.startswith("/"), F.concat(host, own))
+        .when(own.startswith("?"), F.concat(host, path, own))
+        .otherwise(F.concat(host, folder, own))
+    )
+    part = lambda pattern: F.regexp_extract(rest, pattern, 1)
+    way = part("^[^/?#]*([^?#]*)")
+    # a link that is a query alone has its page's path, as that is
+    return F.concat(F.lit("://"), part("^([^/?#]*)"), F.when(own.startswith("?"), way).otherwise(without_dots(way)), part("^[^?#]*([^#]*)"))
 
 
-def _nodes(df: DataFrame, url: str, out: str) -> DataFrame:
-    host, path = host_and_path(url)
-    return df.withColumn(out, F.concat(host, path))
+def node(url: str) -> Column:
+    """Host (A-Z lower-cased), path and query string of a URL column; empty without ``://``."""
+    at = F.instr(F.col(url), "://")
+    rest = F.coalesce(F.when(at > 0, F.expr(f"substring({url}, instr({url}, '://') + 3)")), F.lit(""))
+    return F.concat(F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), UPPER, LOWER), F.regexp_extract(rest, "^[^/?#]*([^#]*)", 1))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, more_edges: DataFrame | None = None) -> DataFrame:
@@ -80,20 +115,19 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, more_edge
     links = page_links(pages)
     if more_edges is not None:
         links = links.unionByName(more_edges.select("from_url", "to_url").where(F.col("from_url").contains("://") & F.col("to_url").contains("://")))
-    edges = _nodes(_nodes(links, "from_url", "a"), "to_url", "b").select("a", "b")
+    edges = links.select(node("from_url").alias("a"), node("to_url").alias("b"))
     roots = written(connected_components(edges, "a", "b"), "aliases")
 
-    host = F.regexp_extract("node", "^[^/]*", 0)
-    named = roots.withColumns({"host": host, "path": F.expr("substring(node, length(regexp_extract(node, '^[^/]*', 0)) + 1)")})
+    named = roots.withColumns({"host": F.regexp_extract("node", "^[^/?]*", 0), "path": F.regexp_extract("node", "^[^/?]*([^?]*)", 1)})
     named = named.withColumn("own", rule_for("host", "path", rules)[1])
     classes = written(named.groupBy("root").agg(F.max(F.col("own") == "allow").alias("allowed"), F.max(F.col("own") == "block").alias("blocked")), "classes")
     blocked = F.coalesce("blocked", F.lit(False)) & ~F.coalesce("allowed", F.lit(False))
     spread = written(roots.join(classes, "root").where(blocked).select(F.col("node").alias("blocked_node")), "blocked")
 
     host, path = host_and_path("url")
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), node("url").alias("node"))
     rule, verdict = rule_for("host", "path", rules)
-    rows = rows.select("*", rule.alias("rule"), verdict.alias("own"), F.concat("host", "path").alias("node"))
+    rows = rows.select("*", rule.alias("rule"), verdict.alias("own"), "node")
     judged = rows.join(spread, F.col("node") == F.col("blocked_node"), "left")
     method = F.when(F.col("blocked_node").isNotNull(), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("own", method).alias("verdict"))
