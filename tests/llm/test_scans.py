@@ -11,31 +11,50 @@ import pytest
 
 import corpus_pipeline
 from tidelog.llm import license_scan as ls
+from tidelog.llm.licence_texts import TEMPLATES
 from tidelog.llm.queries import oracle_sql
 from tidelog.llm.url_filter import RULES, judge_urls, resolved
 
 SF = "/root/testdata/sf0.001"
 
 
-def brute_line(files, templates, least):
-    """Best licence of each text by cosines over all lines, without any shortcut."""
-    lines = [re.findall("[a-z0-9]+", line.lower().encode().decode("ascii", "replace").replace("�", " ")) for _, t in files for line in (t or "").split("\n")]
-    lines = [w for w in lines if w]
-    known = {w for _, t in templates for w in re.findall("[a-z0-9]+", t.lower())}
-    seen = Counter(w for line in lines for w in set(line) & known)
-    idf = lambda w: math.log((1 + len(lines)) / (1 + (seen[w] if w in known else 0))) + 1
+def brute_units(path, text):
+    """Units of a text: word lists."""
+    lines = (text or "").split("\n")
+    words = [re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m.group().lower(), line)) for line in lines]
+    out = [w for w in words if w]
+    block = []
+    for w in [*words, []]:
+        if not w and block:
+            out.append(block)
+            block = []
+        block = block + w
+    head = []
+    for line, w in zip(lines, words, strict=True):
+        if w and not re.match(ls.COMMENT, line):
+            break
+        head += w
+    if path and re.match(ls.LICENCE_NAME, path.split("/")[-1]):
+        out.append(sum(words, []))
+    return [u for u in [*out, head] if u]
+
+
+def brute_licences(files, templates, least):
+    """Best licence of each text by cosines of all units, without any shortcut."""
+    lines = [set(w) for _, t in files for line in (t or "").split("\n") if (w := re.findall("[a-z0-9]+", line.lower()))]
+    seen = Counter(w for line in lines for w in line)
+    idf = lambda w: math.log((1 + len(lines)) / (1 + seen[w])) + 1
+    other = [(name, Counter(re.findall("[a-z0-9]+", t.lower()))) for name, t in templates]
+    norm = lambda c: math.sqrt(sum((n * idf(w)) ** 2 for w, n in c.items()))
     out = {}
     for path, text in files:
-        best = []
-        for line in (text or "").split("\n"):
-            own = Counter(re.findall("[a-z0-9]+", line.lower()))
-            for name, template in templates:
-                other = Counter(re.findall("[a-z0-9]+", template.lower()))
-                norm = math.sqrt(sum((n * idf(w)) ** 2 for w, n in own.items()) * sum((n * idf(w)) ** 2 for w, n in other.items()))
-                score = round(sum(n * other[w] * idf(w) ** 2 for w, n in own.items()) / norm, 6) if norm else 0
+        best = [(-1.0, t) for t in re.findall(ls.SPDX, text or "")]
+        for own in map(Counter, brute_units(path, text)):
+            for name, c in other:
+                score = round(sum(n * c[w] * idf(w) ** 2 for w, n in own.items()) / norm(own) / norm(c), 6)
                 if score >= least:
                     best.append((-score, name))
-        out[path] = min(best)[1] if best else None
+        out[path] = min(best) if best else (None, None)
     return out
 
 
@@ -50,7 +69,7 @@ def test_licences(spark):
     found = ls.license_scan(docs).collect()
     own = {r.path: r for r in found}
     assert len(found) == len(files) + 1
-    assert {p: own[p].own_license for p, _ in files} == {p: n for p, n in brute_line([*files, ("", mit)], ls.TEMPLATES, ls.LEAST_COSINE).items() if p}
+    assert {p: own[p].own_license for p, _ in files} == {p: n for p, (_, n) in brute_licences([*files, ("", mit)], TEMPLATES, ls.LEAST_COSINE).items() if p}
     assert (own["src/a.py"].license, own["src/a.py"].inherited_from) == ("MIT", "")
     assert (own["src/deep/er/b.py"].license, own["src/deep/er/b.py"].inherited_from) == ("CC-BY-NC-4.0", "src/deep/")
     assert (own["src/deep/c.py"].license, own["src/deep/c.py"].origin) == ("Apache-2.0", "own")
@@ -61,10 +80,38 @@ def test_licences(spark):
 
 
 def test_shortcut_misses_nothing(spark):
-    texts = [t for _, t in ls.TEMPLATES] + [" ".join(t.split()[: len(t.split()) * 2 // 3]) for _, t in ls.TEMPLATES] + ["the work of this software", "License License"]
-    files = [(f"{i}", t) for i, t in enumerate(texts)]
-    docs = spark.createDataFrame(files, "path string, text string")
-    assert {r.path: r.own_license for r in ls.license_scan(docs).collect()} == brute_line(files, ls.TEMPLATES, ls.LEAST_COSINE)
+    texts = [t for _, t in TEMPLATES] + [" ".join(t.split()[: len(t.split()) * 2 // 3]) for _, t in TEMPLATES] + ["the work of this software", "License License", "SPDX-License-Identifier: WTFPL", "software " * 300_000 + "license"]
+    draw = random.Random(3)
+    for _, t in TEMPLATES:
+        words = t.split()
+        cut = [i for i in range(len(words)) if draw.random() < 0.15]
+        texts.append("\n".join(" ".join(["# ", *words[a:b]]) for a, b in zip([0, *cut], [*cut, len(words)], strict=True)) + "\n\nimport x\n")
+        texts.append(f"prose about the thing\n{t}\nmore of it and so on")
+    files = [(f"{i}", t) for i, t in enumerate(texts)] + [("d/COPYING", f"Title\n\n{TEMPLATES[5][1]}\n\nthe rest")]
+    docs = spark.createDataFrame(files, "path string, text string").repartition(3)
+    found = {r.path: (None if r.cosine is None else -r.cosine, r.own_license) for r in ls.license_scan(docs).collect()}
+    want = brute_licences(files, TEMPLATES, ls.LEAST_COSINE)
+    assert {p: n for p, (_, n) in found.items()} == {p: n for p, (_, n) in want.items()}
+    assert all(found[p][0] == pytest.approx(c, abs=2e-6) for p, (c, _) in want.items())
+
+
+def test_headers_and_licence_files(spark):
+    gpl = next(t for n, t in TEMPLATES if n == "GPL-3.0" and "redistribute" in t).split()
+    wrapped = "#!/bin/sh\n# prog, a program\n#\n" + "\n".join("# " + " ".join(gpl[i : i + 9]) for i in range(0, len(gpl), 9)) + "\n\necho hello"
+    title = next(t for n, t in TEMPLATES if n == "AGPL-3.0" and "verbatim" in t)
+    files = [("a/x.sh", wrapped), ("b/LICENSE", f"                {title[:60]}\n   {title[60:]}\n\n  Preamble\n\n" + "words of the licence " * 50), ("b/y.c", "int x;"), ("c/z.py", "# SPDX-License-Identifier: Apache-2.0\nx = 1")]
+    found = {r.path: (r.license, r.origin) for r in ls.license_scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert found == {"a/x.sh": ("GPL-3.0", "own"), "b/LICENSE": ("AGPL-3.0", "own"), "b/y.c": ("AGPL-3.0", "inherited"), "c/z.py": ("Apache-2.0", "own")}
+
+
+def test_licence_ties_and_names(spark):
+    same = [("B", "one two three"), ("A", "three two one")]
+    names = ["path", "text", "of", "from_above", "__mostly", "source", "term", "n", "up", "license", "__row", "Key", "up.x"]
+    docs = spark.createDataFrame([("x", "one two three", *map(str, range(11))), ("y", None, *map(str, range(11)))], names)
+    rows = {r.path: r for r in ls.license_scan(docs, same).collect()}
+    assert (rows["x"].license, rows["x"].cosine, rows["y"].license, rows["y"].origin) == ("A", 1.0, "A", "inherited")
+    assert rows["x"].__fields__ == [n for n in names[2:] if n != "license"] + ["path", "directory", "own_license", "cosine", "license", "inherited_from", "origin"]
+    assert (rows["y"]["of"], rows["y"]["up.x"]) == ("0", "10")
 
 
 def link(url):

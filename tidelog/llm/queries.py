@@ -91,27 +91,33 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _op1_sql() -> str:
-    lines = ", ".join(f"({i}, '{name}', '{text.lower()}')" for i, (name, text) in enumerate(license_scan.TEMPLATES))
+    quoted = lambda x: x.replace("'", "''")
+    lines = ", ".join(f"({i}, '{name}', '{quoted(text.lower())}')" for i, (name, text) in enumerate(license_scan.TEMPLATES))
     return rf"""
 with template(tid, name, text) as (values {lines}),
 tt as (select tid, term, count(*) n from (select tid, unnest(regexp_extract_all(text, '[a-z0-9]+')) term from template) group by tid, term),
-vocabulary as (select distinct term from tt),
-line as (select row_number() over () lid, doc_id, regexp_extract_all(translate(line, '{_UPPER}', '{_LOWER}'), '[a-z0-9]+') w
-  from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line from documents)),
-total as (select count(*) n from line where len(w) > 0),
-lt as (select lid, term, count(*) n from (select lid, unnest(w) term from line) group by lid, term),
-seen as (select term, count(*) n from lt where term in (select term from vocabulary) group by term),
-idf as (select v.term, ln((1 + (select n from total)) / (1 + coalesce(seen.n, 0))) + 1 w from vocabulary v left join seen on seen.term = v.term),
-tlen as (select tid, sqrt(sum((n * w) * (n * w))) l from tt join idf using (term) group by tid),
-touched as (select distinct lid from lt where term in (select term from vocabulary)),
-llen as (select lid, sqrt(sum(power(n * coalesce(idf.w, ln(1 + (select n from total)) + 1), 2))) l from lt left join idf on idf.term = lt.term where lid in (select lid from touched) group by lid),
-cosine as (select lt.lid, template.name, round(sum(lt.n * idf.w * tt.n * idf.w) / (max(llen.l) * max(tlen.l)), 6) c
-  from lt join tt on tt.term = lt.term join idf on idf.term = lt.term join tlen on tlen.tid = tt.tid join llen on llen.lid = lt.lid join template on template.tid = tt.tid group by lt.lid, tt.tid, template.name),
-best as (select lid, name, c from cosine where c >= {license_scan.LEAST_COSINE} qualify row_number() over (partition by lid order by c desc, name) = 1),
-own as (select doc_id, name, c, sum(len(w)) over (partition by doc_id) inside from best join line using (lid) qualify row_number() over (partition by doc_id order by c desc, name) = 1),
-words as (select doc_id, sum(len(w)) words from line group by doc_id),
-file as (select d.doc_id, concat_ws('/', source, cast(d.doc_id // 1000 as varchar), cast(d.doc_id // 100 % 10 as varchar), d.doc_id || '.txt') path, own.name own_license, own.c cosine, inside >= words / 3.0 mostly
-  from documents d left join own on own.doc_id = d.doc_id left join words on words.doc_id = d.doc_id),
+line as (select doc_id, i, line, regexp_extract_all(translate(line, '{_UPPER}', '{_LOWER}'), '[a-z0-9]+') w
+  from (select doc_id, unnest(l) line, unnest(range(len(l))) i from (select doc_id, string_split(coalesce(text, ''), chr(10)) l from documents))),
+numbered as (select *, sum(case when len(w) = 0 then 1 else 0 end) over (partition by doc_id order by i) block from line),
+top as (select doc_id, min(case when len(w) > 0 and not regexp_matches(line, '{license_scan.COMMENT}') then i end) i from line group by doc_id),
+unit as (select doc_id, 0 kind, i place, w from numbered where len(w) > 0 union all select doc_id, 1, block, flatten(list(w order by i)) from numbered where len(w) > 0 group by doc_id, block
+  union all select n.doc_id, 2, 0, flatten(list(w order by n.i)) from numbered n join top on top.doc_id = n.doc_id where len(w) > 0 and (top.i is null or n.i < top.i) group by n.doc_id),
+named as (select row_number() over () uid, * from unit),
+ut as (select uid, term, count(*) n from (select uid, unnest(w) term from named) group by uid, term),
+total as (select count(*) n from named where kind = 0),
+seen as (select term, count(*) n from ut join named using (uid) where kind = 0 group by term),
+idf as (select term, ln((1 + (select n from total)) / (1 + coalesce(seen.n, 0))) + 1 w from (select term from seen union select term from tt) x left join seen using (term)),
+tlen as (select tid, sqrt(sum(power(n * w, 2))) l from tt join idf using (term) group by tid),
+dot as (select ut.uid, tt.tid, sum(ut.n * idf.w * tt.n * idf.w) d from ut join tt using (term) join idf using (term) group by ut.uid, tt.tid),
+ulen as (select uid, sqrt(sum(power(n * w, 2))) l from ut join idf using (term) where uid in (select uid from dot) group by uid),
+near as (select uid, name, round(d / (ulen.l * tlen.l), 6) c from dot join ulen using (uid) join tlen using (tid) join template using (tid)),
+best as (select doc_id, kind, name, c, len(w) n from (select * from near where c >= {license_scan.LEAST_COSINE} qualify row_number() over (partition by uid order by c desc, name) = 1) join named using (uid)
+  union all select doc_id, 0, tag, 1.0, len(w) from (select doc_id, w, unnest(regexp_extract_all(line, '{license_scan.SPDX}', 1)) tag from line)),
+own as (select doc_id, arg_min(name, {{'c': -c, 'n': name}}) name, max(c) c from best group by doc_id),
+inside as (select doc_id, max(n) n from (select doc_id, kind, sum(n) n from best group by doc_id, kind) group by doc_id),
+words as (select doc_id, sum(len(w)) n from line group by doc_id),
+file as (select d.doc_id, concat_ws('/', source, cast(d.doc_id // 1000 as varchar), cast(d.doc_id // 100 % 10 as varchar), d.doc_id || '.txt') path, own.name own_license, own.c cosine, inside.n >= words.n / 3.0 mostly
+  from documents d left join own on own.doc_id = d.doc_id left join inside on inside.doc_id = d.doc_id left join words on words.doc_id = d.doc_id),
 placed as (select *, regexp_extract(path, '^(.*/)?') directory from file),
 source as (select directory source, arg_min(own_license, path) license from placed where own_license is not null and mostly group by directory),
 above as (select p.doc_id, arg_max(s.source, length(s.source)) up, arg_max(s.license, length(s.source)) license from placed p join source s on starts_with(p.directory, s.source) where p.own_license is null group by p.doc_id)
