@@ -159,6 +159,44 @@ def test_all_near_copies_go_and_no_others(spark):
     assert kept == [0]
 
 
+@pytest.mark.parametrize("block", [400, 7])
+def test_groups_around_the_threshold_are_brute_force(spark, monkeypatch, block):
+    """Many texts at 0.6 to 0.95 of one original and of one another, as one bucket or in blocks: the components of all pairs."""
+    monkeypatch.setattr(simhash, "BLOCK_NODES", block)
+    monkeypatch.setattr(simhash, "HUB_TURNS", 1)
+    draw = random.Random(12)
+    texts = []
+    for _ in range(3):
+        original = [f"w{draw.randrange(10**6)}" for _ in range(200)]
+        middle = [edited(original, s, draw) for s in (0.75, 0.78, 0.85)]
+        texts += [edited(m, s, draw) for m in (original, *middle) for s in (0.7, 0.76, 0.79, 0.82, 0.9) for _ in range(3)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in texts]
+    near = [[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]
+    least = list(range(len(rows)))
+    for _ in rows:
+        least = [min(least[j] for j in range(len(rows)) if near[i][j]) for i in range(len(rows))]
+    kept = {r.doc_id for r in simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(least) and 20 < len(kept) < len(rows) - 20
+
+
+def test_bitmaps_miss_nothing():
+    draw = np.random.default_rng(3)
+    base = draw.integers(0, 2**63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((draw.choice(base, n, replace=False), draw.integers(0, 2**63, m, dtype=np.uint64)))) for n, m in [(400, 0), (370, 20), (360, 45), (380, 40), (300, 0), (330, 90), (200, 200), (5, 0)] * 3]
+    group = simhash.SetGroup(sets, list(range(len(sets))), 0.8)
+    every = np.arange(len(sets))
+    found = group.links(every, every)
+    assert all(simhash.alike(sets[i], sets[j], 0.8) for i, j in found) and len(found) < len(sets)
+    assert all(group.part[i] == group.part[j] for i in every for j in every if simhash.alike(sets[i], sets[j], 0.8))
+
+
+def test_rows_of_equal_text_have_one_choice(spark):
+    rows = [(1, "a b c d e f", x) for x in ("p", "q", "r", "s")]
+    kept = [simhash.without_near_copies(spark.createDataFrame(order, "doc_id long, text string, source string").repartition(n)).collect() for order, n in ((rows, 1), (rows[::-1], 3))]
+    assert kept[0] == kept[1] and len(kept[0]) == 1
+
+
 def test_documents_below_the_threshold_stay(spark):
     """No document goes for a similarity that the fingerprints only estimate."""
     rows, similar = planted([0.79, 0.78, 0.76], 30, 7)

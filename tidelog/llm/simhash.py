@@ -13,8 +13,9 @@ a group of copies. A group over ``GROUP_LIMIT`` is dealt further by pieces of it
 than bits may still differ, of which a linked pair shares at least one; so large groups are split without
 losing a link. Links then go through distributed connected components.
 
-:func:`without_near_copies` works on the shingle sets themselves: MinHash tables name the pairs to compare, and a pair is
-linked by its exact Jaccard similarity.
+:func:`without_near_copies` works on the shingle sets themselves: MinHash tables name the sets to compare, and two are
+linked by their exact Jaccard similarity. Fingerprints can't do this: at 0.8 two of 512 bits differ in 78 bits, so half of such pairs
+miss every index of segments that is selective enough, and pairs at 0.76 pass the same number of bits.
 
 With ``max_distance`` above what the segments guarantee (2 * segments - 1 of the indexed bits), links up to
 the guarantee are all found, and those beyond it if one segment is still within a bit.
@@ -43,6 +44,8 @@ GROUP_LIMIT = 5000
 HASHES_AT_ONCE = 200_000
 TABLES, TABLE_MINIMA = 32, 5  # MinHash tables of near-dedup and the minima in a key
 HUB_TURNS, HUB_PAIRS = 3, 100
+#: Members of a table key that are compared in one task, by number and bytes of their sets; more are dealt in blocks.
+BLOCK_NODES, BLOCK_BYTES = 400, 16 << 20
 
 
 def _shingle_hashes(text: bytes, size: int):
@@ -317,8 +320,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             near = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(c.as_buffer(), dtype=np.uint64) for c in (x, y))
-                shared = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= least * max(len(x), len(y)) - 1 else 0
-                near.append(shared > 0 and shared / (len(x) + len(y) - shared) >= least)
+                near.append(alike(x, y, least))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(near, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
     return both.mapInArrow(compare, "a long, b long")
@@ -332,20 +334,91 @@ def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
     return met.groupBy(F.col("node").alias("b")).agg(F.min_by("a", F.xxhash64("a", F.lit(turn))).alias("a")).select("a", "b")
 
 
-def _other_pairs(rows: DataFrame) -> DataFrame:
-    """Every pair of nodes of a table key that are in different components."""
-    main = rows.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", "count").alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    mixed = rows.join(main, "key")
-    strays = mixed.where("root != main").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    met = strays.join(mixed, "key").where("root != root_a and (root = main or node < a)")
-    return met.select("a", F.col("node").alias("b")).distinct()
+class SetGroup:
+    """Shingle sets that are compared with one another: a pair is linked by its exact Jaccard similarity, and components grow as links are found.
+
+    A bitmap of the parity of each set's shingles spares most comparisons: two bitmaps differ in no more bits than two sets in shingles.
+    """
+
+    def __init__(self, sets: list[np.ndarray], roots: list[int], least: float):
+        self.sets, self.least = sets, least
+        self.size = np.array([len(x) for x in sets])
+        _, self.part = np.unique(np.array(roots, dtype=np.int64), return_inverse=True)
+        bits = 1 << int(np.clip(np.ceil(np.log2(4 * np.median(self.size) + 1)), 10, 16))
+        parity = [np.packbits(np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1) for x in sets]
+        self.maps = np.stack(parity).view(np.uint64)
+
+    def links(self, first: np.ndarray, second: np.ndarray) -> list[tuple[int, int]]:
+        """Links that join what is within the threshold, between the members ``first`` and ``second`` (by number); no more than members."""
+        out = []
+        share = (1 - self.least) / (1 + self.least)
+        for i in first.tolist():
+            other = second[second > i] if first is second else second
+            other = other[self.part[other] != self.part[i]]
+            n, m = self.size[i], self.size[other]
+            other = other[np.minimum(n, m) >= self.least * np.maximum(n, m) - 1e-9]
+            if not len(other):
+                continue
+            apart = np.bitwise_count(self.maps[other] ^ self.maps[i]).sum(axis=1, dtype=np.int64)
+            for j in other[apart <= share * (n + self.size[other]) + 1e-9].tolist():
+                if self.part[i] != self.part[j] and alike(self.sets[i], self.sets[j], self.least):
+                    self.part[self.part == self.part[j]] = self.part[i]
+                    out.append((i, j))
+        return out
+
+
+def alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of ``least`` or more; sets without elements are alike to none."""
+    if min(len(x), len(y)) < least * max(len(x), len(y)) - 1:
+        return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared > 0 and shared / (len(x) + len(y) - shared) >= least
+
+
+def _key_links(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Verified links (a, b) among the nodes of each table key that are in different components (key, node, root); the links of a key are a forest.
+
+    Keys with the same nodes are searched once. A key with many nodes is dealt in blocks, and each pair of blocks is searched by itself.
+    """
+    sized = rows.join(sets.select("node", F.octet_length("shingles").alias("bytes")), "node")
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
+    keys = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("root").alias("low"), F.max("root").alias("high"), *marks).where("low < high")
+    keys = keys.groupBy("n", "bytes", "mark1", "mark2").agg(F.min("key").alias("key"))
+    keys = keys.select("key", F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = rows.join(keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root")
+    group = ["key", "lo", "hi"]
+    ready = dealt.join(sets, "node").select(*group, "block", "node", "root", "shingles").repartition(*group).sortWithinPartitions(*group)
+
+    def search(batches):
+        at, kept = None, []
+
+        def close():
+            blocks = np.array([r[0] for r in kept])
+            found = SetGroup([np.frombuffer(r[3], dtype=np.uint64) for r in kept], [r[2] for r in kept], least)
+            one, two = np.flatnonzero(blocks == at[1]), np.flatnonzero(blocks == at[2])
+            pairs = found.links(one, one if at[1] == at[2] else two)
+            ends = [pa.array([kept[p[i]][1] for p in pairs], pa.int64()) for i in (0, 1)]
+            kept.clear()
+            return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+        for batch in batches:
+            for *own, block, node, root, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != at and kept:
+                    yield close()
+                at = own
+                kept.append((block, node, root, shingles))
+        if kept:
+            yield close()
+
+    return ready.mapInArrow(search, "a long, b long")
 
 
 def shingle_components(docs: DataFrame, own: DataFrame, size: int, least: float) -> DataFrame:
     """(node, root) of the nodes of ``own`` (a written table: node, id, none, tie, rows, keys) linked to others; every link is verified on the shingle sets.
 
-    Nodes of a table key are compared with a hub first, a hub a node and turn, which settles groups of near copies without their pairs;
-    all pairs of a key that are then in different components are compared after that.
+    Nodes of a table key are compared with a hub first, a hub a node and turn, which settles groups of near copies without their pairs.
+    Nodes of a key that are then in different components are compared within a task, which emits a forest of the links.
     """
     members = own.select("node", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -359,9 +432,8 @@ def shingle_components(docs: DataFrame, own: DataFrame, size: int, least: float)
         sets = once
     tried, links, behind = None, None, [sets]
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
-    for turn in range(HUB_TURNS + 1):
-        pairs = _hub_pairs(rows, turn) if turn < HUB_TURNS else _other_pairs(rows)
-        pairs = pairs.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")})
+    for turn in range(HUB_TURNS):
+        pairs = _hub_pairs(rows, turn).withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")})
         pairs = written(pairs.join(tried, ["low", "high"], "left_anti") if tried else pairs, "pairs")
         behind.append(pairs)
         if pairs.isEmpty():
@@ -371,10 +443,13 @@ def shingle_components(docs: DataFrame, own: DataFrame, size: int, least: float)
         behind.append(found)
         links = links.unionByName(found) if links else found
         roots = written(connected_components(links, "a", "b"), "roots")
-        if turn < HUB_TURNS:
-            new = written(rows.drop("root").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "members")
-            drop_written(rows)
-            rows = new
+        new = written(rows.drop("root").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "members")
+        drop_written(rows)
+        rows = new
+    found = written(_key_links(rows, sets, least), "links")
+    behind.append(found)
+    if not found.isEmpty():
+        roots = written(connected_components(links.unionByName(found) if links else found, "a", "b"), "roots")
     for table in (*behind, rows):
         drop_written(table)
     return roots
@@ -402,5 +477,8 @@ def without_near_copies(docs: DataFrame, size: int = 5, least: float = 0.8, tabl
     kept = inner.join(best, own)
     out = kept.where("__rows = 1").select(*back)
     if not best.where("__rows > 1").isEmpty():
-        out = out.unionByName(kept.where("__rows > 1").dropDuplicates(["__id", "__none", "__tie"]).select(*back))
+        # of rows with equal id and text that of the smallest hash over all columns that can be hashed
+        plain = [f"`{f.name}`" for f in inner.schema.fields if "map<" not in f.dataType.simpleString()]
+        many = kept.where("__rows > 1").select("__id", "__none", "__tie", F.struct(*back).alias("row"), F.xxhash64(*plain).alias("order"))
+        out = out.unionByName(many.groupBy("__id", "__none", "__tie").agg(F.min_by("row", "order").alias("row")).select("row.*"))
     return out
