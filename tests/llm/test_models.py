@@ -1,7 +1,9 @@
 """Language ID, toxicity and the permutation index: brute force and held-out accuracy."""
 
 import itertools
+import math
 import random
+import string
 from collections import Counter
 
 import numpy as np
@@ -12,7 +14,8 @@ from tidelog.llm.boosting import BoostedTrees, isotonic
 from tidelog.llm.language_id import Labeller, held_out, train, viterbi, with_language
 from tidelog.llm.permutation_index import Shard, choose_pivots, lengthened, nearest_neighbours, pivot_order
 from tidelog.llm.queries import op7_toxicity, op9_language_id
-from tidelog.llm.toxicity import Features, normal, tokens, toxicity_scores
+from tidelog.llm.toxicity import SECOND_PERSON, Features, _takes, labelled, normal, tokens, toxicity_scores, with_toxicity
+from tidelog.llm.toxicity import train as train_toxicity
 
 SF = "/root/testdata/sf0.01"
 EN = "the cat sat on the mat and the dog ran with a ball through this house while she was there"
@@ -115,6 +118,98 @@ def test_toxicity_cases_and_accuracy(spark):
     assert auc > 0.8 and (held["predicted"] == held["toxic"]).mean() > 0.9
 
 
+def plain_features(lexicon, text):
+    """The dense features by plain loops."""
+    if not text:
+        return [0.0] * 15
+    words = [normal(w) for w in text.split()]
+    weight = [max([lexicon.get(t, 0.0) for t in tokens(w)], default=0.0) for w, _, _ in words]
+    hits = [i for i, w in enumerate(weight) if w > 0]
+    person = [w in SECOND_PERSON for w, _, _ in words]
+    n, chars, raw = max(1, len(words)), len(text.encode()), text.split()
+    near = sum(any(person[max(0, i - 3) : i + 4]) for i in hits)
+    mean = lambda flags: sum(flags) / n
+    return [
+        len(hits) / n, math.log1p(len(hits)), max(weight, default=0.0), sum(weight) / n, near / n, mean(person), sum(c in string.ascii_uppercase for c in text) / chars,
+        (text.count("!") + text.count("?")) / n, sum(c in string.punctuation for c in text) / chars, mean([o for _, o, _ in words]), mean([s for _, _, s in words]), math.log1p(n),
+        mean([len(w) > 2 and w.isupper() for w in raw]), mean([w > 0 and o for w, (_, o, _) in zip(weight, words, strict=True)]), sum(c.isdigit() and c.isascii() for c in text) / chars,
+    ]
+
+
+def test_features_are_plain_loops():
+    draw = random.Random(5)
+    lexicon = {"idiot": 3.0, "stup*": 1.5, "you": 0.2}
+    parts = ["You", "IDIOT!!", "1d10t", "stupidity", "i.d.i.o.t", "the", "cat", "WHAT?", "noooo", "\n", "123", "dein", "é", "...", "u"]
+    texts = [" ".join(draw.choices(parts, k=draw.randint(0, 40))) for _ in range(300)] + [None, "", " "]
+    assert np.allclose(Features(lexicon).table(texts), [plain_features(lexicon, t) for t in texts], atol=1e-6)
+
+
+def toxic_corpus(seed, many=400):
+    draw = random.Random(seed)
+    good, bad = [f"good{i}" for i in range(60)], ["vile", "nasty", "h0rrid", "scum"]
+    rows = []
+    for i in range(many):
+        toxic = i % 4 == 0
+        words = draw.choices(good, k=draw.randint(3, 30)) + draw.choices(bad, k=2 if toxic else i % 37 == 0)
+        rows.append((i, " ".join(draw.sample(words, len(words))), int(toxic)))
+    return rows
+
+
+def test_lexicon_is_brute_force(spark):
+    rows = toxic_corpus(3)
+    docs = spark.createDataFrame([*((i, t, "x") for i, t, _ in rows), (None, "vile", "x"), (5000, "not labelled vile", "x"), (4, "again vile", "x")], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(i, 1, x) for i, _, x in rows] + [(9999, 1, 1), (0, 1, 0), (None, 1, 1), (7, 1, None)], "doc_id long, quality int, toxic int")
+    known = labelled(docs, labels)
+    assert sorted(r.doc_id for r in known.collect()) == sorted([*range(len(rows)), 4])
+    fold = {r.doc_id: r.fold for r in known.collect()}
+    every = [*rows, (4, "again vile", 1)]
+    model = train_toxicity(docs, labels)
+    want = {}
+    toxic, clean = (sum((x > 0) is k for _, _, x in every) for k in (True, False))
+    held = [{t for w in text.split() for t in tokens(normal(w)[0])} for _, text, _ in every]
+    for token in set().union(*held):
+        n, m = (sum(token in h and (x > 0) is k for h, (_, _, x) in zip(held, every, strict=True)) for k in (True, False))
+        odds = math.log((n + 0.5) / (toxic + 1)) - math.log((m + 0.5) / (clean + 1))
+        if n >= 3 and odds - math.sqrt(1 / (n + 0.5) + 1 / (m + 0.5)) >= 1.5:
+            want[token] = odds
+    assert model.lexicon == pytest.approx(want) and "vile" in want and "horrid" in want and set(fold.values()) == {0, 1, 2, 3}
+    scores = {r.doc_id: r.toxicity for r in with_toxicity(docs, model).where("doc_id < 400").collect()}
+    right = [(scores[i] >= 0.5) == (x > 0) for i, _, x in rows]
+    assert sum(right) / len(right) > 0.97
+    assert with_toxicity(docs, model).columns == ["doc_id", "text", "toxic", "toxicity"]
+
+
+def test_sample_is_bounded_and_weighted(spark):
+    """Few rows are drawn, also where one id has a third of them; the scores still answer the shares of the whole."""
+    assert _takes(10, 1000, 100) == {True: 10, False: 90} and _takes(500, 1000, 100) == {True: 50, False: 50}
+    assert _takes(5, 6, 100) == {True: 5, False: 6} and _takes(1000, 20, 100) == {True: 80, False: 20}
+    rows = toxic_corpus(4, 600) + [(1, "good1 good2 good3", 0)] * 300
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int").distinct()
+    model = train_toxicity(docs, labels, sample_rows=120)
+    scores = [r.toxicity for r in with_toxicity(docs, model).collect()]
+    assert sum(scores) / len(scores) == pytest.approx(150 / 900, abs=0.06)
+
+
+def test_weights_stand_for_rows():
+    draw = np.random.default_rng(1)
+    x, y = draw.normal(size=(60, 3)), (draw.random(60) < 0.4).astype(float)
+    weight = draw.integers(1, 4, 60)
+    again = np.repeat(np.arange(60), weight)
+    one, two = BoostedTrees(trees=5, bins=400).fit(x, y, weight.astype(float)), BoostedTrees(trees=5, bins=400).fit(x[again], y[again])
+    assert one.base == pytest.approx(two.base)
+    margin = draw.normal(size=60).round(1)
+    a, b = isotonic(margin, y, weight.astype(float)), isotonic(margin[again], y[again])
+    assert np.allclose(a[0], b[0]) and np.allclose(a[1], b[1])
+    # the fit by pooling is the least-squares one: no other non-decreasing fit found by brute force is better
+    pts = np.array([0, 1, 2, 3])
+    levels = np.linspace(0, 1, 11)
+    own = np.array([0.0, 1, 0, 1])
+    knots = isotonic(pts.astype(float), own)
+    loss = lambda v: ((np.array(v) - own) ** 2).sum()
+    assert loss(np.interp(pts, *knots)) <= min(loss(v) for v in itertools.combinations_with_replacement(levels, 4)) + 1e-9
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "a text"), (3, "a text")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -24,16 +24,17 @@ class BoostedTrees:
     threshold: list[np.ndarray] = field(default_factory=list)
     value: list[np.ndarray] = field(default_factory=list)
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> BoostedTrees:
+        w = np.ones(len(y)) if weight is None else weight
         cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
         binned = np.stack([np.searchsorted(c, v, side="left") for c, v in zip(cuts, x.T, strict=True)], axis=1)
-        share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+        share = np.clip(np.average(y, weights=w), 1e-3, 1 - 1e-3)
         self.base = float(np.log(share / (1 - share)))
         margin = np.full(len(y), self.base)
         inner, leaves = 2**self.depth - 1, 2**self.depth
         for _ in range(self.trees):
             p = 1 / (1 + np.exp(-margin))
-            grad, hess = y - p, p * (1 - p)
+            grad, hess = w * (y - p), w * p * (1 - p)
             node = np.zeros(len(y), dtype=np.int64)
             feature, threshold = np.zeros(inner, dtype=np.int64), np.full(inner, np.inf)
             for level in range(self.depth):
@@ -80,11 +81,12 @@ class BoostedTrees:
         return out
 
 
-def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(margin: np.ndarray, y: np.ndarray, row_weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Knots (margin, probability) of the non-decreasing least-squares fit, by pooling adjacent violators."""
     points, inverse = np.unique(margin, return_inverse=True)
-    weight = np.bincount(inverse).astype(float)
-    mean = np.bincount(inverse, y) / weight
+    w = np.ones(len(y)) if row_weight is None else row_weight
+    weight = np.bincount(inverse, w)
+    mean = np.bincount(inverse, w * y) / weight
     blocks: list[list[float]] = []  # mean, weight, first point, last point
     for m, w, p in zip(mean, weight, points, strict=True):
         blocks.append([m, w, p, p])

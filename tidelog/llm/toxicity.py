@@ -1,19 +1,22 @@
 """Toxicity scores: gradient-boosted trees over dense features with isotonic calibration.
 
 All labelled training rows give the lexicon: words and word beginnings, normalised against
-obfuscation, that toxic documents have far more often than others. Candidates are tokens in at least
-``LEAST_SHARE`` of the toxic documents, which bounds their number by the words of a document over that
-share, whatever the corpus; their counts over the other documents then decide. Features of a text are
+obfuscation, that are in ``LEAST_ROWS`` toxic documents or more and there far more often than in others, with a margin of one standard
+error. Documents with each token are counted over all labelled rows, with partial sums in every task; the odds are computed where the counts
+are, and the model takes the ``LEXICON`` tokens of the greatest odds at most (a documented bound on its size). Features of a text are
 lexicon densities, how near hits are to second-person words, and rates of capitals, punctuation and
 obfuscation. The trees and the calibration are fitted on a sample of ``SAMPLE_ROWS`` labelled rows
-at most (a documented bound, drawn by a hash of doc_id); scores never use labels, lang, source or doc_id.
+at most (a documented bound, drawn by a hash of id and text from each class, the rarer class first, and weighted to the shares of the whole);
+scores never use labels, lang, source or doc_id.
 
-The labelled training texts are joined once, by a sort-merge join at any size as labels grow with the documents,
-and written; scoring has no shuffle.
+Labels meet their texts in a join by id, for which only texts are shuffled whose id may have a label, by a bitmap of the ids' hashes of
+16 MB at most; the joined rows are written; scoring has no shuffle.
 
-Defined cases: a null or empty text has all features zero and gets the score of such texts; rows with null
+Defined cases: a null or empty text has all features zero and gets the score of such texts; a very long text is measured whole, in
+slices; rows with null
 doc_id or label are no training rows, and of repeated labels the largest counts; without labelled rows
-of both classes every score is the labels' mean (0 without any); repeated rows get equal scores; an empty
+of both classes every score is the labels' mean (0 without any); repeated rows get equal scores; tokens of equal odds are taken in
+their order; an empty
 table gives an empty result; columns of the input with the names of new columns are replaced.
 """
 
@@ -37,7 +40,8 @@ from tidelog.llm.language_id import held_out
 from tidelog.llm.lattice import slices
 
 SAMPLE_ROWS = 20_000
-LEAST_SHARE, LEAST_ROWS, LEAST_ODDS = 0.002, 3, 1.5
+LEAST_ROWS, LEAST_ODDS, LEXICON = 3, 1.5, 100_000
+MOST_BITS = 27  # of the bitmap of labelled ids
 FOLDS = 4
 BEGINNINGS = (4, 5, 6)
 NEAR_WORDS = 3
@@ -144,78 +148,123 @@ class ToxicityModel:
         return np.clip(0.999 * np.interp(margin, *self.knots) + 0.001 / (1 + np.exp(-margin)), 0.0, 1.0)
 
 
-def _document_counts(rows: DataFrame, candidates) -> DataFrame:
-    """Documents per fold and token over ``text``; ``candidates`` (broadcast set or None) limits the tokens."""
+def _maybe_labelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text) whose doc_id may be in ``marks``: by a bitmap of hashes with 16 bits an id, up to a fixed size."""
+    many = marks.count()
+    bits = min(MOST_BITS, max(15, (16 * many).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    found = marks.select(place.alias("place")).groupBy(F.expr("place div 32768").alias("part")).agg(F.bitmap_construct_agg(F.col("place") % 32768).alias("own")).collect()  # 4 kB each
+    whole = bytearray(1 << (bits - 3))
+    for r in found:
+        whole[r.part << 12 : (r.part + 1) << 12] = r.own
+    shared = docs.sparkSession.sparkContext.broadcast(bytes(whole))
+
+    def keep(batches):
+        own = np.frombuffer(shared.value, dtype=np.uint8)
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            yield batch.filter(pa.array(own[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)).select([0, 1])
+
+    return docs.where("doc_id is not null").withColumn("place", place).mapInArrow(keep, docs.schema)
+
+
+def _document_counts(rows: DataFrame) -> DataFrame:
+    """(token, bad0, good0, bad1, ...): documents of each fold that hold a token, toxic and others, over rows (toxic, fold, text)."""
 
     def count(batches):
-        wanted = candidates.value if candidates else None
-        seen: Counter = Counter()
+        seen: dict[tuple[int, bool], Counter] = {}
         known: dict[str, list[str]] = {}
 
         def flush():
-            keys = list(seen)
-            out = pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int32()), pa.array([t for _, t in keys], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["fold", "token", "n"])
+            parts = [(f, x, c) for (f, x), c in seen.items()]
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([f for f, _, c in parts for _ in c], pa.int32()), pa.array([x for _, x, c in parts for _ in c], pa.bool_()), pa.array([t for _, _, c in parts for t in c], pa.string()), pa.array([n for _, _, c in parts for n in c.values()], pa.int64())],
+                names=["fold", "bad", "token", "n"],
+            )
             seen.clear()
             return out
 
         for batch in batches:
-            for fold, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for toxic, fold, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own: set[str] = set()
                 for word in {w for part in slices(text or "") for w in part.split()}:
                     if (found := known.get(word)) is None:
                         if len(known) > KEPT_WORDS:
                             known.clear()
-                        found = known[word] = [t for t in tokens(normal(word)[0]) if wanted is None or t in wanted]
+                        found = known[word] = tokens(normal(word)[0])
                     own.update(found)
-                seen.update((fold, t) for t in own)
-            if len(seen) > KEPT_WORDS:
+                seen.setdefault((fold, toxic > 0), Counter()).update(own)
+            if sum(map(len, seen.values())) > 2 * KEPT_WORDS:
                 yield flush()
         yield flush()
 
-    return rows.select("fold", "text").mapInArrow(count, "fold int, token string, n long").groupBy("fold", "token").agg(F.sum("n").alias("n"))
+    counts = rows.select("toxic", "fold", "text").mapInArrow(count, "fold int, bad boolean, token string, n long")
+    of = lambda f, bad: F.coalesce(F.sum(F.when((F.col("fold") == f) & (F.col("bad") == bad), F.col("n"))), F.lit(0)).alias(f"{'bad' if bad else 'good'}{f}")
+    return counts.groupBy("token").agg(*(of(f, bad) for f in range(FOLDS) for bad in (True, False)))
 
 
-def _lexicon(bad: dict, good: dict, sizes: dict, without: int | None) -> dict[str, float]:
+def _folds(without: int | None) -> list[int]:
+    return [f for f in range(FOLDS) if f != without]
+
+
+def _telling(counts: DataFrame, sizes: dict, most: int) -> list:
+    """The tokens that pass for the lexicon of all folds or of all but one, with their counts; ``most`` of the greatest odds."""
+    passes, odds = F.lit(False), {}
+    for without in (None, *range(FOLDS)):
+        n, m = (sum((F.col(f"{kind}{f}") for f in _folds(without)), F.lit(0)) for kind in ("bad", "good"))
+        toxic, clean = (sum(sizes.get((f, x), 0) for f in _folds(without)) for x in (True, False))
+        odds[without] = F.log((n + 0.5) / (toxic + 1)) - F.log((m + 0.5) / (clean + 1)) - F.sqrt(1 / (n + 0.5) + 1 / (m + 0.5))
+        passes = passes | ((odds[without] >= LEAST_ODDS - 1e-9) & (n > 0))
+    all_bad = sum((F.col(f"bad{f}") for f in range(FOLDS)), F.lit(0))
+    return counts.where((all_bad >= LEAST_ROWS) & passes).withColumn("odds", odds[None]).orderBy(F.desc("odds"), "token").limit(most).collect()
+
+
+def _lexicon(rows: list, sizes: dict, without: int | None) -> dict[str, float]:
     """Weights of the tokens that toxic documents have far more often, from all folds but ``without``."""
-    folds = [f for f in range(FOLDS) if f != without]
-    toxic, clean = (sum(sizes.get((f, x), 0) for f in folds) for x in (True, False))
+    toxic, clean = (sum(sizes.get((f, x), 0) for f in _folds(without)) for x in (True, False))
     out = {}
-    for token, counts in bad.items():
-        n, m = sum(counts.get(f, 0) for f in folds), sum(good.get(token, {}).get(f, 0) for f in folds)
+    for r in rows:
+        n, m = (sum(r[f"{kind}{f}"] for f in _folds(without)) for kind in ("bad", "good"))
         odds = log((n + 0.5) / (toxic + 1)) - log((m + 0.5) / (clean + 1))
         # the odds less one standard error, so that chance tokens of few documents stay out
-        if odds - sqrt(1 / (n + 0.5) + 1 / (m + 0.5)) >= LEAST_ODDS:
-            out[token] = odds
+        if n and odds - sqrt(1 / (n + 0.5) + 1 / (m + 0.5)) >= LEAST_ODDS:
+            out[r["token"]] = odds
     return out
 
 
+def _takes(toxic: int, clean: int, most: int) -> dict[bool, int]:
+    """How many rows of each class are drawn: all if they fit, else half of each, or what the smaller class leaves to the larger."""
+    few = min(toxic, max(most // 2, most - clean))
+    return {True: few, False: min(clean, most - few)}
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic, fold, text) of the rows of ``docs`` that have a label."""
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    return _maybe_labelled(rows, marks).join(marks.hint("merge"), "doc_id").select("doc_id", "toxic", fold, "text")
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Learn from all rows of ``docs`` whose doc_id has a label."""
     spark = docs.sparkSession
     ready_for_python(spark)
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
-    known = written(rows.join(marks.hint("merge"), "doc_id").select("doc_id", "toxic", fold, "text"), "labelled")
+    known = written(labelled(docs, labels), "labelled")
     sizes = {(r.fold, r.toxic): r["count"] for r in known.groupBy("fold", (F.col("toxic") > 0).alias("toxic")).count().collect()}
-    toxic, clean = (sum(n for (_, t), n in sizes.items() if t is x) for x in (True, False))
-    mean = toxic / max(1, toxic + clean)
-    if not toxic or not clean:
+    many = {x: sum(n for (_, t), n in sizes.items() if t is x) for x in (True, False)}
+    mean = many[True] / max(1, sum(many.values()))
+    if not all(many.values()):
+        drop_written(known)
         return ToxicityModel({}, mean)
-    least = max(LEAST_ROWS, LEAST_SHARE * toxic)
-    counted = written(_document_counts(known.where("toxic > 0"), None), "tokens")
-    often = counted.groupBy("token").agg(F.sum("n").alias("all")).where(F.col("all") >= least)
-    bad, good = {}, {}
-    for r in counted.join(often, "token").select("fold", "token", "n").collect():
-        bad.setdefault(r.token, {})[r.fold] = r.n
-    for r in _document_counts(known.where("toxic <= 0"), spark.sparkContext.broadcast(set(bad))).collect():
-        good.setdefault(r.token, {})[r.fold] = r.n
-    lexicon = _lexicon(bad, good, sizes, None)
+    found = _telling(_document_counts(known), sizes, LEXICON)
+    lexicon = _lexicon(found, sizes, None)
     # A training row is measured by the lexicon of the other folds, as a new text would be.
-    others = [_lexicon(bad, good, sizes, f) for f in range(FOLDS)]
+    others = [_lexicon(found, sizes, f) for f in range(FOLDS)]
 
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    share = min(1_000_000, int(1_000_000 * sample_rows / (toxic + clean)))
+    takes = _takes(many[True], many[False], sample_rows)
+    # A little more than the share, so that chance leaves enough; the limit then bounds what is collected.
+    shares = {x: min(1_000_000, int(1_050_000 * takes[x] / many[x]) + 1000) for x in many}
     shared = spark.sparkContext.broadcast(others)
 
     def measure(batches):
@@ -225,16 +274,20 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             lists = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["draw", "toxic", "features"])
 
-    sample = known.where(draw < share).select(F.xxhash64("doc_id").alias("draw"), "toxic", "fold", "text").mapInArrow(measure, "draw long, toxic int, features array<double>")
-    drawn = sorted(sample.collect(), key=lambda r: (r.draw, r.toxic, r.features))[:sample_rows]
+    draw = F.xxhash64("doc_id", "text")
+    near = F.pmod(draw, F.lit(1_000_000)) < F.when(F.col("toxic") > 0, shares[True]).otherwise(shares[False])
+    sample = written(known.where(near).select(draw.alias("draw"), "toxic", "fold", "text").mapInArrow(measure, "draw long, toxic int, features array<double>"), "sample")
     drop_written(known)
+    drawn = [r for x in (True, False) for r in sample.where((F.col("toxic") > 0) == x).orderBy("draw", "features").limit(takes[x]).collect()]
+    drop_written(sample)
     x, y = np.array([r.features for r in drawn]).reshape(len(drawn), len(FEATURES)), np.array([float(r.toxic > 0) for r in drawn])
+    weight = np.where(y > 0, *(many[k] / max(1, sum((r.toxic > 0) is k for r in drawn)) for k in (True, False)))
     fold = np.array([r.draw // 1_000_003 % 4 == 0 for r in drawn], dtype=bool)
     if len({*y[~fold]}) < 2:
         return ToxicityModel(lexicon, mean)
-    trees = BoostedTrees().fit(x[~fold], y[~fold])
+    trees = BoostedTrees().fit(x[~fold], y[~fold], weight[~fold])
     check = fold if len({*y[fold]}) == 2 else ~fold
-    return ToxicityModel(lexicon, mean, trees, isotonic(trees.margin(x[check]), y[check]))
+    return ToxicityModel(lexicon, mean, trees, isotonic(trees.margin(x[check]), y[check], weight[check]))
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "toxicity") -> DataFrame:
