@@ -11,7 +11,9 @@ adding to the spans found so far; memory then follows one part. A scan turns a b
 integers (0 for a word that no item has), finds the places with enough known words in a row, looks up
 the hashes there and verifies each hit word by word. No shuffle.
 
-Defined cases: null has no words; a document without words has no hits; items with null id or without
+Spans are cut once: words that meet over a cut are not scanned again.
+
+Defined cases: null has no words; a very long text is read in slices and scanned whole; a document without words has no hits; items with null id or without
 words are ignored; repeated items count once; an empty benchmark leaves all documents clean; an empty
 table gives an empty result; columns of the input with the names of new columns are replaced.
 """

@@ -9,7 +9,10 @@ Most texts are of one language, which a bound proves without a path search: if n
 prefers another language to the overall best one by more than half the penalty, no switch can pay. Only the
 other texts are searched, many at once. No shuffle but that of trigram counts.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0; training rows with null
+All training texts are counted. The model keeps the trigrams with a share of ``LEAST_SHARE`` or more of their language's trigrams (a
+documented bound on its size: 500,000 a language at most); the others score as unknown ones do.
+
+Defined cases: a very long text is read in slices, its path searched whole; a null text, or one without a letter, is ``und`` with score 0; training rows with null
 text or language are ignored; without any training row every text is ``und``; of equally good languages
 the one with more training letters wins, then the smaller name; repeated rows get equal results; an empty
 table gives an empty result; columns of the input with the names of new columns are replaced.
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import per_worker, ready_for_python, written
+from tidelog.llm.common import drop_written, per_worker, ready_for_python, written
 from tidelog.llm.lattice import slices
 
 SWITCH_PENALTY = 12.0
@@ -269,6 +272,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
     scripts: dict[str, Counter] = {}
     for r in kept.select("kind", "lang", "name", "n").collect():
         (grams if r.kind == "gram" else scripts).setdefault(r.lang, Counter())[r.name] = r.n
+    drop_written(counts)
     return LanguageModel(grams, {k: scripts.get(k, Counter()) for k in grams})
 
 

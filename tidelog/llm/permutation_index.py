@@ -12,7 +12,8 @@ The index is cut into shards of about ``SHARD_ROWS`` rows, each with its own inv
 shared folder; queries go in blocks of ``BLOCK_QUERIES``. Every block meets every shard (queries are a
 stated set, not all rows), a shard returns its best ``k`` for each query, and those are merged. Work for a
 pair is bounded, whatever the corpus holds; the share, not a number, is ranked again, so recall does not
-fall as the corpus grows.
+fall as the corpus grows. Against exact search of 64 numbers a row, a query meets 16 postings a row (64 files that hold a quarter of the
+rows each) and multiplies the 10 numbers a row that its 15 % come to.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite numbers take no part, nor do
 those of another length than most have; a repeated vec_id counts once, with its best score as a candidate
