@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,9 +29,22 @@ def has_prefix(key: Column, prefix: bytes) -> Column:
     return in_range(key, prefix or None, prefix_successor(prefix))
 
 
-def fixed_prefix(key: Column, n: int) -> Column:
-    """The first ``n`` bytes of a key, null for shorter keys."""
-    return F.when(F.octet_length(key) >= n, F.substring(key, 1, n))
+@dataclass(frozen=True)
+class PrefixExtractor:
+    """What runs index keys by for scans by prefix.
+
+    ``extract`` gives a key's prefix, null if it has none; ``query`` the prefix that every key which starts with the asked bytes has, None if
+    there is no such one: then runs can't be passed over.
+    """
+
+    name: str
+    extract: Callable[[Column], Column]
+    query: Callable[[bytes], bytes | None]
+
+
+def fixed_length_prefix(n: int) -> PrefixExtractor:
+    """The first ``n`` bytes of a key; shorter keys have none."""
+    return PrefixExtractor(f"fixed_length_prefix({n})", lambda key: F.when(F.octet_length(key) >= n, F.substring(key, 1, n)), lambda asked: asked[:n] if len(asked) >= n else None)
 
 
 def padded(number: Column, width: int = 12) -> Column:

@@ -33,7 +33,11 @@ class Merge:
 
 @dataclass(frozen=True)
 class CustomMerge:
-    """User functions: ``full(key, base or None, operands oldest first)`` and ``partial(key, older, newer)``; None is a failure."""
+    """User functions: ``full(key, base or None, operands oldest first)`` and ``partial(key, older, newer)``; None is a failure.
+
+    Reads call ``full``, and fail if it does. Compaction calls ``full`` for a chain with its base and else ``partial`` for neighbours, and keeps
+    what fails as it is.
+    """
 
     name: str
     full: Callable[[bytes, bytes | None, list[bytes]], bytes | None]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tidelog.functions.merges import COUNTER, Merge
+from tidelog.functions.merges import COUNTER, CustomMerge, Merge
 from tidelog.plans.resolve import collected, folded, live_points, to_terminator
+from tidelog.session import importable
 
 LEVELS = 7
 L0_TRIGGER = 4
@@ -42,17 +44,17 @@ def fifo_drop(segments: DataFrame, cap: int) -> DataFrame:
     return rows.where((F.col("kept") > cap) & (F.col("nth") > 1)).drop("kept", "nth")
 
 
-def universal_pick(segments: DataFrame, ratio: int = 1, min_width: int = 2, amplification: int = 200) -> DataFrame:
+def universal_pick(segments: DataFrame, ratio: int = 1, min_width: int = 2, amplification: int = 200, max_width: int = 1 << 30) -> DataFrame:
     """One row (reason, file_ids): the newest runs to merge.
 
-    Newest first, a run joins while the group's size times (100 + ratio) / 100 is at least the next run's; ``min_width`` runs
+    Newest first, a run joins while the group's size times (100 + ratio) / 100 is at least the next run's, up to ``max_width`` runs; ``min_width`` runs
     merge. Else all merge if all but the oldest weigh ``amplification`` percent of the oldest. Null ids if neither holds.
     """
     runs = segments.agg(F.sort_array(F.collect_list(F.struct("file_id", "file_size")), asc=False).alias("runs"))
     start = F.struct(F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("n"), F.lit(True).alias("open"))
 
     def take(group: Column, run: Column) -> Column:
-        fits = group["open"] & ((group["n"] == 0) | (group["bytes"] * (100 + ratio) >= 100 * run["file_size"]))
+        fits = group["open"] & (group["n"] < max_width) & ((group["n"] == 0) | (group["bytes"] * (100 + ratio) >= 100 * run["file_size"]))
         return F.struct(F.when(fits, group["bytes"] + run["file_size"]).otherwise(group["bytes"]).alias("bytes"), (group["n"] + fits.cast("int")).alias("n"), fits.alias("open"))
 
     rows = runs.select("runs", F.aggregate("runs", start, take, lambda g: g["n"]).alias("n"), F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["file_size"]).alias("all"))
@@ -97,13 +99,42 @@ def collapsed(log: DataFrame, merge: Merge = COUNTER) -> DataFrame:
     return rows.join(full, ["cf", "key"]).select("cf", "key", "seq", op.alias("op"), F.when(F.col("put"), F.col("value")).alias("value"))
 
 
+def collapsed_custom(points: DataFrame, merge: CustomMerge) -> DataFrame:
+    """The same by user functions over ``points`` that no tombstone hides: a chain with a terminator by ``full``, neighbours in one without by ``partial``; what fails stays."""
+    importable(points.sparkSession)
+
+    def fold(own: pd.DataFrame) -> pd.DataFrame:
+        rows = [(r.seq, r.op, r.value) for r in own.sort_values("seq").itertuples()]
+        key, (seq, op, base) = own["key"].iloc[0], rows[0]
+        if op == "merge":
+            out = [rows[0]]
+            for later in rows[1:]:
+                both = merge.partial(key, out[-1][2], later[2])
+                out[-1:] = [out[-1], later] if both is None else [(later[0], "merge", both)]
+        else:
+            operands = [v for _, _, v in rows[1:]]
+            value = merge.full(key, base if op == "put" else None, operands) if operands else None
+            out = rows if value is None else [(rows[-1][0], "put", value)]
+        return pd.DataFrame({"cf": [own["cf"].iloc[0]] * len(out), "key": [key] * len(out), "seq": [s for s, _, _ in out], "op": [o for _, o, _ in out], "value": [v for _, _, v in out]})
+
+    kept = to_terminator(points).select("cf", "key", "seq", "op", "value")
+    return kept.groupBy("cf", "key").applyInPandas(fold, kept.schema)
+
+
 def tombstones_unique(log: DataFrame) -> DataFrame:
     """Range tombstones by (start, end, newest first), without repeats."""
     return log.where("op = 'delete_range'").select("cf", "key", "end_key", "seq").distinct()
 
 
-def stall_state(segments: DataFrame, slowdown: int, stop: int, pending_bytes: int, pending_limit: int) -> DataFrame:
-    """One row: whether writes run, slow down or stop, by files in level 0 and bytes that wait for compaction."""
+def stall(l0_files: int, pending_bytes: int, options) -> str:
+    """Whether writes run, slow down or stop, by files in level 0 and bytes that wait for compaction."""
+    if l0_files >= options.l0_stop or pending_bytes >= options.hard_pending_bytes:
+        return "stop"
+    return "slowdown" if l0_files >= options.l0_slowdown or pending_bytes >= options.soft_pending_bytes else "run"
+
+
+def stall_state(segments: DataFrame, slowdown: int, stop: int, pending_bytes: int, soft_bytes: int, hard_bytes: int) -> DataFrame:
+    """The same as one row over a segment table."""
     files = F.count(F.when(F.col("level") == 0, 1))
-    state = F.when((files >= stop) | F.lit(pending_bytes >= 2 * pending_limit), "stop").when((files >= slowdown) | F.lit(pending_bytes >= pending_limit), "slowdown").otherwise("run")
+    state = F.when((files >= stop) | F.lit(pending_bytes >= hard_bytes), "stop").when((files >= slowdown) | F.lit(pending_bytes >= soft_bytes), "slowdown").otherwise("run")
     return segments.agg(files.alias("l0_files"), state.alias("state"))

@@ -9,17 +9,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from tidelog.errors import InvalidArgument
 from tidelog.functions.keys import has_prefix, in_range
 from tidelog.plans.tombstones import bucket_of
 
+FEW_TARGETS = 256
+
 
 def get(state: DataFrame, key) -> DataFrame:
     return state.where(F.col("key") == F.lit(key))
 
 
+def near_keys(log: DataFrame, keys: DataFrame, known: list | None = None) -> DataFrame:
+    """What of a log can tell about ``keys`` (key): their point operations, and the range deletes. Resolve this instead of the whole.
+
+    ``known`` are the same keys, if they are few: then they reach the scan as a filter. Else they join before anything is shuffled for the log.
+    """
+    ranged = F.col("op") == "delete_range"
+    if known is not None:
+        return log.where(ranged | F.col("key").isin(*known)) if known else log.where(F.lit(False))
+    return log.where(~ranged).join(keys.select("key").distinct(), "key", "left_semi").select(*log.columns).unionByName(log.where(ranged))
+
+
 def has(state: DataFrame, keys: DataFrame) -> DataFrame:
     """``keys`` (key) with ``present``; an empty value is present."""
     found = state.select("key", F.lit(True).alias("present"))
@@ -87,12 +101,16 @@ def key_bounds(keys: DataFrame) -> list:
     return [sample[len(sample) * i // parts] for i in range(1, parts)] if len(sample) >= 10 * parts else []
 
 
-def seek_many(state: DataFrame, targets: DataFrame, floor: bool = False) -> DataFrame:
+def seek_many(state: DataFrame, targets: DataFrame, floor: bool = False, few: int = FEW_TARGETS) -> DataFrame:
     """``targets`` (target) with ``found``: the ceiling (or floor) key of each, null if none.
 
-    Targets and keys are carried along in one order per range of keys; what a range lacks comes from its neighbours'
-    ends, one row per range.
+    A few targets (counted first) cut the keys into intervals, of which the least and the greatest key are all that matters: sums in parts, and no
+    order of the keys. With more, targets and keys are carried along in one order per range of keys; what a range lacks comes from
+    its neighbours' ends, one row per range.
     """
+    some = [r.target for r in targets.distinct().limit(few + 1).collect()]
+    if len(some) <= few:
+        return _seek_few(state, targets, sorted(t for t in some if t is not None), floor)
     keys = state.select("key")
     bounds = key_bounds(keys)
     kind = state.schema["key"].dataType
@@ -110,14 +128,31 @@ def seek_many(state: DataFrame, targets: DataFrame, floor: bool = False) -> Data
     return near.where(F.col("target").isNotNull()).join(F.broadcast(ends.select("part", "other")), "part").select("target", F.coalesce("near", "other").alias("found"))
 
 
-def steps(state: DataFrame) -> DataFrame:
-    """Every key with ``prev_key`` and ``next_key``."""
-    keys = state.select("key")
-    ranged = keys.withColumn("part", bucket_of(F.col("key"), key_bounds(keys)))
+def _seek_few(state: DataFrame, targets: DataFrame, bounds: list, floor: bool) -> DataFrame:
+    """Ceilings or floors of a few sorted targets by the ends of the intervals between them."""
+    kind = state.schema["key"].dataType
+    # interval i holds the keys from target i - 1 on and before target i
+    ends = state.groupBy(bucket_of(F.col("key"), bounds).alias("part")).agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    asked = state.sparkSession.createDataFrame(list(enumerate(bounds)), T.StructType([T.StructField("nth", T.IntegerType()), T.StructField("at", kind)]))
+    if floor:
+        near = (F.col("part") <= F.col("nth")) | ((F.col("part") == F.col("nth") + 1) & (F.col("lo") == F.col("at")))
+        best = F.max(F.when(F.col("part") <= F.col("nth"), F.col("hi")).otherwise(F.col("lo")))
+    else:
+        near, best = F.col("part") > F.col("nth"), F.min("lo")
+    found = asked.join(F.broadcast(ends), near, "left").groupBy("at").agg(best.alias("found"))  # a row per interval on either side
+    return targets.distinct().join(F.broadcast(found), F.col("target") == F.col("at"), "left").select("target", "found")
+
+
+def steps(state: DataFrame, sample: DataFrame | None = None) -> DataFrame:
+    """Every key with ``prev_key`` and ``next_key``. Ranges of keys are cut by a sample of ``sample`` (key), that of the state if not given.
+
+    The ends of the ranges come from the same sorted exchange as the rows.
+    """
+    ranged = state.select("key").withColumn("part", bucket_of(F.col("key"), key_bounds(state.select("key") if sample is None else sample)))
     order = W.Window.partitionBy("part").orderBy("key")
     rows = ranged.withColumns({"prev_key": F.lag("key").over(order), "next_key": F.lead("key").over(order)})
     beside = W.Window.orderBy("part")  # one row per range of keys
-    ends = ranged.groupBy("part").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    ends = rows.where("prev_key is null or next_key is null").groupBy("part").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
     ends = ends.select("part", F.lag("hi").over(beside).alias("before"), F.lead("lo").over(beside).alias("after"))
     return rows.join(F.broadcast(ends), "part").select("key", F.coalesce("prev_key", "before").alias("prev_key"), F.coalesce("next_key", "after").alias("next_key"))
 

@@ -24,7 +24,7 @@ class DatabaseWithTtl(Database):
             raise InvalidArgument("a time to live can't be negative")
         return cls.open(spark, path, replace(options or Options(), ttl=ttl))
 
-    def state(self, cf=None, start: bytes | None = None, end: bytes | None = None, sequence: int | None = None) -> DataFrame:
-        found = expiry.stamped_puts(self.log(cf, start, end, sequence))
+    def state(self, cf=None, start: bytes | None = None, end: bytes | None = None, sequence: int | None = None, keys: list[bytes] | None = None, prefix: bytes | None = None) -> DataFrame:
+        found = expiry.stamped_puts(self.log(cf, start, end, sequence, keys=keys, prefix=prefix))
         kept = expiry.unexpired(found, F.lit(int(self.clock())), self.options.ttl)
         return reads.scan(kept.select("cf", "key", "value", "seq"), start, end)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidelog.session import importable
 
@@ -13,21 +14,25 @@ BUDGET = 1 << 20
 def chunked(ops: DataFrame, budget: int = BUDGET) -> DataFrame:
     """``ops`` (writer, pos, bytes) with ``chunk``: an operation is buffered, and then the buffer is flushed if it has ``budget`` bytes.
 
-    A running sum that starts over is sequential in a writer's stream, and parallel over writers.
+    A running sum that starts over is sequential in a writer's stream: each task carries it over its sorted writers, a batch at a time.
     """
     importable(ops.sparkSession)
-
-    def cut(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("pos")
-        chunk, buffered, out = 0, 0, []
-        for size in own["bytes"]:
-            out.append(chunk)
-            buffered += size
-            if buffered >= budget:
-                chunk, buffered = chunk + 1, 0
-        return own.assign(chunk=out)
-
-    return ops.groupBy("writer").applyInPandas(cut, "writer long, pos long, bytes long, chunk long")
+    dealt = ops.select(F.col("writer").cast("long"), F.col("pos").cast("long"), F.col("bytes").cast("long")).repartition("writer").sortWithinPartitions("writer", "pos")
+
+    def cut(batches):
+        own, chunk, buffered = None, 0, 0
+        for batch in batches:
+            out = []
+            for writer, size in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if writer != own:
+                    own, chunk, buffered = writer, 0, 0
+                out.append(chunk)
+                buffered += size
+                if buffered >= budget:
+                    chunk, buffered = chunk + 1, 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=["writer", "pos", "bytes", "chunk"])
+
+    return dealt.mapInArrow(cut, "writer long, pos long, bytes long, chunk long")
 
 
 class StreamWriter:
