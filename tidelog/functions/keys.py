@@ -9,8 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def prefix_successor(prefix: bytes) -> bytes | None:
-    """The shortest key above every key that starts with ``prefix``; None if there is no bound (empty, or all 0xff)."""
+def prefix_successor(prefix):
+    """The shortest key above every key that starts with ``prefix``, bytes or text; None if there is no bound (empty, or all the greatest)."""
+    if isinstance(prefix, str):
+        kept = prefix.rstrip(chr(0x10FFFF))
+        following = ord(kept[-1]) + 1 if kept else 0
+        return kept[:-1] + chr(following if not 0xD800 <= following < 0xE000 else 0xE000) if kept else None
     kept = prefix.rstrip(b"\xff")
     return kept[:-1] + bytes([kept[-1] + 1]) if kept else None
 

@@ -47,6 +47,12 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points_of_events(events).unionByName(tombstones_of_events(events))
 
 
+def moving_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of the events under keys that move on with time, so that a cursor in key space finds more and more."""
+    events = table(spark, sf_dir, "events").withColumn("user_id", F.expr("event_id div 100 + user_id % 50"))
+    return points_of_events(events).unionByName(tombstones_of_events(events))
+
+
 def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One put per order."""
     orders = table(spark, sf_dir, "orders")

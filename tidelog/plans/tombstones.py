@@ -2,13 +2,14 @@
 
 Only the newest covering tombstone matters, so tombstones reduce to a skyline of disjoint intervals with
 their largest sequence number, and cover depends on the key alone. A few tombstones (``FEW``, counted first)
-give a skyline on the driver that is broadcast. More are cut at sampled keys into buckets; each
+give a skyline on the driver that is broadcast; a key finds its bucket of intervals by a tree of comparisons. More are cut at sampled keys into buckets; each
 bucket's skyline is swept by itself and carried over the bucket's distinct keys by a window, and points join by key. No
 step holds more than a bucket's distinct tombstones.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections.abc import Iterable
 
@@ -20,7 +21,7 @@ from pyspark.sql import window as W
 
 from tidelog.session import importable
 
-FEW = 256
+FEW, IN_BUCKET = 256, 8
 PER_BUCKET = 50_000
 MAX_BUCKETS = 1024
 
@@ -108,9 +109,17 @@ def cover(points: DataFrame, tombstones: DataFrame, few: int = FEW) -> DataFrame
         flat = [(cf, *x) for cf, own in by_cf.items() for x in skyline(own)]
         if not flat:
             return points.withColumn("cover", F.lit(None).cast("long"))
-        schema = T.StructType([T.StructField("__cf", T.IntegerType()), T.StructField("__s", kind), T.StructField("__e", kind), T.StructField("cover", T.LongType())])
-        local = points.sparkSession.createDataFrame(flat, schema)
-        return points.join(F.broadcast(local), (F.col("cf") == F.col("__cf")) & (F.col("key") >= F.col("__s")) & (F.col("key") < F.col("__e")), "left").drop("__cf", "__s", "__e")
+        # intervals are cut at some of their starts, so that a key meets those of its bucket only
+        bounds = sorted({s for _, s, _, _ in flat})[IN_BUCKET::IN_BUCKET]
+        rows = []
+        for cf, s, e, seq in flat:
+            first = bisect.bisect_right(bounds, s)
+            inner = [b for b in bounds[first:] if b < e]
+            rows += [(cf, first + i, lo, hi, seq) for i, (lo, hi) in enumerate(zip([s, *inner], [*inner, e], strict=True))]
+        schema = T.StructType([T.StructField("__cf", T.IntegerType()), T.StructField("__part", T.IntegerType()), T.StructField("__s", kind), T.StructField("__e", kind), T.StructField("cover", T.LongType())])
+        local = points.sparkSession.createDataFrame(rows, schema)
+        same = (F.col("cf") == F.col("__cf")) & (bucket_of(F.col("key"), bounds) == F.col("__part"))
+        return points.join(F.broadcast(local), same & (F.col("key") >= F.col("__s")) & (F.col("key") < F.col("__e")), "left").drop("__cf", "__part", "__s", "__e")
     bounds = sampled_bounds(tombstones, tombstones.count())
     sky = skyline_table(tombstones, bounds)
     edges = sky.select("cf", "bucket", F.col("s").alias("key"), F.struct("rseq", "e").alias("mark"), F.lit(0).alias("turn"))

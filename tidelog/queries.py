@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.keys import in_range, padded
+from tidelog.functions.keys import padded
 from tidelog.functions.merges import APPEND, COUNTER
 from tidelog.operators import compaction, expiry, histories, introspection, reads, transactions, workloads
-from tidelog.plans.log import DEFAULT_CF, ORDERS_CF, conversation_log, event_log, order_log, table
+from tidelog.plans.log import DEFAULT_CF, ORDERS_CF, conversation_log, event_log, moving_log, order_log, table
 from tidelog.plans.resolve import live_points, resolve
 from tidelog.plans.tombstones import bucket_of, distinct_tombstones, sampled_bounds, skyline_table
 
@@ -99,7 +99,8 @@ _ASKED = [0, 3, 7, 7, 12, 14, 99, 149, 150, 999999]
 @query(f"{NOW_STATE} select x.k, state.k is not null present from (select distinct unnest([{', '.join(repr(key(n)) for n in _ASKED)}]) k) x left join state on state.k = x.k")
 def kv_has(spark, sf):
     asked = rows_of(spark, "key string", *((key(n),) for n in sorted(set(_ASKED))))
-    return reads.has(state(spark, sf), asked).select(F.col("key").alias("k"), "present")
+    near = reads.near_keys(event_log(spark, sf), asked, [key(n) for n in sorted(set(_ASKED))])
+    return reads.has(resolve(near, None, COUNTER), asked).select(F.col("key").alias("k"), "present")
 
 
 @query(f"{NOW_STATE} select k, strlen(v::varchar)::bigint size from state")
@@ -110,7 +111,16 @@ def kv_get_size(spark, sf):
 @query(f"{NOW_STATE} select x.ord, x.k, state.v from (select unnest(range({len(_ASKED)}))::bigint ord, unnest([{', '.join(repr(key(n)) for n in _ASKED)}]) k) x left join state on state.k = x.k")
 def kv_multi_get(spark, sf):
     asked = rows_of(spark, "ord long, key string", *((i, key(n)) for i, n in enumerate(_ASKED)))
-    return reads.multi_get(state(spark, sf), asked).select("ord", F.col("key").alias("k"), F.col("value").alias("v"))
+    near = reads.near_keys(event_log(spark, sf), asked, [key(n) for n in sorted(set(_ASKED))])
+    return reads.multi_get(resolve(near, None, COUNTER), asked).select("ord", F.col("key").alias("k"), F.col("value").alias("v"))
+
+
+@query(f"{NOW_STATE} select s_suppkey ord, x.k, state.v from (select s_suppkey, lpad((s_suppkey * 7)::varchar, 12, '0') k from supplier) x left join state on state.k = x.k")
+def kv_multi_get_table(spark, sf):
+    """As many requests as there are suppliers."""
+    asked = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("ord"), padded(F.col("s_suppkey") * 7).alias("key"))
+    near = reads.near_keys(event_log(spark, sf), asked)
+    return reads.multi_get(resolve(near, None, COUNTER), asked).select("ord", F.col("key").alias("k"), F.col("value").alias("v"))
 
 
 @query(f"{NOW_STATE} select k, v, seq from state where k >= '{key(5)}' and k < '{key(50)}'")
@@ -120,8 +130,7 @@ def kv_range_scan(spark, sf):
 
 @query(f"{NOW_STATE} select k, v, seq from state where starts_with(k, '00000000001')")
 def kv_prefix_scan(spark, sf):
-    own = state(spark, sf)
-    return kv(own.where(in_range(F.col("key"), "00000000001", "00000000002")))
+    return kv(reads.scan_prefix(state(spark, sf), "00000000001"))
 
 
 @query(f"{NOW_STATE} select k, v, row_number() over (order by k desc) pos from state where k < '{key(100)}' order by k desc limit 20")
@@ -163,6 +172,13 @@ def kv_seek_floor(spark, sf):
     return reads.seek_many(state(spark, sf), rows_of(spark, "target string", *((t,) for t in _TARGETS)), floor=True)
 
 
+@query(f"{NOW_STATE} select target, (select min(k) from state where k >= target) found from (select distinct lpad((s_suppkey * 13)::varchar, 12, '0') target from supplier)")
+def kv_seek_ceil_table(spark, sf):
+    """As many targets as there are suppliers: beyond a few they are carried along with the keys."""
+    asked = table(spark, sf, "supplier").select(padded(F.col("s_suppkey") * 13).alias("target")).distinct()
+    return reads.seek_many(state(spark, sf), asked, few=50)
+
+
 @query(f"{NOW_STATE} select 'first' what, min(k) k from state union all select 'last', max(k) from state union all select 'before', max(k) from state where k < '{key(9)}'")
 def kv_seek_ends(spark, sf):
     own = state(spark, sf)
@@ -173,7 +189,7 @@ def kv_seek_ends(spark, sf):
 
 @query(f"{NOW_STATE} select k, lag(k) over (order by k) prev_k, lead(k) over (order by k) next_k from state")
 def kv_next_prev(spark, sf):
-    return reads.steps(state(spark, sf)).select(F.col("key").alias("k"), F.col("prev_key").alias("prev_k"), F.col("next_key").alias("next_k"))
+    return reads.steps(state(spark, sf), event_log(spark, sf).select("key").distinct()).select(F.col("key").alias("k"), F.col("prev_key").alias("prev_k"), F.col("next_key").alias("next_k"))
 
 
 # --- range deletes and merges
@@ -273,13 +289,15 @@ def kv_tombstones_unique(spark, sf):
     return compaction.tombstones_unique(event_log(spark, sf)).select(F.col("key").alias("s"), F.col("end_key").alias("e"), F.col("seq").alias("rseq"))
 
 
-SEGMENT_SQL = """segment as (select event_id // 250 file_id, ((event_id // 250) * (event_id // 250) % 4)::integer lvl, min(lpad(user_id::varchar, 12, '0')) smallest_key, max(lpad(user_id::varchar, 12, '0')) largest_key,
-    sum(25 + strlen(round(value * 100)::bigint::varchar))::bigint file_size, count(*) num_entries from events where user_id % 10 < 1 + (event_id // 250) % 9 group by event_id // 250)"""
+SEGMENT_SQL = """segment as (select file_id, (file_id * file_id % 4)::integer lvl, min(lpad(user_id::varchar, 12, '0')) smallest_key, max(lpad(user_id::varchar, 12, '0')) largest_key,
+    sum(25 + strlen(round(value * 100)::bigint::varchar))::bigint file_size, count(*) num_entries
+    from (select *, event_id // 250 - event_id // 250 % (1 + event_id // 1000 % 3) + user_id % 3 * 1000000 file_id from events) group by file_id)"""
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of 250 events each, some of them thinned, over levels 0 to 3."""
-    events = table(spark, sf_dir, "events").withColumn("file_id", F.expr("event_id div 250")).where("user_id % 10 < 1 + file_id % 9")
+    """All events in runs of neighbours by time and thirds of the users, of unequal sizes, over levels 0 to 3."""
+    block = "event_id div 250 - (event_id div 250) % (1 + (event_id div 1000) % 3)"
+    events = table(spark, sf_dir, "events").withColumn("file_id", F.expr(f"{block} + user_id % 3 * 1000000"))
     k, size = padded(F.col("user_id")), 25 + F.length(F.round(F.col("value") * 100).cast("long").cast("string"))
     rows = events.groupBy("file_id").agg(F.min(k).alias("smallest_key"), F.max(k).alias("largest_key"), F.sum(size).cast("long").alias("file_size"), F.count("*").alias("num_entries"))
     return rows.withColumn("level", F.expr("cast(file_id * file_id % 4 as int)"))
@@ -324,9 +342,10 @@ def kv_levelstats(spark, sf):
     return compaction.level_stats(segments(spark, sf))
 
 
-@query(f"with {SEGMENT_SQL} select count(case when lvl = 0 then 1 end) l0_files, case when count(case when lvl = 0 then 1 end) >= 36 then 'stop' when count(case when lvl = 0 then 1 end) >= 4 then 'slowdown' else 'run' end state from segment")
+@query(f"with {SEGMENT_SQL} select count(case when lvl = 0 then 1 end) l0_files, case when count(case when lvl = 0 then 1 end) >= 36000 or sum(file_size) >= {1 << 40} then 'stop' when count(case when lvl = 0 then 1 end) >= 4000 or sum(file_size) >= 100000 then 'slowdown' else 'run' end state from segment")
 def kv_write_stall(spark, sf):
-    return compaction.stall_state(segments(spark, sf), 4, 36, 0, 1 << 40)
+    size = segments(spark, sf).agg(F.sum("file_size")).first()[0]
+    return compaction.stall_state(segments(spark, sf), 4000, 36000, size, 100_000, 1 << 40)
 
 
 @query(f"with {SEGMENT_SQL} select sum(num_entries)::bigint keys from segment")
@@ -373,13 +392,13 @@ def kv_cf_drop(spark, sf):
     return resolve(both.unionByName(dropped), None, COUNTER).groupBy("cf").agg(F.count("*").alias("n"))
 
 
-@query(f"""{NOW_STATE}, file as (select lpad(c_custkey::varchar, 12, '0') k, round(c_acctbal * 100)::bigint v from customer where c_custkey % 5 = 0)
+@query(f"""{NOW_STATE}, file as (select lpad(c_custkey::varchar, 12, '0') k, round(c_acctbal * 100)::bigint v from customer)
 select coalesce(file.k, state.k) k, case when file.k is not null then file.v else state.v end v from state full join file on file.k = state.k""")
 def kv_ingest_overlay(spark, sf):
     log = event_log(spark, sf)
     latest = log.agg(F.max("seq")).first()[0]
     # one new sequence number for a file; no operation of the log has it
-    file = table(spark, sf, "customer").where("c_custkey % 5 = 0").select(
+    file = table(spark, sf, "customer").select(
         F.lit(DEFAULT_CF).alias("cf"), padded(F.col("c_custkey")).alias("key"), F.lit(latest + 1).cast("long").alias("seq"), F.lit("put").alias("op"),
         F.round(F.col("c_acctbal") * 100).cast("long").alias("value"), F.lit(None).cast("string").alias("end_key"), F.lit(0).cast("long").alias("commit_unix"),
     )
@@ -595,17 +614,49 @@ def kv_ycsb_workloads(spark, sf):
 # --- streaming
 
 
-@query("""with x as (select event_id // 500 b, lpad(user_id::varchar, 12, '0') || lpad((event_id % 3)::varchar, 2, '0') k from events where user_id % 50 <= event_id // 500),
+@query("""with x as (select event_id // 500 b, lpad((event_id // 500 * 4 + user_id % 11)::varchar, 12, '0') || lpad((event_id % 3)::varchar, 2, '0') k from events),
 m as (select b, max(k) top from x group by b), f as (select b, max(top) over (order by b rows between unbounded preceding and 1 preceding) floor from m) select x.b batch, k, count(*) n from x join f using (b) where floor is null or k > floor group by x.b, k""")
 def kv_tail_batches(spark, sf):
     """What a tailing cursor yields of successive batches: only keys past everything returned before."""
     from tidelog.streaming.tailing import past_cursor
 
-    events = table(spark, sf, "events").withColumn("batch", F.expr("event_id div 500")).where("user_id % 50 <= batch")
-    rows = events.select("batch", F.concat(padded(F.col("user_id")), F.lpad((F.col("event_id") % 3).cast("string"), 2, "0")).alias("k"))
+    events = table(spark, sf, "events").withColumn("batch", F.expr("event_id div 500"))
+    rows = events.select("batch", F.concat(padded(F.col("batch") * 4 + F.col("user_id") % 11), F.lpad((F.col("event_id") % 3).cast("string"), 2, "0")).alias("k"))
     return past_cursor(rows, "batch", "k").groupBy("batch", "k").agg(F.count("*").alias("n"))
 
 
+_REFRESHES = (2, 5, 7, 10)  # tenths of the log
+_MOVING_SQL = "lpad((event_id // 100 + user_id % 50)::varchar, 12, '0')"
+
+
+def _visible_sql() -> str:
+    """States at some horizons of a log whose keys move on with time; each shows what is past the greatest key shown before."""
+    parts, floors = [], "''"
+    for i, share in enumerate(_REFRESHES):
+        cut = f"(select max(seq) * {share} // 10 from log)"
+        parts.append(f"""live{i} as (select * from log where seq <= {cut} and not exists (select 1 from rt where rseq <= {cut} and k >= s and k < e and rseq > seq)),
+t{i} as (select *, max(case when op <> 'merge' then seq end) over (partition by k) term from live{i}),
+state{i} as (select k, coalesce(max(case when op = 'put' then v end), 0) + coalesce(sum(case when op = 'merge' then v end), 0)::bigint v from t{i} where term is null or seq >= term
+  group by k having max(case when op = 'put' then v end) is not null or sum(case when op = 'merge' then v end) is not null)""")
+    selects = []
+    for i in range(len(_REFRESHES)):
+        selects.append(f"select {i} batch, k, v from state{i} where k > {floors}")
+        floors = f"greatest({floors}, coalesce((select max(k) from state{i}), ''))"
+    log = LOG.replace("lpad(user_id::varchar, 12, '0') k", f"{_MOVING_SQL} k").replace("lpad(user_id::varchar, 12, '0') s", f"{_MOVING_SQL} s").replace("lpad((user_id + 10)::varchar, 12, '0') e", "lpad((event_id // 100 + user_id % 50 + 10)::varchar, 12, '0') e")
+    return f"with {log}, {', '.join(parts)} {' union all '.join(selects)}"
+
+
+@query(_visible_sql())
+def kv_tail_visible(spark, sf):
+    """What a tailing cursor shows of a log whose keys move on with time, drained at some horizons: range deletes, merges and older bases count."""
+    from tidelog.streaming.tailing import visible_past_cursor
+
+    log = moving_log(spark, sf)
+    last = log.where("op <> 'delete_range'").agg(F.max("seq")).first()[0]
+    shown = visible_past_cursor(log, [last * share // 10 for share in _REFRESHES])
+    return shown.select("batch", F.col("key").alias("k"), F.col("value").alias("v"))
+
+
 @query("""with recursive x as (select user_id % 16 writer, row_number() over (partition by user_id % 16 order by event_id) i, 12 + strlen(round(value * 100)::bigint::varchar) size from events),
 run as (select writer, i, size, 0 chunk, size buffered from x where i = 1 union all
   select x.writer, x.i, x.size, case when run.buffered >= 200 then run.chunk + 1 else run.chunk end, case when run.buffered >= 200 then x.size else run.buffered + x.size end from run join x on x.writer = run.writer and x.i = run.i + 1)
@@ -622,12 +673,12 @@ def kv_stream_chunks(spark, sf):
 # --- backups: files of successive backups, some of equal content
 
 
-_BACKUP_SQL = """file as (select event_id // 200 backup_id, event_id file_id, 'h' || (event_id * 7 % 900) hash, event_id * 7 % 900 + 100 size from events where event_id % 4 = 0)"""
+_BACKUP_SQL = """file as (select event_id // 200 backup_id, event_id file_id, 'h' || (event_id * 7 % 900) hash, event_id * 7 % 900 + 100 size from events)"""
 
 
 def _backup_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.expr("event_id * 7 % 900")
-    rows = table(spark, sf_dir, "events").where("event_id % 4 = 0")
+    rows = table(spark, sf_dir, "events")
     return rows.select(F.expr("event_id div 200").alias("backup_id"), F.col("event_id").alias("file_id"), F.concat(F.lit("h"), content.cast("string")).alias("hash"), (content + 100).alias("size"))
 
 
@@ -653,6 +704,9 @@ def kv_backup_list(spark, sf):
     return listed(_backup_files(spark, sf))
 
 
+from tidelog import database_queries  # noqa: E402, F401  (adds its own to the catalogue)
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in CATALOGUE.items()}
 
