@@ -81,9 +81,11 @@ def test_simhash_is_brute_force(spark):
     assert simhash.simhash_duplicates(docs.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("limit", [5000, 2])
-def test_planted_links_survive_splitting(spark, limit):
-    """Fingerprints up to three bits apart, also where every group is dealt further."""
+@pytest.mark.parametrize(("limit", "bits"), [(5000, None), (2, None), (2, 0)])
+def test_planted_links_survive_splitting(spark, monkeypatch, limit, bits):
+    """Fingerprints up to three bits apart, also where every group is dealt further, by one piece or by four."""
+    if bits is not None:
+        monkeypatch.setattr(simhash, "_dealt_bits", lambda rest, most, shared: bits)
     draw = random.Random(3)
     values = set()
     for _ in range(12):

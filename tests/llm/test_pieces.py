@@ -14,7 +14,8 @@ from tidelog.llm.lattice import BYTE_LOGP, TOKEN, PieceModel, Run, Trie, slices
 from tidelog.llm.piece_sampling import Sampler, decoded, piece_digest, row_seeds, with_pieces
 from tidelog.llm.queries import PIECES, TOKENIZER, op5_token_files, vocabulary
 from tidelog.llm.token_counts import counter, token_counts
-from tidelog.llm.token_files import Encoder, delete_token_files, mapped, read_token_files, write_token_files
+from tidelog.llm.common import mapped
+from tidelog.llm.token_files import Encoder, delete_token_files, read_token_files, write_token_files
 
 ODD = ["", None, "a", " a  b ", "\n\n x\n", "▁ü▁", "a\x00b", "日本語 テキスト😀", "x" * 3000, " " * 40, "The thing, the\tthing.", "<s> </s> <0x41>"]
 SCHEMA = "doc_id long, text string, lang string, piece_ids string, n_tokens long"

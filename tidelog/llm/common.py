@@ -7,16 +7,15 @@ rows and about ``BATCH_BYTES`` bytes, so memory follows the batch and not the pa
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.session import importable
+from tidelog.session import importable, shared_path
 
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
@@ -29,28 +28,6 @@ def ready_for_python(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    It is what the cluster names in ``spark.checkpoint.dir``. Where that is unset a local master
-    gets a temporary folder, and any other master the warehouse.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local["):
-        own = "file://" + tempfile.mkdtemp(prefix="tidelog-")
-    else:
-        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{shared_dir(spark)}/tidelog/{label}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps neither recompute it nor depend on an executor."""
     path = shared_path(df.sparkSession, label)
@@ -97,6 +74,30 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def local_path(path: str) -> str | None:
+    return path.removeprefix("file://") if path.startswith(("file:", "/")) else None
+
+
+def open_output(path: str):
+    """A new file in the shared folder, from any process."""
+    if (own := local_path(path)) is not None:
+        where, name = fs.LocalFileSystem(), own
+    else:
+        where, name = fs.FileSystem.from_uri(path)
+    where.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    return where.open_output_stream(name)
+
+
+def mapped(path: str, dtype) -> np.ndarray:
+    """A file as an array: memory-mapped, or read where the store has no memory mapping."""
+    if (own := local_path(path)) is not None:
+        with pa.memory_map(own) as source:
+            return np.frombuffer(source.read_buffer(), dtype=dtype)
+    where, name = fs.FileSystem.from_uri(path)
+    with where.open_input_file(name) as source:
+        return np.frombuffer(source.read_buffer(), dtype=dtype)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, a bijection of unsigned 64-bit integers (its constants are fixed values)."""
     x = x.astype(np.uint64)

@@ -6,8 +6,8 @@ one window. Every occurrence of a window in a document is a hit on the words it
 
 The benchmark's words become small integers, its windows rows of integers with a hash each, and the set
 of them is broadcast. Its size is checked first: a benchmark over ``BROADCAST_BYTES`` is dealt by item
-into as many parts as needed, and the documents go through the parts one after another, each pass
-adding to the spans found so far; memory then follows one part. A scan turns a batch of documents into
+into as many parts as needed, written to the shared folder; a task takes about ``CHUNK_BYTES`` of documents at a time through one part after
+another, so the documents are read once and memory follows one part and one chunk. A scan turns a batch of documents into
 integers (0 for a word that no item has), finds the places with enough known words in a row, looks up
 the hashes there and verifies each hit word by word. No shuffle.
 
@@ -20,7 +20,10 @@ table gives an empty result; columns of the input with the names of new columns
 
 from __future__ import annotations
 
+import pickle
 import re
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import as_bytes, byte_slices, per_worker, ready_for_python, shielded, written
+from tidelog.llm.common import as_bytes, byte_slices, mapped, open_output, per_worker, ready_for_python
+from tidelog.session import shared_path
 
 WINDOW = 13
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES, CHUNK_BYTES = 8 << 20, 64 << 20
 CONTAMINATED_SHARE = 20  # one hit word in so many makes a document contaminated
 #: ASCII letters lower-cased, digits and bytes from 0x80 kept, all else a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -137,51 +141,71 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _parts(benchmark: DataFrame, item_id: str, text: str, limit: int) -> tuple[DataFrame, int]:
+def _windows(docs: DataFrame, benchmark: DataFrame, item_id: str, text: str, limit: int) -> list[Callable[[], WindowSet]]:
+    """Loaders of the benchmark's parts: one broadcast, or files."""
+    spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).cast("string").alias("text")).dropna()
     size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
-    return items, max(1, -(-size // limit))
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
-    """All columns of ``docs`` with ``n_words``, ``n_hit``, ``spans`` (of word numbers, half-open) and ``items``."""
-    spark = docs.sparkSession
-    ready_for_python(spark)
-    items, parts = _parts(benchmark, item_id, item_text, limit)
-    out = docs.drop(*(f.name for f in FOUND))
+    parts = max(1, -(-size // limit))
+    if parts == 1:
+        shared = spark.sparkContext.broadcast(WindowSet([(r.item, r.text) for r in items.distinct().collect()]))
+        return [lambda: shared.value]
+    folder, out = shared_path(spark, "benchmark"), []
     for k in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k)
-        windows = spark.sparkContext.broadcast(WindowSet([(r.item, r.text) for r in own.distinct().collect()]))
-        out = _pass(out, windows, text)
-        if k + 1 < parts:
-            out = written(out, "contamination")
+        own = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k).distinct().collect()  # about ``limit`` bytes
+        with open_output(f"{folder}/{k}") as file:
+            file.write(pickle.dumps(WindowSet([(r.item, r.text) for r in own])))
+        out.append(partial(_loaded, f"{folder}/{k}"))
     return out
 
 
-def _pass(docs: DataFrame, windows, text: str) -> DataFrame:
-    again = "spans" in docs.columns
-    kept = [f for f in docs.schema.fields if f.name not in {x.name for x in FOUND}]
+def _loaded(path: str) -> WindowSet:
+    return pickle.loads(mapped(path, np.uint8).tobytes())
+
+
+def _chunks(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The batches, joined up to a number of bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= most:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _found(batches, at: int, windows: list[Callable[[], WindowSet]]):
+    """(batch, [(words, spans, items)]) of the texts in column ``at``, over all parts."""
+    per_worker()
+    for batch in batches if len(windows) == 1 else _chunks(batches, CHUNK_BYTES):
+        texts = as_bytes(batch.column(at))
+        found = windows[0]().scan(texts)
+        for load in windows[1:]:
+            more = load().scan(texts)
+            found = [(n, _merged(a + b), i | j) if b else (n, a, i) for (n, a, i), (_, b, j) in zip(found, more, strict=True)]
+        yield batch, found
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """All columns of ``docs`` with ``n_words``, ``n_hit``, ``spans`` (of word numbers, half-open) and ``items``."""
+    ready_for_python(docs.sparkSession)
+    windows = _windows(docs, benchmark, item_id, item_text, limit)
+    docs = docs.drop(*(f.name for f in FOUND))
     at = docs.columns.index(text)
 
     def scan(batches):
-        per_worker()
-        for batch in batches:
-            found = windows.value.scan(as_bytes(batch.column(at)))
-            spans, items = [s for _, s, _ in found], [i for _, _, i in found]
-            if again:
-                before = batch.column(batch.schema.get_field_index("spans")).to_pylist()
-                spans = [_merged(s + [(x["start"], x["end"]) for x in b]) for s, b in zip(spans, before, strict=True)]
-                items = [i | set(b) for i, b in zip(items, batch.column(batch.schema.get_field_index("items")).to_pylist(), strict=True)]
+        for batch, found in _found(batches, at, windows):
+            spans = [s for _, s, _ in found]
             flat = [x for s in spans for x in s]
             cuts = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in spans]))).astype(np.int32))
             pairs = pa.StructArray.from_arrays([pa.array([x[i] for x in flat], pa.int64()) for i in (0, 1)], names=["start", "end"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(f.name) for f in kept]
-                + [pa.array([n for n, _, _ in found], pa.int64()), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), pa.ListArray.from_arrays(cuts, pairs), pa.array([sorted(i) for i in items], pa.list_(pa.string()))],
-                names=[f.name for f in kept] + [f.name for f in FOUND],
+                [*batch.columns, pa.array([n for n, _, _ in found], pa.int64()), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), pa.ListArray.from_arrays(cuts, pairs), pa.array([sorted(i) for _, _, i in found], pa.list_(pa.string()))],
+                names=[*batch.schema.names, *(f.name for f in FOUND)],
             )
 
-    return docs.mapInArrow(scan, T.StructType([*kept, *FOUND]))
+    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, *FOUND]))
 
 
 def contaminated(n_hit="n_hit", n_words="n_words"):
@@ -200,39 +224,22 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``docs`` without contaminated documents; from the others, hit spans are cut out (``n_chars`` follows the text).
-
-    A benchmark that is broadcast whole is scanned for and cut in one pass over the documents.
-    """
+    """``docs`` without contaminated documents; from the others, hit spans are cut out (``n_chars`` follows the text), in one pass over the documents."""
     ready_for_python(docs.sparkSession)
-    items, parts = _parts(benchmark, "item_id", "text", limit)
-    if parts == 1:
-        windows = docs.sparkSession.sparkContext.broadcast(WindowSet([(r.item, r.text) for r in items.distinct().collect()]))
-        names, at = docs.columns, docs.columns.index(text)
-
-        def clean(batches):
-            per_worker()
-            for batch in batches:
-                found = windows.value.scan(as_bytes(batch.column(at)))
-                keep = [i for i, (n, spans, _) in enumerate(found) if not spans or CONTAMINATED_SHARE * sum(b - a for a, b in spans) < n]
-                yield _cut(batch.take(pa.array(keep, pa.int64())), names, at, [found[i][1] for i in keep])
-
-        return docs.mapInArrow(clean, docs.schema)
-    inner, back = shielded(docs, ["__found", *(f.name for f in FOUND)])
+    windows = _windows(docs, benchmark, "item_id", "text", limit)
     names, at = docs.columns, docs.columns.index(text)
-    left = find_contamination(inner, benchmark, text, limit=limit).where(~contaminated()).select(*back, F.col("spans").alias("__found"))
 
-    def cut(batches):
-        for batch in batches:
-            spans = [[(x["start"], x["end"]) for x in s] for s in batch.column(len(names)).to_pylist()]
-            yield _cut(batch, names, at, spans)
+    def clean(batches):
+        for batch, found in _found(batches, at, windows):
+            keep = [i for i, (n, spans, _) in enumerate(found) if not spans or CONTAMINATED_SHARE * sum(b - a for a, b in spans) < n]
+            yield _cut(batch.take(pa.array(keep, pa.int64())), names, at, [found[i][1] for i in keep])
 
-    return left.mapInArrow(cut, docs.schema)
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def _cut(batch: pa.RecordBatch, names: list[str], at: int, spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
-    """The first columns of a batch, called ``names``, with the spans cut from the texts in column ``at``."""
-    columns = list(batch.columns[: len(names)])
+    """A batch of columns ``names`` with the spans cut from the texts in column ``at``."""
+    columns = list(batch.columns)
     if any(spans):
         texts = [None if t is None else (without_spans(t, s) if s else t).decode() for t, s in zip(as_bytes(columns[at]), spans, strict=True)]
         columns[at] = pa.array(texts, pa.string())

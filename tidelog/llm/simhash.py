@@ -9,8 +9,8 @@ so a bucket has two members at most, however common a value is.
 A value that several distinct fingerprints have, or that has neighbours one bit apart, names a group: its
 fingerprints, and those of rarer neighbours. A group is searched breadth first against what is not yet reached, each
 link is verified on all bits, and only a spanning forest of the links leaves the task: no pairs within
-a group of copies. A group over ``GROUP_LIMIT`` is dealt further by pieces of its other bits, one piece more
-than bits may still differ, of which a linked pair shares at least one; so large groups are split without
+a group of copies. A group over ``GROUP_LIMIT`` is dealt further by pieces of its other bits: of as many pieces more
+than bits may differ as its size asks, every choice, as a linked pair shares at least that many pieces; so groups of any size are split without
 losing a link. Links then go through distributed connected components.
 
 :func:`without_near_copies` works on the shingle sets themselves: MinHash tables name the sets to compare, and two are
@@ -28,6 +28,7 @@ columns of the input are not read, whatever their names.
 
 from __future__ import annotations
 
+import itertools
 from itertools import repeat
 
 import numpy as np
@@ -40,7 +41,7 @@ from tidelog.llm.common import as_bytes, byte_slices, drop_written, mix64, per_w
 from tidelog.llm.components import connected_components
 
 SEED = 42
-GROUP_LIMIT = 5000
+GROUP_LIMIT, MOST_SHARED = 5000, 4
 HASHES_AT_ONCE = 200_000
 TABLES, TABLE_MINIMA = 32, 5  # MinHash tables of near-dedup and the minima in a key
 HUB_TURNS, HUB_PAIRS = 3, 100
@@ -169,7 +170,12 @@ def _links(groups: DataFrame, most: int) -> DataFrame:
     return groups.repartition("group").sortWithinPartitions("group").mapInArrow(search, "a binary, b binary")
 
 
-def near_edges(distinct_fps: DataFrame, indexed: int, max_distance: int, segments: int, group_limit: int = GROUP_LIMIT) -> tuple[DataFrame, list[DataFrame]]:
+def _dealt_bits(rest: int, most: int, shared: int) -> int:
+    """Bits that agree at least in a group that is dealt by ``shared`` of its pieces."""
+    return shared * (rest // (most + shared)) if shared else 0
+
+
+def near_edges(distinct_fps: DataFrame, indexed: int, max_distance: int, segments: int, group_limit: int = GROUP_LIMIT, most_shared: int = MOST_SHARED) -> tuple[DataFrame, list[DataFrame]]:
     """Links (a, b) among distinct fingerprints that connect whatever is within ``max_distance`` bits; the first ``indexed`` bits are cut into segments.
 
     Also the written tables behind the links, to be dropped once the links are used.
@@ -206,33 +212,34 @@ def near_edges(distinct_fps: DataFrame, indexed: int, max_distance: int, segment
     visits = written(apart.select("segment", F.when(first, F.col("b")).otherwise(F.col("a")).alias("value"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("target"), F.least("n_a", "n_b").alias("n"), F.greatest("n_a", "n_b").alias("own")), "visits")
     homes = visits.select("segment", F.col("target").alias("value"), "target", F.col("own").alias("n")).unionByName(values.where("n > 1").select("segment", "value", F.col("value").alias("target"), "n")).distinct()
     sized = written(visits.drop("own").unionByName(homes).withColumn("group", F.xxhash64("segment", "target")), "pairs")
-    large = sized.groupBy("group").agg(F.sum("n").alias("all")).where(F.col("all") > group_limit).select("group", F.lit(True).alias("large"))
-    members = written(sized.join(large, "group", "left").select("segment", "value", "group", F.coalesce("large", F.lit(False)).alias("large")), "members")
-    grouped = parts.join(members, ["segment", "value"]).select("group", "fp", "segment", "large")
+    shared = F.lit(0)  # pieces that a group is dealt by
+    for more in range(most_shared):
+        shared = F.when(F.col("all") > group_limit << _dealt_bits(indexed - max(b - a for a, b in bounds), max_distance, more), more + 1).otherwise(shared)
+    large = sized.groupBy("group").agg(F.sum("n").alias("all")).where(F.col("all") > group_limit).select("group", shared.alias("shared"))
+    members = written(sized.join(large, "group", "left").select("segment", "value", "group", F.coalesce("shared", F.lit(0)).alias("shared")), "members")
+    grouped = parts.join(members, ["segment", "value"]).select("group", "fp", "segment", "shared")
 
     def deal(batches):
         for batch in batches:
-            large = np.flatnonzero(batch.column(3).to_numpy(zero_copy_only=False))
-            small = np.flatnonzero(~batch.column(3).to_numpy(zero_copy_only=False))
+            pieces = batch.column(3).to_numpy()
+            small = np.flatnonzero(pieces == 0)
             yield pa.RecordBatch.from_arrays([c.take(pa.array(small)) for c in batch.columns[:2]], names=["group", "fp"])
-            if not len(large):
+            if len(small) == len(pieces):
                 continue
-            rows = batch.take(pa.array(large)).to_pydict()
-            bit = _bits(rows["fp"])
-            for s, (lo, hi) in enumerate(bounds):
-                at = [i for i in range(len(large)) if rows["segment"][i] == s]
-                if not at:
-                    continue
-                rest = np.delete(bit[at], np.arange(lo, hi), axis=1)
-                own = np.array([rows["group"][i] for i in at], dtype=np.int64).astype(np.uint64)
-                fps = pa.array([rows["fp"][i] for i in at], pa.binary())
-                for p, (x, y) in enumerate(_bounds(rest.shape[1], max_distance + 1)):
-                    packed = np.packbits(rest[:, x:y], axis=1).astype(np.uint64)
+            segment, fps = batch.column(2).to_numpy(), batch.column(1)
+            for s, many in {*zip(segment[pieces > 0].tolist(), pieces[pieces > 0].tolist(), strict=True)}:
+                at = pa.array(np.flatnonzero((segment == s) & (pieces == many)))
+                own, group = fps.take(at), batch.column(0).take(at).to_numpy().astype(np.uint64)
+                rest = np.delete(_bits(own.to_pylist()), np.arange(*bounds[s]), axis=1)
+                cuts = [np.packbits(rest[:, x:y], axis=1).astype(np.uint64) for x, y in _bounds(rest.shape[1], max_distance + many)]
+                for chosen in itertools.combinations(range(len(cuts)), many):
+                    new = group
                     with np.errstate(over="ignore"):
-                        new = mix64(own + np.uint64(p + 1))
-                        for j in range(packed.shape[1]):
-                            new = mix64(new * np.uint64(3) + packed[:, j])
-                    yield pa.RecordBatch.from_arrays([pa.array(new.astype(np.int64)), fps], names=["group", "fp"])
+                        for p in chosen:
+                            new = mix64(new + np.uint64(p + 1))
+                            for column in cuts[p].T:
+                                new = mix64(new * np.uint64(3) + column)
+                    yield pa.RecordBatch.from_arrays([pa.array(new.astype(np.int64)), own], names=["group", "fp"])
 
     dealt = grouped.mapInArrow(deal, "group long, fp binary")
     return _links(dealt, max_distance), [parts, values, visits, sized, members]

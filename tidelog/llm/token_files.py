@@ -30,13 +30,13 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import as_bytes, byte_slices, drop_path, input_bytes, per_worker, ready_for_python, shared_path
+from tidelog.llm.common import as_bytes, byte_slices, drop_path, input_bytes, mapped, open_output, per_worker, ready_for_python
+from tidelog.session import shared_path
 
 END_ID = 1
 KEPT_CHUNKS = 800_000
@@ -128,29 +128,6 @@ class Encoder:
         return b"".join(self._chunks(part.replace(b"\n", b" ").split(b" ")) for part in byte_slices(text))
 
 
-def _local(path: str) -> str | None:
-    return path.removeprefix("file://") if path.startswith(("file:", "/")) else None
-
-
-def _open(path: str):
-    if (own := _local(path)) is not None:
-        where, name = fs.LocalFileSystem(), own
-    else:
-        where, name = fs.FileSystem.from_uri(path)
-    where.create_dir(name.rsplit("/", 1)[0], recursive=True)
-    return where.open_output_stream(name)
-
-
-def mapped(path: str, dtype) -> np.ndarray:
-    """A file as an array: memory-mapped, or read where the store has no memory mapping."""
-    if (own := _local(path)) is not None:
-        with pa.memory_map(own) as source:
-            return np.frombuffer(source.read_buffer(), dtype=dtype)
-    where, name = fs.FileSystem.from_uri(path)
-    with where.open_input_file(name) as source:
-        return np.frombuffer(source.read_buffer(), dtype=dtype)
-
-
 def write_token_files(docs: DataFrame, definition: bytes, path: str | None = None, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Tokenise ``docs`` and write the shards under ``path`` (a new folder in the shared one if not given).
 
@@ -175,7 +152,7 @@ def write_token_files(docs: DataFrame, definition: bytes, path: str | None = Non
                 encoder = per_worker(("encoder", hash(shared.value)), lambda: Encoder(shared.value))
                 tail = np.array([end_id], dtype=encoder.dtype).tobytes()
                 name = f"{path}/{part:06d}-{uuid.uuid4().hex}"
-                ids, keys = _open(f"{name}.bin"), _open(f"{name}.doc")
+                ids, keys = open_output(f"{name}.bin"), open_output(f"{name}.doc")
             many = []
             for value in as_bytes(batch.column(1)):
                 data = encoder.encode(value) + tail
@@ -187,7 +164,7 @@ def write_token_files(docs: DataFrame, definition: bytes, path: str | None = Non
             ids.close()
             keys.close()
             offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
-            with _open(f"{name}.idx") as out:
+            with open_output(f"{name}.idx") as out:
                 out.write(offsets.astype("<u8").tobytes())
             yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "path": [name], "id_bytes": pa.array([encoder.dtype.itemsize], pa.int32()), "n_docs": [len(offsets) - 1], "n_tokens": [int(offsets[-1])]})
 
