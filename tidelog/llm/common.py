@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,25 @@ def ready_for_python(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def recorded():
+    """Lists the paths of the tables that :func:`written` makes meanwhile, so that who writes a result can delete what it came from."""
+    own: list[str] = []
+    _RECORDS.append(own)
+    try:
+        yield own
+    finally:
+        _RECORDS[:] = [r for r in _RECORDS if r is not own]
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps neither recompute it nor depend on an executor."""
     path = shared_path(df.sparkSession, label)
+    for record in _RECORDS:
+        record.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tidelog.llm.common import ready_for_python, written
+from tidelog.llm.common import drop_written, ready_for_python, written
 
 PIVOTS, NEAREST = 256, 64  # NEAREST must fit in a byte
 PIVOT_SAMPLE = 4096
@@ -159,4 +159,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, query_every: int = 20, p
     found = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = written(best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "neighbours")
+    drop_written(index)
+    drop_written(blocks)
+    return out

@@ -194,7 +194,7 @@ def _document_counts(rows: DataFrame) -> DataFrame:
                         found = known[word] = tokens(normal(word)[0])
                     own.update(found)
                 seen.setdefault((fold, toxic > 0), Counter()).update(own)
-            if sum(map(len, seen.values())) > 2 * KEPT_WORDS:
+            if sum(map(len, seen.values())) > KEPT_WORDS:
                 yield flush()
         yield flush()
 

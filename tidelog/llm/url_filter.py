@@ -23,7 +23,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import written
+from tidelog.llm.common import drop_written, written
 from tidelog.llm.components import connected_components
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -123,6 +123,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, more_edge
     classes = written(named.groupBy("root").agg(F.max(F.col("own") == "allow").alias("allowed"), F.max(F.col("own") == "block").alias("blocked")), "classes")
     blocked = F.coalesce("blocked", F.lit(False)) & ~F.coalesce("allowed", F.lit(False))
     spread = written(roots.join(classes, "root").where(blocked).select(F.col("node").alias("blocked_node")), "blocked")
+    drop_written(roots)
+    drop_written(classes)
 
     host, path = host_and_path("url")
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), node("url").alias("node"))
