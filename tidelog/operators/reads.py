@@ -34,10 +34,10 @@ def near_keys(log: DataFrame, keys: DataFrame, known: list | None = None) -> Dat
     return log.where(~ranged).join(keys.select("key").distinct(), "key", "left_semi").select(*log.columns).unionByName(log.where(ranged))
 
 
-def has(state: DataFrame, keys: DataFrame) -> DataFrame:
-    """``keys`` (key) with ``present``; an empty value is present."""
+def has(state: DataFrame, keys: DataFrame, few: bool = False) -> DataFrame:
+    """``keys`` (key) with ``present``; an empty value is present. ``few``: the state holds only what a few keys asked for, and is broadcast."""
     found = state.select("key", F.lit(True).alias("present"))
-    return keys.join(found, "key", "left").select(*keys.columns, F.coalesce("present", F.lit(False)).alias("present"))
+    return keys.join(F.broadcast(found) if few else found, "key", "left").select(*keys.columns, F.coalesce("present", F.lit(False)).alias("present"))
 
 
 def value_size(value: Column) -> Column:
@@ -45,9 +45,10 @@ def value_size(value: Column) -> Column:
     return F.octet_length(value)
 
 
-def multi_get(state: DataFrame, keys: DataFrame) -> DataFrame:
-    """``keys`` (ord, key) with ``value``: one row per request, duplicates kept, null for a missing key; ``ord`` is the order."""
-    return keys.join(state.select("key", "value"), "key", "left").select("ord", "key", "value")
+def multi_get(state: DataFrame, keys: DataFrame, few: bool = False) -> DataFrame:
+    """``keys`` (ord, key) with ``value``: one row per request, duplicates kept, null for a missing key; ``ord`` is the order. ``few`` as for :func:`has`."""
+    found = state.select("key", "value")
+    return keys.join(F.broadcast(found) if few else found, "key", "left").select("ord", "key", "value")
 
 
 def scan(state: DataFrame, start=None, end=None) -> DataFrame:
@@ -108,9 +109,9 @@ def seek_many(state: DataFrame, targets: DataFrame, floor: bool = False, few: in
     order of the keys. With more, targets and keys are carried along in one order per range of keys; what a range lacks comes from
     its neighbours' ends, one row per range.
     """
-    some = [r.target for r in targets.distinct().limit(few + 1).collect()]
+    some = [r.target for r in targets.select("target").limit(few + 1).collect()]
     if len(some) <= few:
-        return _seek_few(state, targets, sorted(t for t in some if t is not None), floor)
+        return _seek_few(state, targets, sorted({t for t in some if t is not None}), floor)
     keys = state.select("key")
     bounds = key_bounds(keys)
     kind = state.schema["key"].dataType
@@ -139,7 +140,7 @@ def _seek_few(state: DataFrame, targets: DataFrame, bounds: list, floor: bool) -
         best = F.max(F.when(F.col("part") <= F.col("nth"), F.col("hi")).otherwise(F.col("lo")))
     else:
         near, best = F.col("part") > F.col("nth"), F.min("lo")
-    found = asked.join(F.broadcast(ends), near, "left").groupBy("at").agg(best.alias("found"))  # a row per interval on either side
+    found = asked.coalesce(1).join(F.broadcast(ends), near, "left").groupBy("at").agg(best.alias("found"))  # a row per interval on either side
     return targets.distinct().join(F.broadcast(found), F.col("target") == F.col("at"), "left").select("target", "found")
 
 

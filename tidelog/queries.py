@@ -100,7 +100,7 @@ _ASKED = [0, 3, 7, 7, 12, 14, 99, 149, 150, 999999]
 def kv_has(spark, sf):
     asked = rows_of(spark, "key string", *((key(n),) for n in sorted(set(_ASKED))))
     near = reads.near_keys(event_log(spark, sf), asked, [key(n) for n in sorted(set(_ASKED))])
-    return reads.has(resolve(near, None, COUNTER), asked).select(F.col("key").alias("k"), "present")
+    return reads.has(resolve(near, None, COUNTER), asked, few=True).select(F.col("key").alias("k"), "present")
 
 
 @query(f"{NOW_STATE} select k, strlen(v::varchar)::bigint size from state")
@@ -112,7 +112,7 @@ def kv_get_size(spark, sf):
 def kv_multi_get(spark, sf):
     asked = rows_of(spark, "ord long, key string", *((i, key(n)) for i, n in enumerate(_ASKED)))
     near = reads.near_keys(event_log(spark, sf), asked, [key(n) for n in sorted(set(_ASKED))])
-    return reads.multi_get(resolve(near, None, COUNTER), asked).select("ord", F.col("key").alias("k"), F.col("value").alias("v"))
+    return reads.multi_get(resolve(near, None, COUNTER), asked, few=True).select("ord", F.col("key").alias("k"), F.col("value").alias("v"))
 
 
 @query(f"{NOW_STATE} select s_suppkey ord, x.k, state.v from (select s_suppkey, lpad((s_suppkey * 7)::varchar, 12, '0') k from supplier) x left join state on state.k = x.k")
