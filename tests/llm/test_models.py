@@ -72,6 +72,22 @@ def test_language_held_out_accuracy(spark):
     assert rows.count() == docs.count()
 
 
+def test_words_of_millions_of_letters(spark, monkeypatch):
+    """An unbroken run is scored in turns and not remembered for long; shorter turns give the same scores."""
+    from tidelog.llm import language_id
+
+    model = train(corpus(spark))
+    words = ["the", EN.replace(" ", ""), "", "кошка" * 50, "cat"]
+    want = model.words(words)
+    monkeypatch.setattr(language_id, "TRIGRAMS_AT_ONCE", 7)
+    assert np.allclose(model.words(words)[0], want[0])
+    monkeypatch.undo()
+    labeller = Labeller(model)
+    run = EN.replace(" ", "") * 20_000
+    assert [x[0] for x in labeller.label([run, FR, run[5:], None])] == ["en", "fr", "en", "und"] and labeller.chars < 20_000_000
+    assert np.isfinite(Features({"bad": 1.0}).of("ab1" * 2_000_000)).all()
+
+
 def test_language_needs_no_labels_at_scoring(spark):
     model = train(corpus(spark))
     one = corpus(spark).where("doc_id < 60")

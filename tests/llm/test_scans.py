@@ -10,6 +10,8 @@ import duckdb
 import pytest
 
 import corpus_pipeline
+from pyspark.sql.functions import lit
+
 from tidelog.llm import license_scan as ls
 from tidelog.llm.licence_texts import TEMPLATES
 from tidelog.llm.queries import oracle_sql
@@ -243,6 +245,20 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id: r.piece_ids for r in out.collect()} == {i: r.piece_ids for i, r in kept.items()}
 
 
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    sf = str(tmp_path)
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{sf}/{name}.parquet")
+    names = ["toxicity", "score", "lang_pred", "lang_score", "spans", "items", "n_words", "n_hit", "__id", "__found", "rows", "node", "key", "draw", "fold", "toxic", "Place"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, lit(i))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, sf)
+        assert after.columns == docs.columns, name
+        assert {tuple(r[n] for n in names) for r in after.collect()} == {tuple(range(len(names)))}, name
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     sf = str(tmp_path)
     for name in ("labels", "benchmark", "documents"):

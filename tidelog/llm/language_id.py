@@ -39,7 +39,8 @@ WORST_WORD = 8.0
 LEAST_SHARE = 2e-6
 #: A language uses a script if it has this share of the language's letters.
 SCRIPT_SHARE = 0.01
-KEPT_WORDS = 400_000
+KEPT_WORDS, KEPT_CHARS = 400_000, 16_000_000
+TRIGRAMS_AT_ONCE = 1_000_000
 UNKNOWN = "und"
 #: First code point of Unicode's script ranges (rough blocks), each up to the next.
 SCRIPTS = [
@@ -97,12 +98,17 @@ class LanguageModel:
         spoken = np.flatnonzero(sizes)
         if not len(spoken) or not self.languages:
             return total, sizes
-        get, rows = self.index.get, []
-        for word in filter(None, own):
-            padded = f"^{word}$"
-            rows += [get(padded[i : i + 3], 0) for i in range(len(word))]
-        ends = np.cumsum(sizes[spoken])
-        total[spoken] = np.add.reduceat(self.table[rows], ends - sizes[spoken])
+        get, rows, at = self.index.get, [], []
+        for i in spoken.tolist():
+            padded, size = f"^{own[i]}$", int(sizes[i])
+            for lo in range(0, size, TRIGRAMS_AT_ONCE):  # more than one turn for a very long word
+                part = range(lo, min(lo + TRIGRAMS_AT_ONCE, size))
+                at.append((i, len(rows)))
+                rows += [get(padded[j : j + 3], 0) for j in part]
+                if len(rows) >= TRIGRAMS_AT_ONCE:
+                    self._add(total, rows, at)
+        if rows:
+            self._add(total, rows, at)
         ranges: dict[str, list[int]] = {}
         for i in spoken.tolist():
             char = own[i][0]
@@ -115,6 +121,14 @@ class LanguageModel:
         return total, sizes
 
 
+    def _add(self, total: np.ndarray, rows: list[int], at: list[tuple[int, int]]) -> None:
+        """Add the sums of stretches of trigram rows to their words, and empty the lists."""
+        words, starts = np.array(at).T
+        np.add.at(total, words, np.add.reduceat(self.table[rows], starts))
+        rows.clear()
+        at.clear()
+
+
 class Labeller:
     """Labels the words of texts; remembers the scores of recent words in bounded memory."""
 
@@ -124,11 +138,13 @@ class Labeller:
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
+        self.chars = 0
         self.scores, self.sizes = np.zeros((1024, self.many), dtype=np.float32), np.zeros(1024, dtype=np.int64)
 
     def _rows(self, words: list[str]) -> np.ndarray:
         new = set(words).difference(self.place)
-        if len(self.place) + len(new) > KEPT_WORDS and self.place:
+        self.chars += sum(map(len, new))
+        if (len(self.place) + len(new) > KEPT_WORDS or self.chars > KEPT_CHARS) and self.place:
             self._forget()
             return self._rows(words)
         while len(self.place) + len(new) > len(self.sizes):
@@ -260,6 +276,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
             for value, language in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for part in slices(value):
                     words.setdefault(language, Counter()).update(part.split())
+                if len(value) > KEPT_CHARS:  # it may hold words of millions of letters
+                    yield flush()
             if sum(map(len, words.values())) > KEPT_WORDS:
                 yield flush()
         yield flush()

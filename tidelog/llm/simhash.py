@@ -20,7 +20,7 @@ miss every index of segments that is selective enough, and pairs at 0.76 pass th
 With ``max_distance`` above what the segments guarantee (2 * segments - 1 of the indexed bits), links up to
 the guarantee are all found, and those beyond it if one segment is still within a bit.
 
-Defined cases: a null or empty text has no words and fingerprint zero, linked like any other; fewer
+Defined cases: a very long text is hashed a bounded number of shingles at a time; a null or empty text has no words and fingerprint zero, linked like any other; fewer
 words than a shingle make one shingle; copies and repeated rows share a fingerprint; a null doc_id
 never becomes a component's id unless all are null; an empty table gives an empty result; other
 columns of the input are not read, whatever their names.

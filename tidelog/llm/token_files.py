@@ -41,7 +41,7 @@ from tidelog.session import shared_path
 END_ID = 1
 KEPT_CHUNKS = 800_000
 SHARD_BYTES = 256 << 20
-GROUP_WORDS = 1000
+GROUP_WORDS, LONG_CHUNK = 1000, 200
 NULL_ID = -(2**63)
 SHARDS = "shard int, path string, id_bytes int, n_docs long, n_tokens long, doc_base long, token_base long"
 #: Marks that are neither letters, digits nor white space.
@@ -118,7 +118,13 @@ class Encoder:
                 self.known = {b"": b""}
                 new = set(chunks) - {b""}
             self._learn(new)
-        return b"".join(map(self.known.__getitem__, chunks))
+        out = b"".join(map(self.known.__getitem__, chunks))
+        for c in new:
+            if len(c) > LONG_CHUNK:  # not remembered
+                for part in (c, *self._halves(c)):
+                    if len(part) > LONG_CHUNK:
+                        self.known.pop(part, None)
+        return out
 
     def encode(self, text: bytes | None) -> bytes:
         if not text:

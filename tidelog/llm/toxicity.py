@@ -45,7 +45,7 @@ MOST_BITS = 27  # of the bitmap of labelled ids
 FOLDS = 4
 BEGINNINGS = (4, 5, 6)
 NEAR_WORDS = 3
-KEPT_WORDS = 200_000
+KEPT_WORDS, KEPT_CHARS = 200_000, 16_000_000
 SECOND_PERSON = set(
     "you your yours yourself yourselves u ur du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros".split()
 )
@@ -87,6 +87,7 @@ class Features:
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
+        self.chars = 0
         self.flags = np.zeros((1024, 6), dtype=np.float32)
 
     def _flags(self, token: str) -> tuple[float, ...]:
@@ -96,7 +97,8 @@ class Features:
 
     def _rows(self, words: list[str]) -> np.ndarray:
         new = set(words).difference(self.place)
-        if len(self.place) + len(new) > KEPT_WORDS and self.place:
+        self.chars += sum(map(len, new))
+        if (len(self.place) + len(new) > KEPT_WORDS or self.chars > KEPT_CHARS) and self.place:
             self._forget()
             new = set(words)
         while len(self.place) + len(new) > len(self.flags):
@@ -191,7 +193,9 @@ def _document_counts(rows: DataFrame) -> DataFrame:
                     if (found := known.get(word)) is None:
                         if len(known) > KEPT_WORDS:
                             known.clear()
-                        found = known[word] = tokens(normal(word)[0])
+                        found = tokens(normal(word)[0])
+                        if len(word) < 100:
+                            known[word] = found
                     own.update(found)
                 seen.setdefault((fold, toxic > 0), Counter()).update(own)
             if sum(map(len, seen.values())) > KEPT_WORDS:
