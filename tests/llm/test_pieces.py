@@ -164,6 +164,23 @@ def test_encoder_is_the_library():
         assert np.frombuffer(own.encode(text.encode()), own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_long_chunks_are_cut_where_nothing_changes(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from tidelog.llm import token_files
+
+    definition = vocabulary(TOKENIZER)
+    library = Tokenizer.from_buffer(definition)
+    monkeypatch.setattr(token_files, "CUT_FROM", 3)
+    monkeypatch.setattr(token_files, "LONG_CHUNK", 5)
+    own, draw = Encoder(definition), random.Random(8)
+    alphabet = [*"abTHWΣσé0159+/=;!?()[]{}*.:'’,、。，日本語語かﾊ", "\u0308", "\u3099", "'s", "'LL", "<|endoftext|>", " "]
+    for k in range(12_000):
+        text = "".join(draw.choices(alphabet if k % 2 else "ab0+/=;'s1", k=draw.randint(1, 40)))
+        assert np.frombuffer(own.encode(text.encode()), own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert all(len(c) <= 5 for c in own.known)
+
+
 def test_token_files_round_trip(spark):
     from tokenizers import Tokenizer
 

@@ -17,7 +17,7 @@ what a lost or repeated attempt leaves behind is never read.
 
 Defined cases: null and empty texts have only the end id; rows are in the order of document id (null
 first), then of the text's hash, so repeated rows are adjacent; a very long text goes through the tokenizer in
-slices of about 1 MB, a run without spaces as a whole; an empty table gives no shards and an
+slices of about 1 MB, a run without spaces in pieces of about 64 kB, if it has a digit or mark to cut at; an empty table gives no shards and an
 empty result; other columns of the input are not read, whatever their names.
 """
 
@@ -27,6 +27,7 @@ import re
 import uuid
 import zlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +42,14 @@ from tidelog.session import shared_path
 END_ID = 1
 KEPT_CHUNKS = 800_000
 SHARD_BYTES = 256 << 20
-GROUP_WORDS, LONG_CHUNK = 1000, 200
+GROUP_WORDS, LONG_CHUNK, CUT_FROM = 1000, 200, 1 << 16
 NULL_ID = -(2**63)
 SHARDS = "shard int, path string, id_bytes int, n_docs long, n_tokens long, doc_base long, token_base long"
 #: Marks that are neither letters, digits nor white space.
 STOP = re.compile(rb"(?<=[A-Za-z0-9])[.,](?=[ \n]|$)")  # one mark, a pre-token by itself
+#: Where a very long chunk may be cut: at ASCII digits, each a pre-token by itself, before or after marks that no contraction starts with, after
+#: ideographic commas and stops before an ideograph.
+CUT = re.compile(rb"(?<=[0-9])(?=[0-9A-Za-z])|(?<=[A-Za-z])(?=[0-9;!?()\[\]{}=+*/])|(?<=[;!?()\[\]{}=+*/])(?=[A-Za-z0-9])|(?<=\xe3\x80[\x81\x82])(?=[\xe5-\xe9])|(?<=\xef\xbc\x8c)(?=[\xe5-\xe9])")
 #: A capital before a character that may be a combining mark: all from U+0300 on, as none before it is one.
 COMPOSES, CHUNK = re.compile(rb"[A-Z](?=[\xcc-\xff])"), re.compile(rb"[^ \n]+")
 MARKS = b".,;:!?\"'()[]{}*%$&#-_/|"
@@ -83,9 +87,9 @@ class Encoder:
 
     def _learn(self, chunks: set[bytes]) -> None:
         """Remember the ids of all chunks."""
-        parts = {c: self._halves(c) for c in chunks}
+        parts = {c: self._halves(c) if len(c) <= CUT_FROM else tuple(self._pieces(c)) for c in chunks}
         new = {p for halves in parts.values() for p in halves}.difference(self.known)
-        words = [c for c in new if c.isalpha() or c.decode().isalpha()]
+        words = [c for c in new if len(c) <= LONG_CHUNK and (c.isalpha() or c.decode().isalpha())]
         groups = [words[i : i + GROUP_WORDS] for i in range(0, len(words), GROUP_WORDS)]
         for group, found in zip(groups, self._ids([b" ".join(g) for g in groups]), strict=True):
             ids = np.array(found, dtype=self.dtype)
@@ -94,13 +98,28 @@ class Encoder:
                 data, cuts = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
                 self.known.update((c, data[i:j]) for c, i, j in zip(group, [0, *cuts], cuts, strict=False))
                 new.difference_update(group)
-        rest = list(new)
-        self.known.update((c, array(self.code, ids).tobytes()) for c, ids in zip(rest, self._ids(rest), strict=True))
-        self.known.update((c, self.known[a] + self.known[b]) for c, (a, b) in parts.items())
+        rest: list[bytes] = []
+        for chunk in [*new, b""]:  # the empty one closes the last group
+            if rest and (not chunk or len(rest) >= GROUP_WORDS or len(chunk) > LONG_CHUNK):
+                self.known.update((c, array(self.code, ids).tobytes()) for c, ids in zip(rest, self._ids(rest), strict=True))
+                rest = []
+            rest += [chunk] if chunk else []
+        self.known.update((c, b"".join(map(self.known.__getitem__, own))) for c, own in parts.items())
+        for c in {p for c, own in parts.items() for p in own if len(p) > LONG_CHUNK and p not in chunks}:
+            del self.known[c]
 
     def _ids(self, texts: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
+    @staticmethod
+    def _pieces(chunk: bytes) -> Iterator[bytes]:
+        """A very long chunk in pieces of at least ``CUT_FROM`` bytes; one without a place to cut stays whole."""
+        at = 0
+        while b"<|" not in chunk and (cut := CUT.search(chunk, at + CUT_FROM)):
+            yield chunk[at : cut.start()]
+            at = cut.start()
+        yield chunk[at:]
+
     @staticmethod
     def _halves(chunk: bytes) -> tuple[bytes, bytes]:
         word = chunk.rstrip(MARKS)
@@ -121,9 +140,7 @@ class Encoder:
         out = b"".join(map(self.known.__getitem__, chunks))
         for c in new:
             if len(c) > LONG_CHUNK:  # not remembered
-                for part in (c, *self._halves(c)):
-                    if len(part) > LONG_CHUNK:
-                        self.known.pop(part, None)
+                del self.known[c]
         return out
 
     def encode(self, text: bytes | None) -> bytes:
