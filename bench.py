@@ -16,6 +16,7 @@ HEADLINE = [
     "kv_scan_latest", "kv_snapshot_scan", "kv_point_get", "kv_multi_get", "kv_range_scan", "kv_prefix_scan", "kv_scan_page", "kv_seek_ceil", "kv_next_prev",
     "kv_delete_range_effect", "kv_tombstone_skyline", "kv_merge_counter", "kv_merge_append", "kv_gc_pin", "kv_merge_collapse", "kv_ttl_scan", "kv_overlap",
     "kv_cf_union", "kv_ingest_overlay", "kv_txn_overlay_fwd", "kv_txn_conflicts_ser", "kv_lost_appends", "kv_stale_reads", "kv_shadow_verify", "kv_tail_batches", "kv_ycsb_mix",
+    "kv_dense_ranges", "kv_multi_get_table", "kv_seek_ceil_table",
 ]
 
 

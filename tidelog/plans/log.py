@@ -47,6 +47,16 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points_of_events(events).unionByName(tombstones_of_events(events))
 
 
+def dense_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' log with a range delete over two users for every error: far more ranges than a plan can hold."""
+    events = table(spark, sf_dir, "events")
+    ranges = events.where("event_type = 'error'").select(
+        F.lit(DEFAULT_CF).alias("cf"), padded(F.col("user_id")).alias("key"), (2 * F.col("event_id") + 2).alias("seq"), F.lit(DELETE_RANGE).alias("op"),
+        F.lit(None).cast("long").alias("value"), padded(F.col("user_id") + 2 + F.col("event_id") % 5).alias("end_key"), F.expr(UNIX.format("ts")).alias("commit_unix"),
+    )
+    return points_of_events(events).unionByName(ranges)
+
+
 def moving_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log of the events under keys that move on with time, so that a cursor in key space finds more and more."""
     events = table(spark, sf_dir, "events").withColumn("user_id", F.expr("event_id div 100 + user_id % 50"))

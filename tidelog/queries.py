@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidelog.functions.keys import padded
 from tidelog.functions.merges import APPEND, COUNTER
 from tidelog.operators import compaction, expiry, histories, introspection, reads, transactions, workloads
-from tidelog.plans.log import DEFAULT_CF, ORDERS_CF, conversation_log, event_log, moving_log, order_log, table
+from tidelog.plans.log import DEFAULT_CF, ORDERS_CF, conversation_log, dense_log, event_log, moving_log, order_log, table
 from tidelog.plans.resolve import live_points, resolve
 from tidelog.plans.tombstones import bucket_of, distinct_tombstones, sampled_bounds, skyline_table
 
@@ -213,6 +213,15 @@ def kv_tombstone_skyline(spark, sf):
     return skyline_table(rows, sampled_bounds(rows, rows.count())).select("s", "e", "rseq")
 
 
+DENSE = LOG[: LOG.index("rt as")] + "rt as (select lpad(user_id::varchar, 12, '0') s, lpad((user_id + 2 + event_id % 5)::varchar, 12, '0') e, 2 * event_id + 2 rseq from events where event_type = 'error')"
+
+
+@query(f"with {DENSE}, {live_sql()}, {STATE} select k, v, seq from state")
+def kv_dense_ranges(spark, sf):
+    """The state of a log with a fifth as many range deletes as operations."""
+    return kv(resolve(dense_log(spark, sf), None, COUNTER))
+
+
 @query(f"""with {LOG}, {live_sql()}, t as (select *, max(case when op <> 'merge' then seq end) over (partition by k) term from live)
 select k, max(case when op = 'put' then v end) base, sum(case when op = 'merge' then v end)::bigint operand_sum, count(case when op = 'merge' then 1 end) operands
 from t where term is null or seq >= term group by k having count(case when op = 'merge' then 1 end) > 0""")
