@@ -21,17 +21,17 @@ def paired(events: DataFrame) -> DataFrame:
 
 
 def lossy_reads(appends: DataFrame, reads: DataFrame) -> DataFrame:
-    """``reads`` that lack the value of some append completed before, by counts: appends before each read, less those whose value it lists.
+    """``read_id`` of the reads that lack the value of some append completed before (none of those without a list), by counts: appends before each read, less those whose value it lists.
 
     The counts come from one order of appends and reads per key and one join by key and value, so no append meets every read of its key.
     """
     order = W.Window.partitionBy("key").orderBy("at", "turn").rowsBetween(W.Window.unboundedPreceding, 0)
-    both = appends.select("key", F.col("completed").alias("at"), F.lit(1).alias("turn"), F.lit(None).cast("long").alias("read_id")).unionByName(reads.select("key", F.col("invoked").alias("at"), F.lit(0).alias("turn"), "read_id"))
-    before = both.withColumn("before", F.count(F.when(F.col("turn") == 1, 1)).over(order)).where("turn = 0").select("read_id", "before")
-    listed = reads.select("read_id", "key", "invoked", F.explode(F.array_distinct("list")).alias("value")).join(appends.select("key", "value", "completed"), ["key", "value"])
-    found = listed.where("completed < invoked").groupBy("read_id").agg(F.count("*").alias("found"))
-    lossy = before.join(found, "read_id", "left").where(F.col("before") > F.coalesce("found", F.lit(0))).select("read_id")
-    return reads.join(lossy, "read_id", "left_semi")
+    own = reads.where("list is not null").select("key", F.col("invoked").alias("at"), F.lit(0).alias("turn"), "read_id", "list")
+    both = own.unionByName(appends.select("key", F.col("completed").alias("at"), F.lit(1).alias("turn")), allowMissingColumns=True)
+    before = both.withColumn("before", F.count(F.when(F.col("turn") == 1, 1)).over(order)).where("turn = 0 and before > 0")
+    listed = before.select("key", "at", "read_id", "before", F.explode_outer(F.array_distinct("list")).alias("value"))
+    found = listed.join(appends.select("key", "value", "completed"), ["key", "value"], "left").groupBy("read_id").agg(F.max("before").alias("before"), F.count(F.when(F.col("completed") < F.col("at"), 1)).alias("found"))
+    return found.where("before > found").select("read_id")
 
 
 def lost_appends(appends: DataFrame, reads: DataFrame, witnesses: int | None = WITNESSES) -> DataFrame:
@@ -40,7 +40,10 @@ def lost_appends(appends: DataFrame, reads: DataFrame, witnesses: int | None = W
     With a number of witnesses, the first by read and append, only as many lossy reads meet the appends of their keys.
     """
     lossy = lossy_reads(appends, reads)
-    few = lossy if witnesses is None else F.broadcast(lossy.orderBy("read_id").limit(witnesses))
+    if witnesses is None:
+        few = reads.join(lossy, "read_id", "left_semi")
+    else:
+        few = F.broadcast(reads.join(F.broadcast(lossy.orderBy("read_id").limit(witnesses)), "read_id", "left_semi"))
     lost = appends.join(few, "key").where((F.col("invoked") > F.col("completed")) & ~F.array_contains("list", F.col("value")))
     lost = lost.select("key", "append_id", "read_id", "value")
     return lost if witnesses is None else lost.orderBy("read_id", "append_id").limit(witnesses)
