@@ -344,6 +344,14 @@ def test_prefix_filters(spark, tmp_path):
         cursor = db.cursor()
         cursor.seek_prefix(b"ab")
         assert cursor.key() == b"ab1"
+        cursor.PAGE = 1
+        cursor.seek_prefix(b"a")
+        assert [k for k, _ in cursor.entries()] == [b"a", b"aa1", b"ab1"]
+        cursor.seek(b"ab")
+        cursor.next()
+        assert cursor.key() == b"zz"
+        cursor.prev()
+        assert cursor.key() == b"ab1"
         db.compact_range()
     assert fixed_length_prefix(2).query(b"a") is None and fixed_length_prefix(2).query(b"abc") == b"ab"
 
