@@ -7,7 +7,9 @@ import pytest
 import xxhash
 
 from tidelog.llm import simhash
-from tidelog.llm.common import written
+from pyspark.sql import functions as F
+
+from tidelog.llm.common import HashSet, written
 from tidelog.llm.components import connected_components
 from tidelog.llm.decontamination import contamination_digest, decontaminated, find_contamination
 
@@ -242,3 +244,14 @@ def test_forest_connects_what_pairs_connect():
     fps = np.unique(draw.integers(0, 64, (40, 1), dtype=np.uint64), axis=0)
     edges = simhash._forest(fps, 1)
     assert len(edges) == len(fps) - 1 or all((int(fps[a, 0]) ^ int(fps[b, 0])).bit_count() <= 1 for a, b in edges)
+
+
+def test_hash_sets_miss_nothing(spark):
+    keys = spark.range(0, 3000, 3).selectExpr("id k")
+    rows = spark.range(20_000)
+    marked = HashSet(keys.selectExpr("xxhash64(k) h")).marked(rows, F.xxhash64("id"), "near")
+    found = {r.id for r in marked.where("near").collect()}
+    wanted = {r.k for r in keys.collect()}
+    assert wanted <= found and len(found) < len(wanted) + 0.15 * 20_000 and marked.count() == 20_000
+    nothing = HashSet(keys.limit(0).selectExpr("xxhash64(k) h")).marked(rows, F.xxhash64("id"), "near")
+    assert nothing.where("near").isEmpty() and nothing.count() == 20_000

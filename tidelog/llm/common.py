@@ -29,6 +29,30 @@ def ready_for_python(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+class HashSet:
+    """Which rows may have one of some keys: a bitmap of the keys' hashes, with 16 bits a key up to ``MOST_BITS`` (16 MB), so it can always be broadcast.
+
+    Texts of other rows then need no shuffle to learn that they have none.
+    """
+
+    MOST_BITS = 27
+
+    def __init__(self, hashes: DataFrame):
+        """``hashes``: one column of 64-bit hashes."""
+        name = hashes.columns[0]
+        bits = min(self.MOST_BITS, max(15, (16 * hashes.count()).bit_length()))
+        self.size = F.lit(1 << bits)
+        place = hashes.select(F.pmod(F.col(name), self.size).alias("place"))
+        self.parts = place.groupBy(F.expr("place div 32768").alias("__part")).agg(F.bitmap_construct_agg(F.col("place") % 32768).alias("__bits"))  # 4 kB each
+
+    def marked(self, df: DataFrame, own: Column, mark: str) -> DataFrame:
+        """``df`` with the boolean column ``mark``: whether the hash ``own`` may be among the keys'."""
+        found = df.withColumn("__place", F.pmod(own, self.size)).join(F.broadcast(self.parts), F.expr("__place div 32768") == F.col("__part"), "left")
+        byte = F.conv(F.hex(F.expr("substring(__bits, cast(__place % 32768 div 8 as int) + 1, 1)")), 16, 10).cast("int")
+        bit = F.expr("cast(__place % 8 as int)")
+        return found.withColumn(mark, F.coalesce(F.call_function("getbit", byte, bit) == 1, F.lit(False))).drop("__place", "__part", "__bits")
+
+
 _RECORDS: list[list[str]] = []
 
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import as_bytes, byte_slices, drop_written, mix64, per_worker, ready_for_python, shielded, written
+from tidelog.llm.common import HashSet, as_bytes, byte_slices, drop_written, mix64, per_worker, ready_for_python, shielded, written
 from tidelog.llm.components import connected_components
 
 SEED = 42
@@ -303,6 +303,12 @@ def _keyed(docs: DataFrame, size: int, tables: int, minima: int) -> DataFrame:
     return rows.mapInArrow(scan, "id long, none boolean, tie long, node long, keys array<long>")
 
 
+def _row_hash(doc_id: str = "doc_id", text: str = "text"):
+    """The hash of a row's id and text, as of their columns in :func:`_keyed`."""
+    own = F.col(doc_id).cast("long")
+    return F.xxhash64(F.coalesce(own, F.lit(0).cast("long")), own.isNull(), F.xxhash64(F.col(text).cast("string")))
+
+
 def _sets(texts: DataFrame, size: int) -> DataFrame:
     """Shingle sets of (node, text)."""
 
@@ -432,7 +438,8 @@ def shingle_components(docs: DataFrame, own: DataFrame, size: int, least: float)
     rows = written(members.join(shared, "key").select("key", "node", F.col("node").alias("root")), "members")
     spoken = own.join(rows.select("node").distinct(), "node").select("node", F.col("id").alias("__id"), F.col("none").alias("__none"), F.col("tie").alias("__tie"), "rows")
     same = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) == F.col("__id"), F.col("doc_id").cast("long").isNull() == F.col("__none"), F.xxhash64(F.col("text")) == F.col("__tie")]
-    sets = written(_sets(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(spoken, same).select("node", "text"), size), "sets")
+    rows_of = HashSet(spoken.select(F.xxhash64("__id", "__none", "__tie"))).marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _row_hash(), "near").where("near")
+    sets = written(_sets(rows_of.join(spoken, same).select("node", "text"), size), "sets")
     if not spoken.where("rows > 1").isEmpty():
         once = written(sets.dropDuplicates(["node"]), "sets")
         drop_written(sets)
@@ -471,18 +478,23 @@ def without_near_copies(docs: DataFrame, size: int = 5, least: float = 0.8, tabl
     """
     ready_for_python(docs.sparkSession)
     prints = written(_keyed(docs, size, tables, minima), "prints")
-    each = prints.groupBy("node", "none", "id", "tie").agg(F.count("*").alias("rows"), F.first("keys").alias("keys"))
-    own = written(each.groupBy("node").agg(F.min(F.struct("none", "id", "tie", "rows")).alias("k"), F.first("keys").alias("keys")).select("node", "k.*", "keys"), "nodes")
+    each = written(prints.groupBy("node", "none", "id", "tie").agg(F.count("*").alias("rows"), F.first("keys").alias("keys")), "each")
     drop_written(prints)
+    own = written(each.groupBy("node").agg(F.min(F.struct("none", "id", "tie", "rows")).alias("k"), F.first("keys").alias("keys")).select("node", "k.*", "keys"), "nodes")
     roots = shingle_components(docs, own, size, least)
     named = own.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct("none", "id", "tie", "rows").alias("k"))
     best = named.groupBy("root").agg(F.min("k").alias("k")).select("k.*")
     best = written(best.withColumnsRenamed({"id": "__id", "none": "__none", "tie": "__tie", "rows": "__rows"}), "kept")
+    # Only rows that may go, or that have repeats, are shuffled; all others stay where they are.
+    stay = best.where("__rows = 1").select(F.col("__none").alias("none"), F.col("__id").alias("id"), F.col("__tie").alias("tie"))
+    gone = written(each.select("none", "id", "tie").join(stay, ["none", "id", "tie"], "left_anti"), "gone")
     drop_written(own)
-    inner, back = shielded(docs, best.columns)
-    own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) == F.col("__id"), F.col("doc_id").isNull() == F.col("__none"), F.xxhash64(F.col("text").cast("string")) == F.col("__tie")]
-    kept = inner.join(best, own)
-    out = kept.where("__rows = 1").select(*back)
+    drop_written(each)
+    inner, back = shielded(docs, [*best.columns, "__near", "__place", "__part", "__bits"])
+    marked = HashSet(gone.select(F.xxhash64("id", "none", "tie"))).marked(inner, _row_hash(), "__near")
+    own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) == F.col("__id"), F.col("doc_id").cast("long").isNull() == F.col("__none"), F.xxhash64(F.col("text").cast("string")) == F.col("__tie")]
+    kept = marked.where("__near").join(best, own)
+    out = marked.where("not __near").select(*back).unionByName(kept.where("__rows = 1").select(*back))
     if not best.where("__rows > 1").isEmpty():
         # of rows with equal id and text that of the smallest hash over all columns that can be hashed
         plain = [f"`{f.name}`" for f in inner.schema.fields if "map<" not in f.dataType.simpleString()]

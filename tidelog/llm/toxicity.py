@@ -35,13 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.llm.boosting import BoostedTrees, isotonic
-from tidelog.llm.common import ready_for_python, drop_written, written
+from tidelog.llm.common import HashSet, drop_written, ready_for_python, written
 from tidelog.llm.language_id import held_out
 from tidelog.llm.lattice import slices
 
 SAMPLE_ROWS = 20_000
 LEAST_ROWS, LEAST_ODDS, LEXICON = 3, 1.5, 100_000
-MOST_BITS = 27  # of the bitmap of labelled ids
 FOLDS = 4
 BEGINNINGS = (4, 5, 6)
 NEAR_WORDS = 3
@@ -150,26 +149,6 @@ class ToxicityModel:
         return np.clip(0.999 * np.interp(margin, *self.knots) + 0.001 / (1 + np.exp(-margin)), 0.0, 1.0)
 
 
-def _maybe_labelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text) whose doc_id may be in ``marks``: by a bitmap of hashes with 16 bits an id, up to a fixed size."""
-    many = marks.count()
-    bits = min(MOST_BITS, max(15, (16 * many).bit_length()))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
-    found = marks.select(place.alias("place")).groupBy(F.expr("place div 32768").alias("part")).agg(F.bitmap_construct_agg(F.col("place") % 32768).alias("own")).collect()  # 4 kB each
-    whole = bytearray(1 << (bits - 3))
-    for r in found:
-        whole[r.part << 12 : (r.part + 1) << 12] = r.own
-    shared = docs.sparkSession.sparkContext.broadcast(bytes(whole))
-
-    def keep(batches):
-        own = np.frombuffer(shared.value, dtype=np.uint8)
-        for batch in batches:
-            at = batch.column(2).to_numpy()
-            yield batch.filter(pa.array(own[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)).select([0, 1])
-
-    return docs.where("doc_id is not null").withColumn("place", place).mapInArrow(keep, docs.schema)
-
-
 def _document_counts(rows: DataFrame) -> DataFrame:
     """(token, bad0, good0, bad1, ...): documents of each fold that hold a token, toxic and others, over rows (toxic, fold, text)."""
 
@@ -247,7 +226,8 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
-    return _maybe_labelled(rows, marks).join(marks.hint("merge"), "doc_id").select("doc_id", "toxic", fold, "text")
+    near = HashSet(marks.select(F.xxhash64("doc_id"))).marked(rows.where("doc_id is not null"), F.xxhash64("doc_id"), "near").where("near")
+    return near.select("doc_id", "text").join(marks.hint("merge"), "doc_id").select("doc_id", "toxic", fold, "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
