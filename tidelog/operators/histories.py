@@ -10,14 +10,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from tidelog.operators.reads import key_bounds
+from tidelog.plans.tombstones import bucket_of
+
 WITNESSES = 32
 
 
+def dealt(rows: DataFrame, at: str, sample: DataFrame) -> DataFrame:
+    """``rows`` with ``part``, a range of the column ``at`` cut by a bounded sample of the only column of ``sample``: an order within a key is then one within its parts, and what a part
+    lacks is carried from the parts before it, a row for each key and part. So a hot key's order is not one task's."""
+    return rows.withColumn("part", bucket_of(F.col(at), key_bounds(sample.toDF("key"))))
+
+
 def paired(events: DataFrame) -> DataFrame:
     """Completions with the last pending invocation of their process: (process, op_id, invoked, completed, type)."""
-    order = W.Window.partitionBy("process").orderBy("index")
-    rows = events.withColumns({"before": F.lag("type").over(order), "invoked": F.lag("time").over(order), "op_id": F.lag("index").over(order)})
-    return rows.where("type <> 'invoke' and before = 'invoke'").select("process", "op_id", "invoked", F.col("time").alias("completed"), "type")
+    parts = dealt(events.select("process", "index", "time", "type"), "index", events.select("index"))
+    last = F.struct("type", "time", "index")
+    rows = parts.withColumn("last", F.lag(last).over(W.Window.partitionBy("process", "part").orderBy("index")))
+    ends = parts.groupBy("process", "part").agg(F.max_by(last, "index").alias("end"))
+    ends = ends.select("process", "part", F.lag("end").over(W.Window.partitionBy("process").orderBy("part")).alias("carried"))
+    rows = rows.join(ends, ["process", "part"]).withColumn("last", F.coalesce("last", "carried"))
+    found = rows.where("type <> 'invoke' and last.type = 'invoke'")
+    return found.select("process", F.col("last.index").alias("op_id"), F.col("last.time").alias("invoked"), F.col("time").alias("completed"), "type")
 
 
 def lossy_reads(appends: DataFrame, reads: DataFrame) -> DataFrame:
@@ -25,10 +39,13 @@ def lossy_reads(appends: DataFrame, reads: DataFrame) -> DataFrame:
 
     The counts come from one order of appends and reads per key and one join by key and value, so no append meets every read of its key.
     """
-    order = W.Window.partitionBy("key").orderBy("at", "turn").rowsBetween(W.Window.unboundedPreceding, 0)
     own = reads.where("list is not null").select("key", F.col("invoked").alias("at"), F.lit(0).alias("turn"), "read_id", "list")
-    both = own.unionByName(appends.select("key", F.col("completed").alias("at"), F.lit(1).alias("turn")), allowMissingColumns=True)
-    before = both.withColumn("before", F.count(F.when(F.col("turn") == 1, 1)).over(order)).where("turn = 0 and before > 0")
+    both = dealt(own.unionByName(appends.select("key", F.col("completed").alias("at"), F.lit(1).alias("turn")), allowMissingColumns=True), "at", appends.select("completed"))
+    one = F.when(F.col("turn") == 1, 1)
+    order = W.Window.partitionBy("key", "part").orderBy("at", "turn").rowsBetween(W.Window.unboundedPreceding, 0)
+    earlier = W.Window.partitionBy("key").orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
+    sums = both.groupBy("key", "part").agg(F.count(one).alias("own")).select("key", "part", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("carried"))
+    before = both.withColumn("inside", F.count(one).over(order)).where("turn = 0").join(sums, ["key", "part"]).withColumn("before", F.col("inside") + F.col("carried")).where("before > 0")
     listed = before.select("key", "at", "read_id", "before", F.explode_outer(F.array_distinct("list")).alias("value"))
     found = listed.join(appends.select("key", "value", "completed"), ["key", "value"], "left").groupBy("read_id").agg(F.max("before").alias("before"), F.count(F.when(F.col("completed") < F.col("at"), 1)).alias("found"))
     return found.where("before > found").select("read_id")
@@ -52,13 +69,17 @@ def lost_appends(appends: DataFrame, reads: DataFrame, witnesses: int | None = W
 def stale_reads(writes: DataFrame, reads: DataFrame) -> DataFrame:
     """Reads (read_id, key, invoked, seen) older than the newest write (key, completed, version) completed before them.
 
-    As-of join by one order of writes and reads per key; the largest version so far is carried to each read.
+    As-of join by one order of writes and reads per key and range of time; the largest version so far is carried to each read.
     """
     both = writes.select("key", F.col("completed").alias("at"), F.lit(1).alias("turn"), "version", F.lit(None).cast("long").alias("read_id"), F.lit(None).cast("long").alias("seen")).unionByName(
         reads.select("key", F.col("invoked").alias("at"), F.lit(0).alias("turn"), F.lit(None).cast("long").alias("version"), "read_id", "seen")
     )
-    order = W.Window.partitionBy("key").orderBy("at", "turn").rowsBetween(W.Window.unboundedPreceding, 0)
-    rows = both.withColumn("latest", F.max("version").over(order))
+    parts = dealt(both, "at", writes.select("completed"))
+    order = W.Window.partitionBy("key", "part").orderBy("at", "turn").rowsBetween(W.Window.unboundedPreceding, 0)
+    before = W.Window.partitionBy("key").orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
+    tops = parts.groupBy("key", "part").agg(F.max("version").alias("top")).select("key", "part", F.max("top").over(before).alias("carried"))
+    rows = parts.withColumn("latest", F.max("version").over(order)).where("read_id is not null").join(tops, ["key", "part"])
+    rows = rows.withColumn("latest", F.greatest("latest", "carried"))
     return rows.where("read_id is not null and latest > coalesce(seen, -1)").select("read_id", "key", "seen", "latest")
 
 
