@@ -16,15 +16,20 @@ from tidelog.plans.tombstones import bucket_of
 WITNESSES = 32
 
 
-def dealt(rows: DataFrame, at: str, sample: DataFrame) -> DataFrame:
-    """``rows`` with ``part``, a range of the column ``at`` cut by a bounded sample of the only column of ``sample``: an order within a key is then one within its parts, and what a part
+def cuts(sample: DataFrame) -> list:
+    """Values that cut the only column of ``sample`` into ranges, by a bounded sample."""
+    return key_bounds(sample.toDF("key"))
+
+
+def dealt(rows: DataFrame, at: str, bounds: list) -> DataFrame:
+    """``rows`` with ``part``, a range of the column ``at``: an order within a key is then one within its parts, and what a part
     lacks is carried from the parts before it, a row for each key and part. So a hot key's order is not one task's."""
-    return rows.withColumn("part", bucket_of(F.col(at), key_bounds(sample.toDF("key"))))
+    return rows.withColumn("part", bucket_of(F.col(at), bounds))
 
 
 def paired(events: DataFrame) -> DataFrame:
     """Completions with the last pending invocation of their process: (process, op_id, invoked, completed, type)."""
-    parts = dealt(events.select("process", "index", "time", "type"), "index", events.select("index"))
+    parts = dealt(events.select("process", "index", "time", "type"), "index", cuts(events.select("index")))
     last = F.struct("type", "time", "index")
     rows = parts.withColumn("last", F.lag(last).over(W.Window.partitionBy("process", "part").orderBy("index")))
     ends = parts.groupBy("process", "part").agg(F.max_by(last, "index").alias("end"))
@@ -34,21 +39,28 @@ def paired(events: DataFrame) -> DataFrame:
     return found.select("process", F.col("last.index").alias("op_id"), F.col("last.time").alias("invoked"), F.col("time").alias("completed"), "type")
 
 
-def lossy_reads(appends: DataFrame, reads: DataFrame) -> DataFrame:
-    """``read_id`` of the reads that lack the value of some append completed before (none of those without a list), by counts: appends before each read, less those whose value it lists.
+def lossy_reads(appends: DataFrame, reads: DataFrame, witnesses: int | None = None) -> DataFrame:
+    """The reads (key, read_id, invoked, list) that lack the value of some append completed before, none of those without a list; the first ``witnesses`` if given.
 
-    The counts come from one order of appends and reads per key and one join by key and value, so no append meets every read of its key.
+    By counts: appends before each read, less those whose value it lists. They come from one order of appends and reads per key and range of time, and one
+    join by key and value, so no append meets every read of its key.
     """
+    ended = cuts(appends.select("completed"))
     own = reads.where("list is not null").select("key", F.col("invoked").alias("at"), F.lit(0).alias("turn"), "read_id", "list")
-    both = dealt(own.unionByName(appends.select("key", F.col("completed").alias("at"), F.lit(1).alias("turn")), allowMissingColumns=True), "at", appends.select("completed"))
+    both = dealt(own.unionByName(appends.select("key", F.col("completed").alias("at"), F.lit(1).alias("turn")), allowMissingColumns=True), "at", ended)
     one = F.when(F.col("turn") == 1, 1)
     order = W.Window.partitionBy("key", "part").orderBy("at", "turn").rowsBetween(W.Window.unboundedPreceding, 0)
-    earlier = W.Window.partitionBy("key").orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
-    sums = both.groupBy("key", "part").agg(F.count(one).alias("own")).select("key", "part", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("carried"))
-    before = both.withColumn("inside", F.count(one).over(order)).where("turn = 0").join(sums, ["key", "part"]).withColumn("before", F.col("inside") + F.col("carried")).where("before > 0")
+    inside = both.withColumn("inside", F.count(one).over(order)).where("turn = 0")
+    # appends of a key by part: as many numbers as there are parts
+    sums = dealt(appends.select("key", F.col("completed").alias("at")), "at", ended).groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.collect_list(F.struct("part", "n")).alias("sums"))
+    earlier = F.expr("aggregate(sums, 0L, (a, s) -> a + if(s.part < part, s.n, 0L))")
+    before = inside.join(sums, "key").withColumn("before", F.col("inside") + earlier).where("before > 0").select("key", "at", "read_id", "list", "before")
     listed = before.select("key", "at", "read_id", "before", F.explode_outer(F.array_distinct("list")).alias("value"))
     found = listed.join(appends.select("key", "value", "completed"), ["key", "value"], "left").groupBy("read_id").agg(F.max("before").alias("before"), F.count(F.when(F.col("completed") < F.col("at"), 1)).alias("found"))
-    return found.where("before > found").select("read_id")
+    lossy = found.where("before > found").select("read_id")
+    if witnesses is not None:
+        lossy = F.broadcast(lossy.orderBy("read_id").limit(witnesses))
+    return before.join(lossy, "read_id", "left_semi").select("key", "read_id", F.col("at").alias("invoked"), "list")
 
 
 def lost_appends(appends: DataFrame, reads: DataFrame, witnesses: int | None = WITNESSES) -> DataFrame:
@@ -56,12 +68,8 @@ def lost_appends(appends: DataFrame, reads: DataFrame, witnesses: int | None = W
 
     With a number of witnesses, the first by read and append, only as many lossy reads meet the appends of their keys.
     """
-    lossy = lossy_reads(appends, reads)
-    if witnesses is None:
-        few = reads.join(lossy, "read_id", "left_semi")
-    else:
-        few = F.broadcast(reads.join(F.broadcast(lossy.orderBy("read_id").limit(witnesses)), "read_id", "left_semi"))
-    lost = appends.join(few, "key").where((F.col("invoked") > F.col("completed")) & ~F.array_contains("list", F.col("value")))
+    lossy = lossy_reads(appends, reads, witnesses)
+    lost = appends.join(lossy if witnesses is None else F.broadcast(lossy), "key").where((F.col("invoked") > F.col("completed")) & ~F.array_contains("list", F.col("value")))
     lost = lost.select("key", "append_id", "read_id", "value")
     return lost if witnesses is None else lost.orderBy("read_id", "append_id").limit(witnesses)
 
@@ -74,7 +82,7 @@ def stale_reads(writes: DataFrame, reads: DataFrame) -> DataFrame:
     both = writes.select("key", F.col("completed").alias("at"), F.lit(1).alias("turn"), "version", F.lit(None).cast("long").alias("read_id"), F.lit(None).cast("long").alias("seen")).unionByName(
         reads.select("key", F.col("invoked").alias("at"), F.lit(0).alias("turn"), F.lit(None).cast("long").alias("version"), "read_id", "seen")
     )
-    parts = dealt(both, "at", writes.select("completed"))
+    parts = dealt(both, "at", cuts(writes.select("completed")))
     order = W.Window.partitionBy("key", "part").orderBy("at", "turn").rowsBetween(W.Window.unboundedPreceding, 0)
     before = W.Window.partitionBy("key").orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
     tops = parts.groupBy("key", "part").agg(F.max("version").alias("top")).select("key", "part", F.max("top").over(before).alias("carried"))
