@@ -48,21 +48,23 @@ class Sampler:
     def _forget(self) -> None:
         self.term: dict[str, int] = {}
         self.nodes = 0
+        self.first = np.zeros(0, dtype=np.int32)
         self.cum, self.src, self.piece = np.zeros(0), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
 
-    def _learn(self, tokens: list[str]) -> None:
-        new = set(tokens).difference(self.term)
+    def _learn(self, tokens: list[str], new: set[str]) -> None:
         if len(self.term) + len(new) > KEPT_TOKENS or len(self.cum) > KEPT_EDGES:
             self._forget()
             new = set(tokens)
-        cum, src, piece = [self.cum], [self.src], [self.piece]
+        first, cum, src, piece, edges = [self.first], [self.cum], [self.src], [self.piece], len(self.cum)
         for words, trie in tries(self.model, new):
-            cum.append(trie.forward(self.theta) + trie.dst + self.nodes)
+            first.append((trie.ptr[:-1] + edges).astype(np.int32))
+            edges += len(trie.dst)
+            cum.append(trie.forward(self.theta))
             src.append(np.where(trie.src == 0, -1, trie.src + self.nodes).astype(np.int32))
             piece.append(trie.piece.astype(np.int32))
             self.term.update(zip(words, (trie.term + self.nodes).tolist(), strict=True))
             self.nodes += trie.nodes
-        self.cum, self.src, self.piece = np.concatenate(cum), np.concatenate(src), np.concatenate(piece)
+        self.first, self.cum, self.src, self.piece = (np.concatenate(x) for x in (first, cum, src, piece))
 
     def _draws(self, key: np.ndarray):
         """The uniform numbers of one pre-token, step by step: those that :meth:`_draw` takes."""
@@ -79,14 +81,19 @@ class Sampler:
 
     def _draw(self, tokens: list[str], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of the tokens, one after another, and how many pieces each has."""
-        self._learn(tokens)
+        if new := set(tokens).difference(self.term):
+            self._learn(tokens, new)
         node = np.fromiter(map(self.term.__getitem__, tokens), dtype=np.int64, count=len(tokens))
         live, steps = np.arange(len(tokens)), []
         while len(live):
             with np.errstate(over="ignore"):
                 draw = mix64(key + np.uint64(len(steps) + 1) * GOLDEN)
-            at = node + (draw >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.searchsorted(self.cum, at, side="right")
+            at = (draw >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            edge = self.first[node]
+            over = np.flatnonzero(self.cum[edge] <= at)
+            while len(over):  # a node has few edges, the last of which ends at 1
+                edge[over] += 1
+                over = over[self.cum[edge[over]] <= at[over]]
             steps.append((live, self.piece[edge]))
             node = self.src[edge]
             more = node >= 0
@@ -127,7 +134,8 @@ class Sampler:
                 with np.errstate(over="ignore"):
                     key = mix64(np.repeat(seeds[row], many) ^ mix64(place.astype(np.uint64) * GOLDEN + np.uint64(1)))
                 owned = np.repeat(row, many)
-                long = [i for i, t in enumerate(tokens) if len(t) > LONG] if chars > LONG else []
+                some = chars > LONG and any(len(t) > LONG for t in set(tokens).difference(self.term))  # long ones are never remembered
+                long = [i for i, t in enumerate(tokens) if len(t) > LONG] if some else []
                 at = 0
                 for i in [*long, len(tokens)]:  # stretches of ordinary pre-tokens, and the runs between them
                     for own, made in ((slice(at, i), self._draw), (slice(i, i + 1), None)):

@@ -38,8 +38,12 @@ def counter(proto: bytes):
         own = {t: Run(model, t).count() for t in runs}
         for words, trie in tries(model, new - runs):
             own.update(zip(words, trie.counts()[trie.term].tolist(), strict=True))
-        known.update((t, n) for t, n in own.items() if len(t) <= SHORT)
-        return np.fromiter((own[t] if t in own else known[t] for t in tokens) if own else map(known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        known.update(own)
+        found = np.fromiter(map(known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        for t in own:
+            if len(t) > SHORT:  # not remembered
+                del known[t]
+        return found
 
     def count(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         words, pieces = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
