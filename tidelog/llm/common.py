@@ -6,6 +6,8 @@ rows and about ``BATCH_BYTES`` bytes, so memory follows the batch and not the pa
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Iterable
 from contextlib import contextmanager
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from tidelog.session import importable, shared_path
 
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def ready_for_python(spark: SparkSession) -> None:
@@ -152,9 +154,15 @@ _KEPT: dict = {}
 
 
 def per_worker(key=None, make=None):
-    """``make()``, kept from task to task in a Python worker until another key (or none) is asked for."""
+    """``make()``, kept from task to task in a Python worker until another key (or none) is asked for; what was kept goes back to the system."""
     if key not in _KEPT:
         _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # another C library
         _KEPT[key] = make() if make else None
     return _KEPT[key]
 

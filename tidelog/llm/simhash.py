@@ -313,6 +313,7 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
     """Shingle sets of (node, text)."""
 
     def scan(batches):
+        per_worker()
         for batch in batches:
             made = [shingle_set(t, size).tobytes() for t in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "shingles"])
@@ -329,6 +330,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     both = dealt.join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b").join(left, ["a", "part"]).select("a", "b", "x", "y")
 
     def compare(batches):
+        per_worker()
         for batch in batches:
             near = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -404,6 +406,7 @@ def _key_links(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     ready = dealt.join(sets, "node").select(*group, "block", "node", "root", "shingles").repartition(*group).sortWithinPartitions(*group)
 
     def search(batches):
+        per_worker()
         at, kept = None, []
 
         def close():

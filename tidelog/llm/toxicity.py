@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.llm.boosting import BoostedTrees, isotonic
-from tidelog.llm.common import HashSet, drop_written, ready_for_python, written
+from tidelog.llm.common import HashSet, drop_written, per_worker, ready_for_python, written
 from tidelog.llm.language_id import held_out
 from tidelog.llm.lattice import slices
 
@@ -153,6 +153,7 @@ def _document_counts(rows: DataFrame) -> DataFrame:
     """(token, bad0, good0, bad1, ...): documents of each fold that hold a token, toxic and others, over rows (toxic, fold, text)."""
 
     def count(batches):
+        per_worker()
         seen: dict[tuple[int, bool], Counter] = {}
         known: dict[str, list[str]] = {}
 
@@ -283,6 +284,7 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", out
     at = docs.columns.index(text)
 
     def scan(batches):
+        per_worker()
         own = shared.value
         features = Features(own.lexicon)
         for batch in batches:
