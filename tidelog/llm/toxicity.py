@@ -44,7 +44,8 @@ LEAST_ROWS, LEAST_ODDS, LEXICON = 3, 1.5, 100_000
 FOLDS = 4
 BEGINNINGS = (4, 5, 6)
 NEAR_WORDS = 3
-KEPT_WORDS, KEPT_CHARS = 200_000, 16_000_000
+KEPT_WORDS, KEPT_CHARS = 100_000, 8_000_000
+COUNTED_WORDS, COUNTED_TOKENS = 40_000, 120_000  # remembered, and counted, by a task until they are let go
 SECOND_PERSON = set(
     "you your yours yourself yourselves u ur du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros".split()
 )
@@ -171,14 +172,14 @@ def _document_counts(rows: DataFrame) -> DataFrame:
                 own: set[str] = set()
                 for word in {w for part in slices(text or "") for w in part.split()}:
                     if (found := known.get(word)) is None:
-                        if len(known) > KEPT_WORDS:
+                        if len(known) > COUNTED_WORDS:
                             known.clear()
                         found = tokens(normal(word)[0])
                         if len(word) < 100:
                             known[word] = found
                     own.update(found)
                 seen.setdefault((fold, toxic > 0), Counter()).update(own)
-            if sum(map(len, seen.values())) > KEPT_WORDS:
+            if sum(map(len, seen.values())) > COUNTED_TOKENS:
                 yield flush()
         yield flush()
 
@@ -253,6 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     shared = spark.sparkContext.broadcast(others)
 
     def measure(batches):
+        per_worker()
         features = [Features(own) for own in shared.value]
         for batch in batches:
             values = np.array([features[f].of(t) for f, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)])
