@@ -44,8 +44,8 @@ LEAST_ROWS, LEAST_ODDS, LEXICON = 3, 1.5, 100_000
 FOLDS = 4
 BEGINNINGS = (4, 5, 6)
 NEAR_WORDS = 3
-KEPT_WORDS, KEPT_CHARS = 100_000, 8_000_000
-COUNTED_WORDS, COUNTED_TOKENS = 40_000, 120_000  # remembered, and counted, by a task until they are let go
+KEPT_WORDS, KEPT_CHARS = 200_000, 16_000_000
+COUNTED_WORDS, COUNTED_TOKENS = 100_000, 150_000  # remembered, and counted, by a task until they are let go
 SECOND_PERSON = set(
     "you your yours yourself yourselves u ur du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros".split()
 )
