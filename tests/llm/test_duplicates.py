@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from tidelog.llm import simhash
 from pyspark.sql import functions as F
 
@@ -208,6 +209,53 @@ def test_documents_below_the_threshold_stay(spark):
     assert simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
 
 
+def short_pairs(each, seed):
+    """Pairs of four and five five-word shingles, and of nine with one changed: similarity exactly 0.8."""
+    draw = random.Random(seed)
+    rows = []
+    for i in range(each):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(14)]
+        rows += [" ".join(words[: 8 if i % 2 else 13]), " ".join(words[:9] if i % 2 else [*words[:12], "end"])]
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("slice_bytes", [16 << 20, 2000])
+def test_near_dedup_names_pairs_by_fingerprints(spark, slice_bytes):
+    """Every pair at 0.8 or more shares a key of near_members, whose nodes are near in bits; clusters of three or more too."""
+    rows, _ = planted([0.95, 0.85, 0.8], 30, 21)
+    middle = rows[0][1].split()
+    rows += [(1000 + i, " ".join([*middle[i:], *(f"x{i}y{j}" for j in range(i))])) for i in range(1, 12)]
+    rows += [(2000 + i, t) for i, t in short_pairs(60, 22)]
+    width = len(rows).bit_length() + simhash.SPARE_BITS
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = written(simhash._printed(docs, 5, width, simhash.segments_needed(width, 0.8)), "test")
+    ids = {r.node: (r.id, int.from_bytes(r.bits, "big")) for r in own.collect()}
+    groups = {}
+    for r in simhash.near_members(own, 0.8, slice_bytes).collect():
+        groups.setdefault(r.key, set()).add(ids[r.node])
+    met = {frozenset((a[0], b[0])) for g in groups.values() for a in g for b in g if a < b}
+    sets = [(i, {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)}) for i, t in rows]
+    want = {frozenset((a, b)) for x, (a, s) in enumerate(sets) for b, t in sets[:x] if len(s & t) >= 0.8 * len(s | t)}
+    assert len(want) > 150 and want <= met and len(met) < 2 * len(want)
+    assert all(any(a != b and (a[1] ^ b[1]).bit_count() <= simhash.most_apart(0.8) for b in g) for g in groups.values() for a in g)
+
+
+def test_pipeline_takes_candidates_from_fingerprints_only(spark, monkeypatch):
+    rows, similar = planted([0.9, 0.82], 10, 23)
+    docs = spark.createDataFrame(rows + [(1000 + i, t) for i, t in short_pairs(40, 24)], "doc_id long, text string")
+    assert corpus_pipeline.simhash_near_dedup(spark, docs, "").count() == len(rows) - len(similar) + 40
+    monkeypatch.setattr(simhash, "most_apart", lambda least: -1)
+    assert corpus_pipeline.simhash_near_dedup(spark, docs, "").count() == len(rows) + 80
+
+
+def test_variants_of_weak_bits():
+    sums = np.array([[9, -1, 8, 2, -7, 3, 50, -60]])
+    value = simhash.segment_values(sums)
+    base = 0b01101101
+    assert value[0] & 0xFFFFFFFF == base
+    assert sorted(simhash.variants(value)[0].tolist()) == sorted(base ^ a ^ b ^ c for a in (0, 2) for b in (0, 8) for c in (0, 32))
+
+
 def test_repeated_shingles_and_chunks():
     text = ("A b c " * 500 + "\n").encode()
     assert int.from_bytes(simhash.fingerprint(text, 3, 64, False), "big") == brute_fp(text.decode())

@@ -13,9 +13,11 @@ a group of copies. A group over ``GROUP_LIMIT`` is dealt further by pieces of it
 than bits may differ as its size asks, every choice, as a linked pair shares at least that many pieces; so groups of any size are split without
 losing a link. Links then go through distributed connected components.
 
-:func:`without_near_copies` works on the shingle sets themselves: MinHash tables name the sets to compare, and two are
-linked by their exact Jaccard similarity. Fingerprints can't do this: at 0.8 two of 512 bits differ in 78 bits, so half of such pairs
-miss every index of segments that is selective enough, and pairs at 0.76 pass the same number of bits.
+:func:`without_near_copies` takes its candidates from fingerprints too, and then links two texts by the exact Jaccard similarity of their
+shingle sets. At 0.8 two fingerprints differ in 15 of 100 bits, most of them bits that were nearly even. So in a segment the ``WEAK`` bits
+of the closest votes are the wildcards, all at once, and there are as many segments as leave a chance of ``MISSED`` that a pair at the
+threshold shares no variant of any. A shingle votes by a byte of its hash, not by a bit, as the votes of a few shingles would often be even.
+Segments are as wide as the number of texts asks; texts that meet go on if 256 bits of their fingerprints are near enough.
 
 With ``max_distance`` above what the segments guarantee (2 * segments - 1 of the indexed bits), links up to
 the guarantee are all found, and those beyond it if one segment is still within a bit.
@@ -43,9 +45,11 @@ from tidelog.llm.components import connected_components
 SEED = 42
 GROUP_LIMIT, MOST_SHARED = 5000, 4
 HASHES_AT_ONCE = 200_000
-TABLES, TABLE_MINIMA = 32, 5  # MinHash tables of near-dedup and the minima in a key
+WEAK, MISSED = 3, 1e-6  # of near-dedup: wildcards of a segment, chance that a pair at the threshold is not named
+SPARE_BITS, CHECK_BITS = 7, 256  # of a segment beyond the logarithm of the number of texts; compared where texts meet
+SEGMENTS_AT_ONCE, SLICE_BYTES = 16, 16 << 20
 HUB_TURNS, HUB_PAIRS = 3, 100
-#: Members of a table key that are compared in one task, by number and bytes of their sets; more are dealt in blocks.
+#: Members of a key that are compared in one task, by number and bytes of their sets; more are dealt in blocks.
 BLOCK_NODES, BLOCK_BYTES = 400, 16 << 20
 
 
@@ -272,39 +276,187 @@ def shingle_set(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, dtype=np.uint64)
 
 
-def table_keys(shingles: np.ndarray, tables: int, minima: int) -> np.ndarray:
-    """Key of a shingle set in each MinHash table: of ``minima`` independent minima of the set."""
-    factors = mix64(np.arange(1, tables * minima + 1, dtype=np.uint64)) | np.uint64(1)
-    least = np.full(len(factors), 2**64 - 1, dtype=np.uint64)
-    for at in range(0, len(shingles), 512):
-        least = np.minimum(least, (shingles[None, at : at + 512] * factors[:, None]).min(axis=1))
-    key = np.arange(tables, dtype=np.uint64)
-    for column in least.reshape(tables, minima).T:
-        key = mix64(key * np.uint64(3) + column)
-    return key.astype(np.int64)
+def votes(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """Twice the votes for each bit of a shingle set's fingerprint, which is 1 where they are positive; a shingle votes -127.5 to 127.5."""
+    turns = mix64(np.arange(1, bits // 8 + 1, dtype=np.uint64))
+    sums = np.zeros(bits, dtype=np.int64)
+    for at in range(0, len(shingles), 128):
+        own = mix64(shingles[at : at + 128, None] + turns).view(np.int8)
+        sums += own.astype(np.int16).sum(axis=0, dtype=np.int16)
+    return 2 * sums + len(shingles)
 
 
-def _keyed(docs: DataFrame, size: int, tables: int, minima: int) -> DataFrame:
-    """``id`` (0 if ``none``), ``tie``, ``node`` (a hash of the shingle set) and table ``keys`` of every row."""
+def segment_values(sums: np.ndarray) -> np.ndarray:
+    """Value of each segment (the last axis holds votes for its bits), with the places of its weak bits above bit 32."""
+    values = (sums > 0).astype(np.int64) @ (1 << np.arange(sums.shape[-1]))
+    weak = np.argpartition(np.abs(sums), WEAK - 1, axis=-1)[..., :WEAK].astype(np.int64)
+    return values | (weak << (32 + 5 * np.arange(WEAK))).sum(axis=-1)
+
+
+def variants(values: np.ndarray) -> np.ndarray:
+    """Values of a segment under all settings of its weak bits, along a new last axis."""
+    made = (values & 0xFFFFFFFF)[..., None]
+    for w in range(WEAK):
+        made = np.concatenate((made, made ^ (1 << (values >> (32 + 5 * w) & 31))[..., None]), axis=-1)
+    return made
+
+
+def segments_needed(width: int, least: float, missed: float = MISSED) -> int:
+    """Segments of ``width`` bits of which two sets at a Jaccard similarity of ``least`` share none with a chance of ``missed``, by drawing votes."""
+    draw, cosine = np.random.default_rng(SEED), 2 * least / (1 + least)
+    x, y = draw.standard_normal((2, 20_000, width))
+    x, y = (variants(segment_values(v)) for v in (x, cosine * x + np.sqrt(1 - cosine * cosine) * y))
+    found = np.any([(x == y[:, [i]]).any(axis=1) for i in range(y.shape[1])], axis=0).mean()
+    return 1 if found == 1 else int(np.ceil(np.log(missed) / np.log1p(-found)))
+
+
+def most_apart(least: float) -> int:
+    """Bits of ``CHECK_BITS`` that two sets at a Jaccard similarity of ``least`` may differ in: 5.5 standard deviations beyond the mean."""
+    chance = np.arccos(2 * least / (1 + least)) / np.pi
+    return int(CHECK_BITS * chance + 5.5 * np.sqrt(CHECK_BITS * chance * (1 - chance)))
+
+
+def _printed(docs: DataFrame, size: int, width: int, segments: int) -> DataFrame:
+    """``id`` (0 if ``none``), ``tie``, ``node`` (a hash of the shingle set), ``segments`` (:func:`segment_values`) and ``bits`` of the fingerprint of every row."""
+    many = -(-max(width * segments, CHECK_BITS) // 8) * 8
 
     def scan(batches):
         per_worker()
         for batch in batches:
-            nodes, keys = [], []
+            nodes, cut, bits = [], [], []
             for text in as_bytes(batch.column(3)):
                 own = shingle_set(text, size)
+                sums = votes(own, many)
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
-                keys.append(table_keys(own, tables, minima))
-            made = pa.array(np.array(nodes, dtype=np.uint64).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], made, pa.array(keys, pa.list_(pa.int64()))], names=["id", "none", "tie", "node", "keys"])
+                cut.append(segment_values(sums[: width * segments].reshape(segments, width)))
+                bits.append(np.packbits(sums[:CHECK_BITS] > 0).tobytes())
+            made = [pa.array(np.array(nodes, dtype=np.uint64).astype(np.int64)), pa.array(cut, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["id", "none", "tie", "node", "segments", "bits"])
 
     text = F.col("text").cast("string")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").cast("long").isNull().alias("none"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    return rows.mapInArrow(scan, "id long, none boolean, tie long, node long, keys array<long>")
+    return rows.mapInArrow(scan, "id long, none boolean, tie long, node long, segments array<long>, bits binary")
+
+
+def _with_near(fps: np.ndarray, most: int) -> np.ndarray:
+    """Which fingerprints (rows of 64-bit words) have another one within ``most`` bits."""
+    found = np.zeros(len(fps), dtype=bool)
+    for i in range(len(fps)):
+        if not found[i]:
+            near = np.bitwise_count(fps ^ fps[i]).sum(axis=1, dtype=np.int64) <= most
+            if np.count_nonzero(near) > 1:
+                found |= near
+    return found
+
+
+def _meetings(own: DataFrame, slices: int, first: int, last: int) -> DataFrame:
+    """(key, half) of the nodes that share a variant (key) of one of the segments from ``first`` to ``last``, named by half of their hash.
+
+    Variants are dealt as packed arrays by segment and slice of its values, so a row is a batch's share and not a variant.
+    """
+
+    def deal(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            half = batch.column(0).to_numpy().astype(np.uint64) & np.uint64(0xFFFFFFFF)
+            cut = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            for s in range(first, last):
+                values = variants(cut[:, s]).astype(np.uint64)
+                part = (mix64(values) % np.uint64(slices)).astype(np.int64).ravel()
+                order = np.argsort(part, kind="stable")
+                packed = (values << np.uint64(32) | half[:, None]).ravel()[order]
+                ends = np.cumsum(np.bincount(part, minlength=slices))
+                some = [p for p in range(slices) if ends[p] > (ends[p - 1] if p else 0)]
+                made = [packed[ends[p - 1] if p else 0 : ends[p]].tobytes() for p in some]
+                yield pa.RecordBatch.from_arrays([pa.array([s * slices + p for p in some], pa.int64()), pa.array(made, pa.binary())], names=["part", "packed"])
+
+    def search(batches):
+        at, kept = None, []
+
+        def close():
+            packed = np.sort(np.frombuffer(b"".join(kept), dtype=np.uint64))
+            kept.clear()
+            values = packed >> np.uint64(32)
+            same = values[1:] == values[:-1]
+            shared = np.append(same, False) | np.insert(same, 0, False)
+            keys = values[shared].astype(np.int64) | (at // slices << 32)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array((packed[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64))], names=["key", "half"])
+
+        for batch in batches:
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part != at and kept:
+                    yield close()
+                at = part
+                kept.append(packed)
+        if kept:
+            yield close()
+
+    dealt = own.select("node", "segments").mapInArrow(deal, "part long, packed binary")
+    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(search, "key long, half long")
+
+
+def _near_members(groups: DataFrame, most: int) -> DataFrame:
+    """(key, node) of the members of each group (key, node, bits) that have another one within ``most`` bits; the key becomes a hash of those members."""
+
+    def search(batches):
+        rest = None
+
+        def near(keys, nodes, fps):
+            cut = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
+            size = np.diff(cut)
+            two = cut[:-1][size == 2]
+            two = two[(np.bitwise_count(fps[two] ^ fps[two + 1]).sum(axis=1, dtype=np.int64) <= most) & (nodes[two] != nodes[two + 1])]
+            found = [np.stack((nodes[two], nodes[two + 1]), axis=1).ravel()]
+            marks = [np.repeat(mix64(mix64(nodes[two]) + mix64(nodes[two + 1])), 2)]
+            for i in np.flatnonzero(size > 2):
+                own, at = np.unique(nodes[cut[i] : cut[i + 1]], return_index=True)
+                own = own[_with_near(fps[cut[i] : cut[i + 1]][at], most)]
+                found.append(own)
+                marks.append(np.full(len(own), mix64(mix64(own).sum(keepdims=True))[0]))
+            pairs = np.unique(np.stack((np.concatenate(marks).view(np.int64), np.concatenate(found).view(np.int64)), axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["key", "node"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1)]
+            if rest:
+                own = [np.concatenate(c) for c in zip(rest, own, strict=True)]
+            last = np.searchsorted(own[0], own[0][-1])
+            rest = [c[last:] for c in own]
+            if last:
+                yield near(*(c[:last] for c in own))
+        if rest:
+            yield near(*rest)
+
+    return groups.repartition("key").sortWithinPartitions("key").mapInArrow(search, "key long, node long")
+
+
+def near_members(own: DataFrame, least: float, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """(key, node) of the nodes of ``own`` (a written table: node, segments, bits) whose fingerprints are near that of another one with the same key.
+
+    A written table. Segments are searched some at a time, so the disk holds the variants of those only.
+    """
+    spark, size = own.sparkSession, own.agg(F.count("*").alias("nodes"), F.max(F.size("segments")).alias("segments")).first()
+    slices = -(-size.nodes * 8 * 2**WEAK // slice_bytes) or 1
+    heads = own.select("node", F.col("node").bitwiseAND(F.lit(0xFFFFFFFF)).alias("half"), "bits")
+    passes = []
+    for first in range(0, size.segments or 0, SEGMENTS_AT_ONCE):
+        met = _meetings(own, slices, first, min(first + SEGMENTS_AT_ONCE, size.segments))
+        passes.append(written(_near_members(met.join(heads, "half").select("key", "node", "bits"), most_apart(least)).distinct(), "near"))
+        spark.sparkContext._jvm.System.gc()  # Spark deletes a pass's shuffle files once nothing refers to them
+    every = spark.createDataFrame([], "key long, node long")
+    for one in passes:
+        every = every.unionByName(one)
+    found = written(every.distinct(), "near")
+    for one in passes:
+        drop_written(one)
+    return found
 
 
 def _row_hash(doc_id: str = "doc_id", text: str = "text"):
-    """The hash of a row's id and text, as of their columns in :func:`_keyed`."""
+    """The hash of a row's id and text, as of their columns in :func:`_printed`."""
     own = F.col(doc_id).cast("long")
     return F.xxhash64(F.coalesce(own, F.lit(0).cast("long")), own.isNull(), F.xxhash64(F.col(text).cast("string")))
 
@@ -342,7 +494,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """A pair (hub, node) for each node that shares a table key with a hub of another component, of its hubs the first in this turn's order."""
+    """A pair (hub, node) for each node that shares a key with a hub of another component, of its hubs the first in this turn's order."""
     order = F.xxhash64("node", F.lit(turn))
     hubs = rows.groupBy("key").agg(F.min_by("node", order).alias("a"), F.min_by("root", order).alias("hub_root"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     met = rows.join(hubs, "key").where("root != hub_root")
@@ -391,7 +543,7 @@ def alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
 
 
 def _key_links(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Verified links (a, b) among the nodes of each table key that are in different components (key, node, root); the links of a key are a forest.
+    """Verified links (a, b) among the nodes of each key that are in different components (key, node, root); the links of a key are a forest.
 
     Keys with the same nodes are searched once. A key with many nodes is dealt in blocks, and each pair of blocks is searched by itself.
     """
@@ -431,14 +583,14 @@ def _key_links(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def shingle_components(docs: DataFrame, own: DataFrame, size: int, least: float) -> DataFrame:
-    """(node, root) of the nodes of ``own`` (a written table: node, id, none, tie, rows, keys) linked to others; every link is verified on the shingle sets.
+    """(node, root) of the nodes of ``own`` (a written table: node, id, none, tie, rows, segments, bits) linked to others; every link is verified on the shingle sets.
 
-    Nodes of a table key are compared with a hub first, a hub a node and turn, which settles groups of near copies without their pairs.
+    Nodes of a key (:func:`near_members`) are compared with a hub first, a hub a node and turn, which settles groups of near copies without their pairs.
     Nodes of a key that are then in different components are compared within a task, which emits a forest of the links.
     """
-    members = own.select("node", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    rows = written(members.join(shared, "key").select("key", "node", F.col("node").alias("root")), "members")
+    members = near_members(own, least)
+    rows = written(members.withColumn("root", F.col("node")), "members")
+    drop_written(members)
     spoken = own.join(rows.select("node").distinct(), "node").select("node", F.col("id").alias("__id"), F.col("none").alias("__none"), F.col("tie").alias("__tie"), "rows")
     same = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) == F.col("__id"), F.col("doc_id").cast("long").isNull() == F.col("__none"), F.xxhash64(F.col("text")) == F.col("__tie")]
     rows_of = HashSet(spoken.select(F.xxhash64("__id", "__none", "__tie"))).marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _row_hash(), "near").where("near")
@@ -472,18 +624,18 @@ def shingle_components(docs: DataFrame, own: DataFrame, size: int, least: float)
     return roots
 
 
-def without_near_copies(docs: DataFrame, size: int = 5, least: float = 0.8, tables: int = TABLES, minima: int = TABLE_MINIMA) -> DataFrame:
+def without_near_copies(docs: DataFrame, size: int = 5, least: float = 0.8, width: int | None = None, segments: int | None = None) -> DataFrame:
     """``docs`` with one row of each group of near copies, that of the smallest doc_id (of equal ids, the smallest hash of the text).
 
     Near copies have sets of distinct shingles with a Jaccard similarity of ``least`` or more, verified on the sets of every link.
-    Pairs to compare share a key of a MinHash table: at similarity s all but (1 - s ** minima) ** tables of them do, at 0.8
-    all but 3 in a million.
+    Pairs to compare share a variant of a segment of their SimHash fingerprints: at ``least`` all but one in a million do.
     """
     ready_for_python(docs.sparkSession)
-    prints = written(_keyed(docs, size, tables, minima), "prints")
-    each = written(prints.groupBy("node", "none", "id", "tie").agg(F.count("*").alias("rows"), F.first("keys").alias("keys")), "each")
+    width = width or min(32, max(12, docs.count().bit_length() + SPARE_BITS))
+    prints = written(_printed(docs, size, width, segments or segments_needed(width, least)), "prints")
+    each = written(prints.groupBy("node", "none", "id", "tie").agg(F.count("*").alias("rows"), F.first("segments").alias("segments"), F.first("bits").alias("bits")), "each")
     drop_written(prints)
-    own = written(each.groupBy("node").agg(F.min(F.struct("none", "id", "tie", "rows")).alias("k"), F.first("keys").alias("keys")).select("node", "k.*", "keys"), "nodes")
+    own = written(each.groupBy("node").agg(F.min(F.struct("none", "id", "tie", "rows")).alias("k"), F.first("segments").alias("segments"), F.first("bits").alias("bits")).select("node", "k.*", "segments", "bits"), "nodes")
     roots = shingle_components(docs, own, size, least)
     named = own.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct("none", "id", "tie", "rows").alias("k"))
     best = named.groupBy("root").agg(F.min("k").alias("k")).select("k.*")
