@@ -240,6 +240,28 @@ def test_near_dedup_names_pairs_by_fingerprints(spark, slice_bytes):
     assert all(any(a != b and (a[1] ^ b[1]).bit_count() <= simhash.most_apart(0.8) for b in g) for g in groups.values() for a in g)
 
 
+def test_near_copies_have_one_key_however_many_variants_they_share(spark):
+    """A row a node, so that no join on keys makes more rows than there are nodes; a node's value goes to one or two slices of a segment."""
+    draw = random.Random(31)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join([*words[: 5 * i], f"own{draw.random()}", *words[5 * i + 1 :]])) for i in range(40)] + planted([0.9], 5, 32)[0]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    own = written(simhash._printed(docs, 5, 14, 20), "test")
+    for slice_bytes in (16 << 20, 200):
+        members = simhash.near_members(own, 0.8, slice_bytes).collect()
+        sizes = {}
+        for r in members:
+            sizes[r.key] = sizes.get(r.key, 0) + 1
+        assert len(members) == len({r.node for r in members}) == 50 and sorted(sizes.values()) == [2] * 5 + [40]
+
+
+def test_least_reached():
+    a, b = np.array([5, 7, 3, 9, 8]), np.array([7, 3, 1, 8, 9])
+    assert simhash._least_reached(10, a, b).tolist() == [0, 1, 2, 1, 4, 1, 6, 1, 8, 8]
+    steps = np.random.default_rng(4).permutation(500)
+    assert not simhash._least_reached(500, steps[1:], steps[:-1]).any()
+
+
 def test_pipeline_takes_candidates_from_fingerprints_only(spark, monkeypatch):
     rows, similar = planted([0.9, 0.82], 10, 23)
     docs = spark.createDataFrame(rows + [(1000 + i, t) for i, t in short_pairs(40, 24)], "doc_id long, text string")

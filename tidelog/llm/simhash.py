@@ -17,7 +17,8 @@ losing a link. Links then go through distributed connected components.
 shingle sets. At 0.8 two fingerprints differ in 15 of 100 bits, most of them bits that were nearly even. So in a segment the ``WEAK`` bits
 of the closest votes are the wildcards, all at once, and there are as many segments as leave a chance of ``MISSED`` that a pair at the
 threshold shares no variant of any. A shingle votes by a byte of its hash, not by a bit, as the votes of a few shingles would often be even.
-Segments are as wide as the number of texts asks; texts that meet go on if 256 bits of their fingerprints are near enough.
+Segments are as wide as the number of texts asks; texts that meet are candidates if 256 bits of their fingerprints are near enough, and
+what candidates connect is compared as one group.
 
 With ``max_distance`` above what the segments guarantee (2 * segments - 1 of the indexed bits), links up to
 the guarantee are all found, and those beyond it if one segment is still within a bit.
@@ -338,50 +339,78 @@ def _printed(docs: DataFrame, size: int, width: int, segments: int) -> DataFrame
     return rows.mapInArrow(scan, "id long, none boolean, tie long, node long, segments array<long>, bits binary")
 
 
-def _with_near(fps: np.ndarray, most: int) -> np.ndarray:
-    """Which fingerprints (rows of 64-bit words) have another one within ``most`` bits."""
-    found = np.zeros(len(fps), dtype=bool)
-    for i in range(len(fps)):
-        if not found[i]:
-            near = np.bitwise_count(fps ^ fps[i]).sum(axis=1, dtype=np.int64) <= most
-            if np.count_nonzero(near) > 1:
-                found |= near
-    return found
-
-
-def _meetings(own: DataFrame, slices: int, first: int, last: int) -> DataFrame:
-    """(key, half) of the nodes that share a variant (key) of one of the segments from ``first`` to ``last``, named by half of their hash.
-
-    Variants are dealt as packed arrays by segment and slice of its values, so a row is a batch's share and not a variant.
+def _least_reached(many: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number that each of ``many`` numbers reaches over the links (a, b)."""
+    least = np.arange(many)
+    while True:
+        low, now = np.minimum(least[a], least[b]), least.copy()
+        np.minimum.at(now, least[a], low)
+        np.minimum.at(now, least[b], low)
+        now = now[now]
+        if np.array_equal(now, least):
+            return least
+        least = now
+
+
+def _near_links(values: np.ndarray, rows: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the fingerprints (rows of 64-bit words) within ``most`` bits of each other among the ``rows`` of each value."""
+    order = np.argsort(values, kind="stable")
+    values, rows = values[order], rows[order]
+    cut = np.concatenate(([0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]))
+    size = np.diff(cut)
+    two = cut[:-1][size == 2]
+    two = two[np.bitwise_count(fps[rows[two]] ^ fps[rows[two + 1]]).sum(axis=1, dtype=np.int64) <= most]
+    a, b = [rows[two]], [rows[two + 1]]
+    for i in np.flatnonzero(size > 2):
+        own = rows[cut[i] : cut[i + 1]]
+        found = np.array(_forest(fps[own], most), dtype=np.int64).reshape(-1, 2)
+        a.append(own[found[:, 0]])
+        b.append(own[found[:, 1]])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _meetings(own: DataFrame, slices: int, first: int, last: int, most: int) -> DataFrame:
+    """(a, b) that connect the nodes that share a variant of one of the segments from ``first`` to ``last`` and are within ``most`` bits; a is the smallest they reach.
+
+    A segment's value is dealt once to each slice that holds variants of it, with the bits. Slices (a power of two) are told by the lowest bits of a
+    variant, few of which are weak, so that is to one or two slices. Values go as packed arrays by segment and slice: a row is a batch's share.
+    A part of a segment sends a row a node at most, however many variants the nodes of a group share.
     """
+    kind = np.dtype([("node", "<i8"), ("value", "<i8"), ("bits", "<u8", CHECK_BITS // 64)])
 
     def deal(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            half = batch.column(0).to_numpy().astype(np.uint64) & np.uint64(0xFFFFFFFF)
+            each = np.zeros(batch.num_rows, dtype=kind)
+            each["node"] = batch.column(0).to_numpy()
+            each["bits"] = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<u8").reshape(batch.num_rows, -1)
             cut = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
             for s in range(first, last):
-                values = variants(cut[:, s]).astype(np.uint64)
-                part = (mix64(values) % np.uint64(slices)).astype(np.int64).ravel()
+                each["value"] = cut[:, s]
+                part = np.sort(variants(cut[:, s]) & (slices - 1), axis=1)
+                row, place = np.nonzero(np.insert(part[:, 1:] != part[:, :-1], 0, True, axis=1))
+                part = part[row, place]
                 order = np.argsort(part, kind="stable")
-                packed = (values << np.uint64(32) | half[:, None]).ravel()[order]
                 ends = np.cumsum(np.bincount(part, minlength=slices))
                 some = [p for p in range(slices) if ends[p] > (ends[p - 1] if p else 0)]
-                made = [packed[ends[p - 1] if p else 0 : ends[p]].tobytes() for p in some]
+                made = [each[row[order[ends[p - 1] if p else 0 : ends[p]]]].tobytes() for p in some]
                 yield pa.RecordBatch.from_arrays([pa.array([s * slices + p for p in some], pa.int64()), pa.array(made, pa.binary())], names=["part", "packed"])
 
     def search(batches):
+        per_worker()
         at, kept = None, []
 
         def close():
-            packed = np.sort(np.frombuffer(b"".join(kept), dtype=np.uint64))
+            each = np.frombuffer(b"".join(kept), dtype=kind)
             kept.clear()
-            values = packed >> np.uint64(32)
-            same = values[1:] == values[:-1]
-            shared = np.append(same, False) | np.insert(same, 0, False)
-            keys = values[shared].astype(np.int64) | (at // slices << 32)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array((packed[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64))], names=["key", "half"])
+            each = each[np.argsort(each["node"])]
+            values = variants(each["value"])
+            row, place = np.nonzero(values & (slices - 1) == at % slices)
+            a, b = _near_links(values[row, place], row, each["bits"], most)
+            least = _least_reached(len(each), a, b)
+            new = np.flatnonzero(least != np.arange(len(each)))
+            return pa.RecordBatch.from_arrays([pa.array(each["node"][least[new]]), pa.array(each["node"][new])], names=["a", "b"])
 
         for batch in batches:
             for part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -392,64 +421,26 @@ def _meetings(own: DataFrame, slices: int, first: int, last: int) -> DataFrame:
         if kept:
             yield close()
 
-    dealt = own.select("node", "segments").mapInArrow(deal, "part long, packed binary")
-    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(search, "key long, half long")
-
-
-def _near_members(groups: DataFrame, most: int) -> DataFrame:
-    """(key, node) of the members of each group (key, node, bits) that have another one within ``most`` bits; the key becomes a hash of those members."""
-
-    def search(batches):
-        rest = None
-
-        def near(keys, nodes, fps):
-            cut = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
-            size = np.diff(cut)
-            two = cut[:-1][size == 2]
-            two = two[(np.bitwise_count(fps[two] ^ fps[two + 1]).sum(axis=1, dtype=np.int64) <= most) & (nodes[two] != nodes[two + 1])]
-            found = [np.stack((nodes[two], nodes[two + 1]), axis=1).ravel()]
-            marks = [np.repeat(mix64(mix64(nodes[two]) + mix64(nodes[two + 1])), 2)]
-            for i in np.flatnonzero(size > 2):
-                own, at = np.unique(nodes[cut[i] : cut[i + 1]], return_index=True)
-                own = own[_with_near(fps[cut[i] : cut[i + 1]][at], most)]
-                found.append(own)
-                marks.append(np.full(len(own), mix64(mix64(own).sum(keepdims=True))[0]))
-            pairs = np.unique(np.stack((np.concatenate(marks).view(np.int64), np.concatenate(found).view(np.int64)), axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["key", "node"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1)]
-            if rest:
-                own = [np.concatenate(c) for c in zip(rest, own, strict=True)]
-            last = np.searchsorted(own[0], own[0][-1])
-            rest = [c[last:] for c in own]
-            if last:
-                yield near(*(c[:last] for c in own))
-        if rest:
-            yield near(*rest)
-
-    return groups.repartition("key").sortWithinPartitions("key").mapInArrow(search, "key long, node long")
+    dealt = own.select("node", "segments", "bits").mapInArrow(deal, "part long, packed binary")
+    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(search, "a long, b long")
 
 
 def near_members(own: DataFrame, least: float, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """(key, node) of the nodes of ``own`` (a written table: node, segments, bits) whose fingerprints are near that of another one with the same key.
+    """(key, node) of the nodes of ``own`` (a written table: node, segments, bits) that share a variant with another one near in bits, a row a node.
 
-    A written table. Segments are searched some at a time, so the disk holds the variants of those only.
+    Nodes that meet, and those that they meet, have one key: the smallest node of them. A written table. Segments are searched some at a time,
+    so the disk holds the values of those only.
     """
     spark, size = own.sparkSession, own.agg(F.count("*").alias("nodes"), F.max(F.size("segments")).alias("segments")).first()
-    slices = -(-size.nodes * 8 * 2**WEAK // slice_bytes) or 1
-    heads = own.select("node", F.col("node").bitwiseAND(F.lit(0xFFFFFFFF)).alias("half"), "bits")
+    slices = 1 << (-(-size.nodes * 8 * 2**WEAK // slice_bytes) - 1).bit_length() if size.nodes else 1
     passes = []
     for first in range(0, size.segments or 0, SEGMENTS_AT_ONCE):
-        met = _meetings(own, slices, first, min(first + SEGMENTS_AT_ONCE, size.segments))
-        passes.append(written(_near_members(met.join(heads, "half").select("key", "node", "bits"), most_apart(least)).distinct(), "near"))
+        passes.append(written(_meetings(own, slices, first, min(first + SEGMENTS_AT_ONCE, size.segments), most_apart(least)).distinct(), "near"))
         spark.sparkContext._jvm.System.gc()  # Spark deletes a pass's shuffle files once nothing refers to them
-    every = spark.createDataFrame([], "key long, node long")
+    every = spark.createDataFrame([], "a long, b long")
     for one in passes:
         every = every.unionByName(one)
-    found = written(every.distinct(), "near")
+    found = written(connected_components(every, "a", "b").select(F.col("root").alias("key"), "node"), "near")
     for one in passes:
         drop_written(one)
     return found
@@ -494,11 +485,11 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """A pair (hub, node) for each node that shares a key with a hub of another component, of its hubs the first in this turn's order."""
+    """A pair (hub, node) for each node that shares a key of more than ``BLOCK_NODES`` nodes with a hub of another component: the first of the key in this turn's order."""
     order = F.xxhash64("node", F.lit(turn))
-    hubs = rows.groupBy("key").agg(F.min_by("node", order).alias("a"), F.min_by("root", order).alias("hub_root"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    met = rows.join(hubs, "key").where("root != hub_root")
-    return met.groupBy(F.col("node").alias("b")).agg(F.min_by("a", F.xxhash64("a", F.lit(turn))).alias("a")).select("a", "b")
+    hubs = rows.groupBy("key").agg(F.min_by("node", order).alias("a"), F.min_by("root", order).alias("hub_root"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    hubs = hubs.where(f"low < high and n > {BLOCK_NODES}")
+    return rows.join(hubs, "key").where("root != hub_root").select("a", F.col("node").alias("b"))
 
 
 class SetGroup:
@@ -545,12 +536,10 @@ def alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
 def _key_links(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Verified links (a, b) among the nodes of each key that are in different components (key, node, root); the links of a key are a forest.
 
-    Keys with the same nodes are searched once. A key with many nodes is dealt in blocks, and each pair of blocks is searched by itself.
+    A key with many nodes is dealt in blocks, and each pair of blocks is searched by itself.
     """
     sized = rows.join(sets.select("node", F.octet_length("shingles").alias("bytes")), "node")
-    marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
-    keys = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("root").alias("low"), F.max("root").alias("high"), *marks).where("low < high")
-    keys = keys.groupBy("n", "bytes", "mark1", "mark2").agg(F.min("key").alias("key"))
+    keys = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     keys = keys.select("key", F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     dealt = rows.join(keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root")
@@ -585,13 +574,13 @@ def _key_links(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def shingle_components(docs: DataFrame, own: DataFrame, size: int, least: float) -> DataFrame:
     """(node, root) of the nodes of ``own`` (a written table: node, id, none, tie, rows, segments, bits) linked to others; every link is verified on the shingle sets.
 
-    Nodes of a key (:func:`near_members`) are compared with a hub first, a hub a node and turn, which settles groups of near copies without their pairs.
+    Nodes of a large key (:func:`near_members`) are compared with a hub first, a hub a key and turn, which settles groups of near copies without their pairs.
     Nodes of a key that are then in different components are compared within a task, which emits a forest of the links.
     """
     members = near_members(own, least)
     rows = written(members.withColumn("root", F.col("node")), "members")
     drop_written(members)
-    spoken = own.join(rows.select("node").distinct(), "node").select("node", F.col("id").alias("__id"), F.col("none").alias("__none"), F.col("tie").alias("__tie"), "rows")
+    spoken = own.join(rows.select("node"), "node").select("node", F.col("id").alias("__id"), F.col("none").alias("__none"), F.col("tie").alias("__tie"), "rows")
     same = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) == F.col("__id"), F.col("doc_id").cast("long").isNull() == F.col("__none"), F.xxhash64(F.col("text")) == F.col("__tie")]
     rows_of = HashSet(spoken.select(F.xxhash64("__id", "__none", "__tie"))).marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _row_hash(), "near").where("near")
     sets = written(_sets(rows_of.join(spoken, same).select("node", "text"), size), "sets")
@@ -633,9 +622,10 @@ def without_near_copies(docs: DataFrame, size: int = 5, least: float = 0.8, widt
     ready_for_python(docs.sparkSession)
     width = width or min(32, max(12, docs.count().bit_length() + SPARE_BITS))
     prints = written(_printed(docs, size, width, segments or segments_needed(width, least)), "prints")
-    each = written(prints.groupBy("node", "none", "id", "tie").agg(F.count("*").alias("rows"), F.first("segments").alias("segments"), F.first("bits").alias("bits")), "each")
+    each = written(prints.groupBy("node", "none", "id", "tie").agg(F.count("*").alias("rows")), "each")
+    heads = prints.groupBy("node").agg(F.first("segments").alias("segments"), F.first("bits").alias("bits"))
+    own = written(each.groupBy("node").agg(F.min(F.struct("none", "id", "tie", "rows")).alias("k")).join(heads, "node").select("node", "k.*", "segments", "bits"), "nodes")
     drop_written(prints)
-    own = written(each.groupBy("node").agg(F.min(F.struct("none", "id", "tie", "rows")).alias("k"), F.first("segments").alias("segments"), F.first("bits").alias("bits")).select("node", "k.*", "segments", "bits"), "nodes")
     roots = shingle_components(docs, own, size, least)
     named = own.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct("none", "id", "tie", "rows").alias("k"))
     best = named.groupBy("root").agg(F.min("k").alias("k")).select("k.*")
