@@ -164,6 +164,42 @@ def test_encoder_is_the_library():
         assert np.frombuffer(own.encode(text.encode()), own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_encoder_takes_many_texts_at_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from tidelog.llm import token_files
+
+    definition = vocabulary(TOKENIZER)
+    library, draw, asked = Tokenizer.from_buffer(definition), random.Random(9), []
+    alphabet = [*"aTZé'sİΣς0٣ \n\t!.,_-<|>", "<|endoftext|>", ". ", ",\n", ".. ", "T\u0308", "H\u0331", "A\u201d", "'LL", "日", "\x0b", "\u0085"]
+    texts = [*ODD, *("".join(draw.choices(alphabet, k=draw.randint(0, 12))) for _ in range(4000)), *("one. Two, " * k for k in range(30)), ""]
+    for size in (40, 1000, 1 << 20):
+        monkeypatch.setattr(token_files, "GROUP_BYTES", size)
+        own = Encoder(definition)
+        found = list(own.encode_all(None if t is None else t.encode() for t in texts))
+        assert len(found) == len(texts)
+        for text, ids in zip(texts, found, strict=True):
+            assert np.frombuffer(ids, own.dtype).tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
+    own, ids_of = Encoder(definition), own._ids
+    monkeypatch.setattr(own, "_ids", lambda batch: asked.append(batch) or ids_of(batch))
+    assert len(list(own.encode_all(f"new{'x' * k} word".encode() for k in range(150)))) == 150
+    assert len(asked) == 1  # new words of all texts together
+
+
+def test_chunks_in_use_stay_known(monkeypatch):
+    from tidelog.llm import token_files
+
+    monkeypatch.setattr(token_files, "KEPT_CHUNKS", 40)
+    own, asked = Encoder(vocabulary(TOKENIZER)), []
+    ids_of = own._ids
+    monkeypatch.setattr(own, "_ids", lambda batch: asked.extend(b" ".join(batch).split(b" ")) or ids_of(batch))
+    for a in string.ascii_lowercase:
+        for b in string.ascii_lowercase:
+            own.encode(f"the q{a}{b}".encode())
+    assert asked.count(b"the") == 1 and asked.count(b"qzz") == 1
+    assert len(own.known) + len(own.older) <= 42  # with the empty chunk of each
+
+
 def test_long_chunks_are_cut_where_nothing_changes(monkeypatch):
     from tokenizers import Tokenizer
 

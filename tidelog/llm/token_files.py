@@ -27,7 +27,7 @@ import re
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,25 +41,32 @@ from tidelog.session import shared_path
 
 END_ID = 1
 KEPT_CHUNKS = 800_000
+GROUP_BYTES = 4 << 20
 SHARD_BYTES = 256 << 20
 GROUP_WORDS, LONG_CHUNK, CUT_FROM = 1000, 200, 1 << 16
 NULL_ID = -(2**63)
 SHARDS = "shard int, path string, id_bytes int, n_docs long, n_tokens long, doc_base long, token_base long"
-#: Marks that are neither letters, digits nor white space.
-STOP = re.compile(rb"(?<=[A-Za-z0-9])[.,](?=[ \n]|$)")  # one mark, a pre-token by itself
+#: ASCII letters and digits; a stop or comma after one is a pre-token by itself, unless another mark follows.
+ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
 #: Where a very long chunk may be cut: at ASCII digits, each a pre-token by itself, before or after marks that no contraction starts with, after
 #: ideographic commas and stops before an ideograph.
 CUT = re.compile(rb"(?<=[0-9])(?=[0-9A-Za-z])|(?<=[A-Za-z])(?=[0-9;!?()\[\]{}=+*/])|(?<=[;!?()\[\]{}=+*/])(?=[A-Za-z0-9])|(?<=\xe3\x80[\x81\x82])(?=[\xe5-\xe9])|(?<=\xef\xbc\x8c)(?=[\xe5-\xe9])")
-#: A capital before a character that may be a combining mark: all from U+0300 on, as none before it is one.
-COMPOSES, CHUNK = re.compile(rb"[A-Z](?=[\xcc-\xff])"), re.compile(rb"[^ \n]+")
 MARKS = b".,;:!?\"'()[]{}*%$&#-_/|"
 
 
-def folded(text: bytes) -> bytes:
-    """ASCII lower-cased, chunks in which a capital may compose with a mark left as they are."""
-    if not COMPOSES.search(text):
-        return text.lower()
-    return CHUNK.sub(lambda m: m.group() if COMPOSES.search(m.group()) else m.group().lower(), text)
+def folded(text: bytes, gap: np.ndarray) -> np.ndarray:
+    """ASCII lower-cased, chunks in which a capital may compose with a mark left as they are; ``gap``: where ``text`` has white space.
+
+    A mark may be any character from U+0300 on, as none before it is one.
+    """
+    raw, lower = np.frombuffer(text, dtype=np.uint8), np.frombuffer(bytearray(text.lower()), dtype=np.uint8)
+    at = np.flatnonzero((raw[1:] >= 0xCC) & (raw[:-1] <= ord("Z")) & (raw[:-1] >= ord("A")))
+    if len(at):
+        gaps = np.concatenate(([-1], np.flatnonzero(gap), [len(raw)]))
+        after = np.unique(np.searchsorted(gaps, at))
+        for i, j in zip((gaps[after - 1] + 1).tolist(), gaps[after].tolist(), strict=True):
+            lower[i:j] = raw[i:j]
+    return lower
 
 
 class Encoder:
@@ -67,7 +74,8 @@ class Encoder:
 
     The tokenizer's rules never look across a space or line feed: white space is only removed, and
     neither composition nor lower-casing nor its pattern crosses it. So a text's ids are those of its
-    space-separated chunks, and a chunk is encoded once for as long as it is remembered. ASCII is lower-cased
+    space-separated chunks, and a chunk is encoded once for as long as it is remembered. Many texts are cut into chunks at once, by
+    arrays, and only their distinct chunks are looked up. What no lookup met while half of ``KEPT_CHUNKS`` were learnt is forgotten. ASCII is lower-cased
     first, but in chunks where a mark may compose with a capital: the tokenizer composes before it
     lower-cases. Encoding a word and the ASCII punctuation after it apart changes nothing, as
     the pattern never joins letters or digits with it. Only special tokens are spelled otherwise, so
@@ -84,20 +92,24 @@ class Encoder:
         self.word_end[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         self.known: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
 
-    def _learn(self, chunks: set[bytes]) -> None:
+    def _learn(self, chunks: list[bytes]) -> None:
         """Remember the ids of all chunks."""
-        parts = {c: self._halves(c) if len(c) <= CUT_FROM else tuple(self._pieces(c)) for c in chunks}
-        new = {p for halves in parts.values() for p in halves}.difference(self.known)
-        words = [c for c in new if len(c) <= LONG_CHUNK and (c.isalpha() or c.decode().isalpha())]
-        groups = [words[i : i + GROUP_WORDS] for i in range(0, len(words), GROUP_WORDS)]
-        for group, found in zip(groups, self._ids([b" ".join(g) for g in groups]), strict=True):
-            ids = np.array(found, dtype=self.dtype)
+        words = [c for c in chunks if len(c) <= LONG_CHUNK and (c.isalpha() or c.decode().isalpha())]
+        parts = {c: self._halves(c) if len(c) <= CUT_FROM else tuple(self._pieces(c)) for c in set(chunks).difference(words)}
+        new = {p for halves in parts.values() for p in halves}.difference(self.known, words)
+        words += [c for c in new if len(c) <= LONG_CHUNK and (c.isalpha() or c.decode().isalpha())]
+        new.difference_update(words)
+        for at in range(0, len(words), GROUP_WORDS):
+            group = words[at : at + GROUP_WORDS]
+            ids = np.array(self._ids([b" ".join(group)])[0], dtype=self.dtype)
             ends = np.flatnonzero(self.word_end[ids]) + 1
             if len(ends) == len(group):  # each word is one pre-token, with one last id
                 data, cuts = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
-                self.known.update((c, data[i:j]) for c, i, j in zip(group, [0, *cuts], cuts, strict=False))
-                new.difference_update(group)
+                self.known.update(zip(group, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+            else:
+                new.update(group)
         rest: list[bytes] = []
         for chunk in [*new, b""]:  # the empty one closes the last group
             if rest and (not chunk or len(rest) >= GROUP_WORDS or len(chunk) > LONG_CHUNK):
@@ -105,7 +117,7 @@ class Encoder:
                 rest = []
             rest += [chunk] if chunk else []
         self.known.update((c, b"".join(map(self.known.__getitem__, own))) for c, own in parts.items())
-        for c in {p for c, own in parts.items() for p in own if len(p) > LONG_CHUNK and p not in chunks}:
+        for c in {p for c, own in parts.items() for p in own if len(p) > LONG_CHUNK and p not in parts}:
             del self.known[c]
 
     def _ids(self, texts: list[bytes]) -> list[list[int]]:
@@ -130,25 +142,65 @@ class Encoder:
             return chunk, b""
         return word, chunk[len(word) :]
 
-    def _chunks(self, chunks: list[bytes]) -> bytes:
-        new = set(chunks).difference(self.known)
+    def _found(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of distinct chunks."""
+        new = [c for c in chunks if c not in self.known]
         if new:
-            if len(self.known) + len(new) > KEPT_CHUNKS:
-                self.known = {b"": b""}
-                new = set(chunks) - {b""}
+            if 2 * (len(self.known) + len(new)) > KEPT_CHUNKS:
+                self.older, self.known = self.known, {b"": b""}
+                new = chunks
+            self.known.update((c, self.older[c]) for c in new if c in self.older)
+            new = [c for c in new if c not in self.known]
             self._learn(new)
-        out = b"".join(map(self.known.__getitem__, chunks))
+        out = list(map(self.known.__getitem__, chunks))
         for c in new:
             if len(c) > LONG_CHUNK:  # not remembered
                 del self.known[c]
         return out
 
+    def _many(self, texts: list[bytes], special: bool) -> list[bytes]:
+        """The ids of texts all with or all without the start of a special token."""
+        joined = b" ".join([*texts, b""])
+        raw = np.frombuffer(joined, dtype=np.uint8)
+        gap = (raw == ord(" ")) | (raw == ord("\n"))
+        own = ~gap
+        start = own.copy()
+        start[1:] &= gap[:-1]
+        if not special:
+            stop = (raw[1:-1] == ord(".")) | (raw[1:-1] == ord(","))
+            stop &= gap[2:]
+            stop &= ALNUM[raw[:-2]]
+            start[1:-1] |= stop
+            raw = folded(joined, gap)
+        data = raw[own]
+        cuts = np.append(np.flatnonzero(start[own]), len(data)).astype(np.int32)
+        words = pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
+        ids = pa.array(self._found(words.dictionary.to_pylist()), pa.binary()).take(words.indices)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        at = np.frombuffer(ids.buffers()[1], dtype=np.int32)[np.searchsorted(np.flatnonzero(start), ends)].tolist() if len(ids) else [0] * len(texts)
+        out = memoryview(ids.buffers()[2] or b"")
+        return [bytes(out[i:j]) for i, j in zip([0, *at], at, strict=False)]
+
     def encode(self, text: bytes | None) -> bytes:
-        if not text:
-            return b""
-        if b"<|" not in text:
-            text = STOP.sub(rb" \g<0>", folded(text))
-        return b"".join(self._chunks(part.replace(b"\n", b" ").split(b" ")) for part in byte_slices(text))
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
+        """The ids of each text."""
+        plain: list[bytes] = []
+        size = 0
+        for text in texts:
+            text = text or b""
+            special, long = b"<|" in text, len(text) > GROUP_BYTES
+            if plain and (special or long or size + len(text) > GROUP_BYTES):
+                yield from self._many(plain, False)
+                plain, size = [], 0
+            if special or long:
+                yield b"".join(self._many([part], special)[0] for part in byte_slices(text))
+            else:
+                plain.append(text)
+                size += len(text)
+        if plain:
+            yield from self._many(plain, False)
 
 
 def write_token_files(docs: DataFrame, definition: bytes, path: str | None = None, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -177,10 +229,9 @@ def write_token_files(docs: DataFrame, definition: bytes, path: str | None = Non
                 name = f"{path}/{part:06d}-{uuid.uuid4().hex}"
                 ids, keys = open_output(f"{name}.bin"), open_output(f"{name}.doc")
             many = []
-            for value in as_bytes(batch.column(1)):
-                data = encoder.encode(value) + tail
-                many.append(len(data) // encoder.dtype.itemsize)
-                ids.write(data)
+            for data in encoder.encode_all(as_bytes(batch.column(1))):
+                many.append(len(data) // encoder.dtype.itemsize + 1)
+                ids.write(data + tail)
             sizes.append(np.array(many, dtype=np.int64))
             keys.write(batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
         if name is not None:
