@@ -356,6 +356,20 @@ def test_prefix_filters(spark, tmp_path):
     assert fixed_length_prefix(2).query(b"a") is None and fixed_length_prefix(2).query(b"abc") == b"ab"
 
 
+def test_reads_of_keys_with_a_large_dictionary(spark, tmp_path):
+    """A dictionary of keys beyond 8 kB, which a range of keys doesn't pass over."""
+    db = opened(spark, tmp_path)
+    key = F.format_string("%012d", F.col("id") % 3000)
+    db.replay(spark.range(30000).select(key.cast("binary").alias("key"), (F.col("id") + 1).alias("seq"), F.when(F.col("id") < 3000, "delete").otherwise("put").alias("op"), F.lit(b"v").alias("value")))
+    name = lambda n: b"%012d" % n
+    found = db.multi_get([name(7 * n) for n in range(500)])
+    assert sum(v is not None for v in found) == 429
+    cursor = db.cursor()
+    cursor.seek(name(1500))
+    assert cursor.key() == name(1500) and db.get(name(2999)) == b"v" and db.scan_page(name(2998), limit=5)[0] == [(name(2998), b"v"), (name(2999), b"v")]
+    cursor.close()
+
+
 def test_a_view_that_opens_in_between_sees_no_filter(spark, tmp_path):
     db = opened(spark, tmp_path, remove=F.col("key") == F.lit(b"x"))
     db.write(db.batch().put(b"x", b"1").put(b"y", b"2"))
