@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.model import resolve as model
 from tidelog.functions.keys import prefix_successor
-from tidelog.functions.merges import APPEND, COUNTER, LAST, MAX, CustomMerge
+from tidelog.functions.merges import APPEND, BUILT_IN, COUNTER, LAST, MAX, CustomMerge
 from tidelog.operators.compaction import collapsed, garbage_collected
 from tidelog.plans.log import event_log
 from tidelog.plans.resolve import resolve
@@ -119,3 +119,34 @@ def test_prefix_successor():
     assert prefix_successor(b"ab") == b"ac"
     assert prefix_successor(b"a\xff\xff") == b"b"
     assert prefix_successor(b"\xff") is None and prefix_successor(b"") is None
+
+
+def test_counters_fold_by_hash(spark):
+    """Numbers need no sort of the log: one aggregate a key, and one of the operands that are newer."""
+    log = spark.createDataFrame([(1, b"k", 1, "put", b"\0" * 8, None), (1, b"r", 2, "delete_range", None, b"s")], "cf int, key binary, seq long, op string, value binary, end_key binary")
+    plan = resolve(log, None, BUILT_IN["counter_i64"])._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_hidden_values_of_another_form_are_no_failure(spark):
+    schema = "cf int, key binary, seq long, op string, value binary, end_key binary"
+    one = (1).to_bytes(8, "big")
+    rows = [(1, b"a", 1, "put", b"xyz", None), (1, b"a", 2, "put", one, None), (1, b"b", 3, "put", b"xyz", None), (1, b"b", 4, "delete", None, None), (1, b"b", 5, "merge", one, None)]
+    assert {(bytes(r.key), bytes(r.value)) for r in resolve(spark.createDataFrame(rows, schema), None, BUILT_IN["counter_i64"]).collect()} == {(b"a", one), (b"b", one)}
+    with pytest.raises(Exception, match="8 bytes"):
+        resolve(spark.createDataFrame([*rows, (1, b"b", 6, "put", b"xyz", None)], schema), None, BUILT_IN["counter_i64"]).collect()
+
+
+def test_keys_beyond_tombstones_are_no_bucket_of_theirs(spark, monkeypatch):
+    """With many tombstones their own keys are cut into parts, and other families' keys are not among them."""
+    from tidelog.plans import tombstones
+
+    monkeypatch.setattr(tombstones, "KEYS_PER_BUCKET", 50, raising=False)
+    schema = "cf int, key binary, seq long, op string, value long, end_key binary"
+    ranges = [(1, b"%03d" % n, 2 * n + 2, "delete_range", None, b"%03d" % (n + 2)) for n in range(0, 400, 4)]
+    log = spark.createDataFrame([*((cf, b"%03d" % n, 2 * n + 1, "put", n, None) for cf in (1, 2) for n in range(400)), *ranges], schema)
+    points = log.where("op <> 'delete_range'")
+    assert len(tombstones.key_cuts(points.where("cf = 1"))) >= 6
+    kept = tombstones.cover(points.select("cf", "key", "seq"), tombstones.distinct_tombstones(log), few=5, log=points)
+    assert {(r.cf, bytes(r.key), r.cover) for r in kept.collect()} == {(cf, b"%03d" % n, 2 * (n - n % 4) + 2 if cf == 1 and n % 4 < 2 else None) for cf in (1, 2) for n in range(400)}
+    assert resolve(log, None, few=5).count() == 700

@@ -370,6 +370,20 @@ def test_reads_of_keys_with_a_large_dictionary(spark, tmp_path):
     cursor.close()
 
 
+def test_a_large_run_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Versions that a view keeps, all of one key: they are dealt by number, and the run has a file a task."""
+    monkeypatch.setattr("tidelog.sources.database.ROWS_IN_TASK", 100, raising=False)
+    db = opened(spark, tmp_path)
+    db.put(b"k", b"first")
+    view = db.snapshot()
+    db.replay(spark.range(1000).select(F.lit(b"k").alias("key"), (F.col("id") + 1).alias("seq"), F.lit("put").alias("op"), F.col("id").cast("string").cast("binary").alias("value")))
+    db.compact_range()
+    (run,) = db.manifest.segments
+    assert run.num_entries == 1001 and len(db.files.names(f"{db.path}/{run.path}")) >= 10
+    assert view.get(b"k") == b"first" and db.get(b"k") == b"999" and [n for n in db.files.names(f"{db.path}/data") if n not in run.path] == db.files.names(f"{db.path}/data")[:2]
+    view.release()
+
+
 def test_a_view_that_opens_in_between_sees_no_filter(spark, tmp_path):
     db = opened(spark, tmp_path, remove=F.col("key") == F.lit(b"x"))
     db.write(db.batch().put(b"x", b"1").put(b"y", b"2"))

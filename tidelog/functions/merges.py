@@ -29,6 +29,7 @@ class Merge:
     load: Callable[[Column], Column] = lambda v: v
     store: Callable[[Column], Column] = lambda v: v
     ordered: bool = False
+    fits: Callable[[Column], Column] = lambda v: F.lit(True)  # whether ``load`` takes a stored value
 
 
 @dataclass(frozen=True)
@@ -54,20 +55,33 @@ def _both(pick: Callable[[Column, Column], Column]) -> Callable[[Column, Column]
     return lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(pick(a, b))
 
 
-def wrapped(number: Column) -> Column:
-    """A decimal number modulo 2^64, as a signed 64-bit integer."""
-    half, whole = F.lit("9223372036854775808").cast("decimal(38,0)"), F.lit("18446744073709551616").cast("decimal(38,0)")
-    return (F.pmod(number + half, whole) - half).cast("long")
+def _halves(high: Column, low: Column) -> Column:
+    """``high * 2^32 + low`` modulo 2^64, as a signed 64-bit integer."""
+    return F.shiftleft(high + F.shiftright(low, 32), 32).bitwiseOR(low.bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def wrapped_sum(number: Column) -> Column:
+    """A sum of 64-bit integers modulo 2^64, of fewer than 2^31 of them; the halves are summed, as a sum of the whole fails at an overflow."""
+    return _halves(F.sum(F.shiftright(number, 32)), F.sum(number.bitwiseAND(F.lit(0xFFFFFFFF))))
+
+
+def _wrapped_plus(a: Column, b: Column) -> Column:
+    low = F.lit(0xFFFFFFFF)
+    return _halves(F.shiftright(a, 32) + F.shiftright(b, 32), a.bitwiseAND(low) + b.bitwiseAND(low))
+
+
+def is_i64(value: Column) -> Column:
+    return F.octet_length(value) == 8
 
 
 def load_i64(value: Column) -> Column:
     """8 bytes, big-endian, as a signed integer; another length fails."""
-    number = F.conv(F.hex(value), 16, -10).cast("decimal(38,0)")
-    return F.when(value.isNotNull(), F.when(F.octet_length(value) == 8, number).otherwise(F.raise_error(F.lit("counter operand is not 8 bytes")).cast("decimal(38,0)")))
+    number = F.conv(F.hex(value), 16, -10).cast("long")
+    return F.when(value.isNotNull(), F.when(is_i64(value), number).otherwise(F.raise_error(F.lit("counter operand is not 8 bytes")).cast("long")))
 
 
 def store_i64(number: Column) -> Column:
-    return F.unhex(F.lpad(F.hex(wrapped(number)), 16, "0"))
+    return F.unhex(F.lpad(F.hex(number), 16, "0"))
 
 
 def _concat(values: Column) -> Column:
@@ -77,7 +91,7 @@ def _concat(values: Column) -> Column:
 #: Sums of plain integers; an overflow fails, as in any Spark sum.
 COUNTER = Merge("counter", lambda s, v: F.sum(v), _both(lambda a, b: a + b))
 #: Wrapping sums of 8-byte big-endian integers.
-COUNTER_I64 = Merge("counter_i64", lambda s, v: F.sum(v), _both(lambda a, b: a + b), load_i64, store_i64)
+COUNTER_I64 = Merge("counter_i64", lambda s, v: wrapped_sum(v), _both(_wrapped_plus), load_i64, store_i64, fits=is_i64)
 #: Text after text, oldest first.
 APPEND = Merge("append", lambda s, v: F.when(F.count(v) > 0, _concat(ordered_list(s, v))), _both(F.concat), ordered=True)
 #: Bytes after bytes, oldest first (hexadecimal while folding, as only strings have array_join).

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from tidelog.functions.merges import COUNTER, CustomMerge, Merge
-from tidelog.plans.resolve import collected, folded, live_points, to_terminator
+from tidelog.plans.resolve import by_key, folded, folded_numbers, numeric, surviving
 from tidelog.session import importable
 
 LEVELS = 7
@@ -73,13 +74,12 @@ def overlapping(segments: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def garbage_collected(log: DataFrame, pin: int | None = None, few: int | None = None) -> DataFrame:
-    """Point versions that compaction keeps: those under a tombstone visible at the pin go, then old versions go."""
-    extra = {} if few is None else {"few": few}
-    points = log.where("op <> 'delete_range'")
-    if pin is None:
-        return collected(live_points(log, None, **extra), None)
-    above = points.where(F.col("seq") > pin)
-    return collected(above.unionByName(live_points(log, pin, **extra)), pin)
+    """Point versions that compaction keeps: those under a tombstone visible at the pin go, then each key's older than its newest put or delete there.
+
+    Without a pin all is at or below. The state at the pin and at any later sequence number is unchanged.
+    """
+    below = surviving(log, pin, **({} if few is None else {"few": few})).select(*log.columns)
+    return below if pin is None else log.where((F.col("op") != "delete_range") & (F.col("seq") > pin)).unionByName(below)
 
 
 def filtered(points: DataFrame, remove: Column, change: Column | None = None) -> DataFrame:
@@ -90,22 +90,27 @@ def filtered(points: DataFrame, remove: Column, change: Column | None = None) ->
     return points.withColumns({"op": F.when(gone, "delete").otherwise(F.col("op")), "value": F.when(gone, F.lit(None)).otherwise(value)})
 
 
-def collapsed(log: DataFrame, merge: Merge = COUNTER) -> DataFrame:
-    """One operation per key: a put where the chain has a terminator (a delete if nothing is left), else one merged operand."""
-    kept = to_terminator(live_points(log))
-    rows = folded(kept, merge)
-    full = kept.groupBy("cf", "key").agg(F.max(F.col("term").isNotNull()).alias("full"))
+def collapsed(log: DataFrame, merge: Merge = COUNTER, extra: tuple[str, ...] = (), change: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """One operation per key: a put where the chain has a terminator (a delete if nothing is left), else one merged operand; and the greatest of ``extra``.
+
+    ``change`` may replace ``op`` and ``value`` of what no tombstone and no newer version hides, before that is folded.
+    """
+    if numeric(log, merge):
+        rows = folded_numbers(log, None, merge, extra=extra, change=change)
+    else:
+        kept = surviving(log)
+        rows = folded(change(kept) if change else kept, merge, extra)
     op = F.when(~F.col("put"), "delete").when(F.col("full"), "put").otherwise("merge")
-    return rows.join(full, ["cf", "key"]).select("cf", "key", "seq", op.alias("op"), F.when(F.col("put"), F.col("value")).alias("value"))
+    return rows.select("cf", "key", "seq", op.alias("op"), F.when(F.col("put"), F.col("value")).alias("value"), *extra)
 
 
-def collapsed_custom(points: DataFrame, merge: CustomMerge) -> DataFrame:
-    """The same by user functions over ``points`` that no tombstone hides: a chain with a terminator by ``full``, neighbours in one without by ``partial``; what fails stays."""
-    importable(points.sparkSession)
+def collapsed_custom(log: DataFrame, merge: CustomMerge, extra: tuple[str, ...] = (), change: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The same by user functions: a chain with a terminator by ``full``, neighbours in one without by ``partial``; what fails stays."""
+    importable(log.sparkSession)
 
-    def fold(own: pd.DataFrame) -> pd.DataFrame:
-        rows = [(r.seq, r.op, r.value) for r in own.sort_values("seq").itertuples()]
-        key, (seq, op, base) = own["key"].iloc[0], rows[0]
+    def fold(key, own: list[tuple]) -> list[tuple]:
+        rows = [(seq, op, value) for seq, op, value, *_ in own]
+        seq, op, base = rows[0]
         if op == "merge":
             out = [rows[0]]
             for later in rows[1:]:
@@ -115,10 +120,10 @@ def collapsed_custom(points: DataFrame, merge: CustomMerge) -> DataFrame:
             operands = [v for _, _, v in rows[1:]]
             value = merge.full(key, base if op == "put" else None, operands) if operands else None
             out = rows if value is None else [(rows[-1][0], "put", value)]
-        return pd.DataFrame({"cf": [own["cf"].iloc[0]] * len(out), "key": [key] * len(out), "seq": [s for s, _, _ in out], "op": [o for _, o, _ in out], "value": [v for _, _, v in out]})
+        return out
 
-    kept = to_terminator(points).select("cf", "key", "seq", "op", "value")
-    return kept.groupBy("cf", "key").applyInPandas(fold, kept.schema)
+    kept = surviving(log)
+    return by_key((change(kept) if change else kept).select("cf", "key", "seq", "op", "value", *extra), fold)
 
 
 def tombstones_unique(log: DataFrame) -> DataFrame:

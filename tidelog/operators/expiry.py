@@ -26,8 +26,7 @@ def expiry_filter(stamp: Column, now: Column | None, ttl: int) -> Column:
 
 def stamped_puts(log: DataFrame, horizon: int | None = None) -> DataFrame:
     """The newest put of each key that no later put, delete or tombstone hides, with its stamp; merges are not stamped."""
-    from tidelog.plans.resolve import live_points
+    from tidelog.plans.resolve import surviving
 
-    points = live_points(log, horizon).where("op <> 'merge'")
-    rows = points.groupBy("cf", "key").agg(F.max(F.struct("seq", "op", "value", "commit_unix")).alias("x"))
-    return rows.where("x.op = 'put'").select("cf", "key", "x.value", "x.seq", "x.commit_unix")
+    newest = surviving(log.where("op <> 'merge'"), horizon)  # without merges, terminators are all that is left
+    return newest.where("op = 'put'").select("cf", "key", "value", "seq", "commit_unix")

@@ -2,9 +2,9 @@
 
 Only the newest covering tombstone matters, so tombstones reduce to a skyline of disjoint intervals with
 their largest sequence number, and cover depends on the key alone. A few tombstones (``FEW``, counted first)
-give a skyline on the driver that is broadcast; a key finds its bucket of intervals by a tree of comparisons. More are cut at sampled keys into buckets; each
-bucket's skyline is swept by itself and carried over the bucket's distinct keys by a window, and points join by key. No
-step holds more than a bucket's distinct tombstones.
+give a skyline on the driver that is broadcast; a key finds its bucket of intervals by a tree of comparisons. More are cut at sampled keys into buckets of
+so many tombstones and keys; each bucket's skyline is swept by itself and carried over the bucket's distinct keys by a window, and points join by key. No
+step holds more than a bucket's distinct tombstones. Keys of families without tombstones, or beyond all of them, take no part.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import window as W
 from tidelog.session import importable
 
 FEW, IN_BUCKET = 256, 8
-PER_BUCKET = 50_000
+PER_BUCKET, KEYS_PER_BUCKET = 50_000, 200_000
 MAX_BUCKETS = 1024
 
 
@@ -98,8 +98,22 @@ def sampled_bounds(tombstones: DataFrame, many: int) -> list:
     return [sample[len(sample) * i // buckets] for i in range(1, buckets)] if len(sample) >= buckets else []
 
 
-def cover(points: DataFrame, tombstones: DataFrame, few: int = FEW) -> DataFrame:
-    """``points`` with ``cover``, the largest sequence number of the ``tombstones`` (of :func:`distinct_tombstones`) over (cf, key)."""
+def key_cuts(points: DataFrame) -> list:
+    """Keys that cut the distinct keys of ``points`` (cf, key) into parts of about ``KEYS_PER_BUCKET``, by a sample of them by hash."""
+    at = F.xxhash64("cf", "key")
+    many = points.agg(F.approx_count_distinct(at)).first()[0]
+    buckets = min(MAX_BUCKETS, -(-many // KEYS_PER_BUCKET))
+    if buckets < 2:
+        return []
+    sample = sorted({r.key for r in points.where(F.pmod(at, F.lit(max(1, many // (40 * buckets)))) == 0).select("key").distinct().collect()})
+    return sorted({sample[len(sample) * i // buckets] for i in range(1, buckets)}) if len(sample) >= buckets else []
+
+
+def cover(points: DataFrame, tombstones: DataFrame, few: int = FEW, log: DataFrame | None = None) -> DataFrame:
+    """``points`` with ``cover``, the largest sequence number of the ``tombstones`` (of :func:`distinct_tombstones`) over (cf, key).
+
+    With ``log`` the points are the distinct keys of that log, a row each, and other columns of theirs.
+    """
     some = tombstones.limit(few + 1).collect()
     kind = tombstones.schema["s"].dataType
     if len(some) <= few:
@@ -120,12 +134,17 @@ def cover(points: DataFrame, tombstones: DataFrame, few: int = FEW) -> DataFrame
         local = points.sparkSession.createDataFrame(rows, schema)
         same = (F.col("cf") == F.col("__cf")) & (bucket_of(F.col("key"), bounds) == F.col("__part"))
         return points.join(F.broadcast(local), same & (F.col("key") >= F.col("__s")) & (F.col("key") < F.col("__e")), "left").drop("__cf", "__part", "__s", "__e")
-    bounds = sampled_bounds(tombstones, tombstones.count())
+    known = tombstones.agg(F.count("*").alias("many"), F.collect_set("cf").alias("cfs"), F.min("s").alias("s"), F.max("e").alias("e")).first()
+    near = F.coalesce(F.col("cf").isin(*known.cfs) & (F.col("key") >= F.lit(known.s)) & (F.col("key") < F.lit(known.e)), F.lit(False))
+    bounds = sorted({*sampled_bounds(tombstones, known.many), *key_cuts((points if log is None else log).where(near))})
     sky = skyline_table(tombstones, bounds)
     edges = sky.select("cf", "bucket", F.col("s").alias("key"), F.struct("rseq", "e").alias("mark"), F.lit(0).alias("turn"))
-    keys = points.select("cf", "key").distinct().withColumn("bucket", bucket_of(F.col("key"), bounds))
-    both = edges.unionByName(keys.withColumns({"mark": F.lit(None).cast(edges.schema["mark"].dataType), "turn": F.lit(1)}))
+    keys = (points.select("cf", "key").distinct() if log is None else points).where(near).withColumn("bucket", bucket_of(F.col("key"), bounds))
+    both = edges.unionByName(keys.withColumns({"mark": F.lit(None).cast(edges.schema["mark"].dataType), "turn": F.lit(1)}), allowMissingColumns=True)
     order = W.Window.partitionBy("cf", "bucket").orderBy("key", "turn").rowsBetween(W.Window.unboundedPreceding, 0)
     carried = both.withColumn("mark", F.last("mark", ignorenulls=True).over(order)).where("turn = 1")
-    found = carried.where(F.col("mark.e") > F.col("key")).select("cf", "key", F.col("mark.rseq").alias("cover"))
-    return points.join(found, ["cf", "key"], "left")
+    reaches = F.col("mark.e") > F.col("key")
+    if log is None:
+        return points.join(carried.where(reaches).select("cf", "key", F.col("mark.rseq").alias("cover")), ["cf", "key"], "left")
+    beyond = points.where(~near).withColumn("cover", F.lit(None).cast("long"))
+    return carried.withColumn("cover", F.when(reaches, F.col("mark.rseq"))).select(*points.columns, "cover").unionByName(beyond)
