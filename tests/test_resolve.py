@@ -150,3 +150,15 @@ def test_keys_beyond_tombstones_are_no_bucket_of_theirs(spark, monkeypatch):
     kept = tombstones.cover(points.select("cf", "key", "seq"), tombstones.distinct_tombstones(log), few=5, log=points)
     assert {(r.cf, bytes(r.key), r.cover) for r in kept.collect()} == {(cf, b"%03d" % n, 2 * (n - n % 4) + 2 if cf == 1 and n % 4 < 2 else None) for cf in (1, 2) for n in range(400)}
     assert resolve(log, None, few=5).count() == 700
+
+
+@pytest.mark.parametrize("floor", [False, True])
+def test_many_seeks_go_one_way(spark, floor):
+    """Targets where no keys are, keys equal to targets, and no frame that reaches the end of a part: that is evaluated anew for each row."""
+    from tidelog.operators.reads import seek_many
+
+    keys, targets = [f"{n:05d}" for n in range(0, 900, 3)], [f"{n:05d}" for n in range(0, 3000, 7)]
+    found = seek_many(spark.createDataFrame([(k,) for k in keys], "key string"), spark.createDataFrame([(t,) for t in [*targets, *targets[:5]]], "target string"), floor, few=5)
+    want = {(t, max((k for k in keys if k <= t), default=None) if floor else min((k for k in keys if k >= t), default=None)) for t in targets}
+    assert len(rows := found.collect()) == len(want) and {tuple(r) for r in rows} == want
+    assert "RangeFrame" not in found._jdf.queryExecution().optimizedPlan().toString()

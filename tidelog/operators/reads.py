@@ -96,7 +96,7 @@ def last(state: DataFrame) -> DataFrame:
 
 
 def key_bounds(keys: DataFrame) -> list:
-    """Keys that cut ``keys`` (key) into about as many equal ranges as there are shuffle partitions, from a bounded sample by hash."""
+    """Keys that cut distinct ``keys`` (key) into about as many equal ranges as there are shuffle partitions, from a bounded sample by hash."""
     parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sample = sorted({r.key for r in keys.select("key", F.xxhash64("key").alias("h")).orderBy("h").limit(20 * parts).collect()})
     return [sample[len(sample) * i // parts] for i in range(1, parts)] if len(sample) >= 10 * parts else []
@@ -112,17 +112,18 @@ def seek_many(state: DataFrame, targets: DataFrame, floor: bool = False, few: in
     some = [r.target for r in targets.select("target").limit(few + 1).collect()]
     if len(some) <= few:
         return _seek_few(state, targets, sorted({t for t in some if t is not None}), floor)
-    keys = state.select("key")
-    bounds = key_bounds(keys)
+    keys, asked = state.select("key"), targets.select("target").distinct()
+    # targets may lie where there are few keys, so both are cut
+    bounds = sorted({*key_bounds(keys), *key_bounds(asked.where("target is not null").select(F.col("target").alias("key")))})
     kind = state.schema["key"].dataType
     both = keys.select(F.col("key").alias("at"), F.col("key").alias("own"), F.lit(None).cast(kind).alias("target")).unionByName(
-        targets.distinct().select(F.col("target").alias("at"), F.lit(None).cast(kind).alias("own"), "target")
+        asked.select(F.col("target").alias("at"), F.lit(None).cast(kind).alias("own"), "target")
     )
     ranged = both.withColumn("part", bucket_of(F.col("at"), bounds))
     pick, side = (F.last, F.max) if floor else (F.first, F.min)
-    order = W.Window.partitionBy("part").orderBy("at")
-    frame = order.rangeBetween(W.Window.unboundedPreceding, 0) if floor else order.rangeBetween(0, W.Window.unboundedFollowing)
-    near = ranged.withColumn("near", pick("own", ignorenulls=True).over(frame))
+    # either way from the start of an order to the row: a frame to the end is evaluated anew for each row. A key equal to a target comes before it
+    order = W.Window.partitionBy("part").orderBy(F.col("at") if floor else F.desc("at"), F.col("own").isNull())
+    near = ranged.withColumn("near", F.last("own", ignorenulls=True).over(order.rowsBetween(W.Window.unboundedPreceding, 0)))
     beyond = W.Window.orderBy("part")  # one row per range of keys
     beyond = beyond.rowsBetween(W.Window.unboundedPreceding, -1) if floor else beyond.rowsBetween(1, W.Window.unboundedFollowing)
     ends = ranged.groupBy("part").agg(side("own").alias("end_key")).withColumn("other", pick("end_key", ignorenulls=True).over(beyond))
