@@ -319,6 +319,49 @@ def test_tailing_cursor_follows_random_histories(spark, tmp_path):
     assert db.outstanding_snapshots() == 0
 
 
+def test_a_drain_is_one_pass(spark, tmp_path, monkeypatch):
+    """Not a state a page: the list and the table hold the same, from the middle of a view and from a new one."""
+    from tidelog.sources.database import Cursor
+
+    monkeypatch.setattr(Cursor, "PAGE", 2)
+    db = opened(spark, tmp_path)
+    names = [b"k%d" % n for n in range(7)]
+    db.write_group([db.batch().put(k, k) for k in names])
+    one, two, states, state = db.tailing_cursor(), db.tailing_cursor(), [], db.state
+    one.seek_to_first(), two.seek_to_first()
+    one.next(), two.next()
+    monkeypatch.setattr(db, "state", lambda *args: states.append(1) or state(*args))
+    assert one.drain() == [(k, k) for k in names[1:]] and len(states) == 1 and not one.valid()
+    assert sorted((bytes(r.key), bytes(r.value)) for r in two.drain_to(f"file://{tmp_path}/a").collect()) == [(k, k) for k in names[1:]]
+    db.write(db.batch().put(b"a", b"1").put(b"l", b"1").delete(b"k6"))
+    assert one.drain() == [(b"l", b"1")] and [bytes(r.key) for r in two.drain_to(f"file://{tmp_path}/b").collect()] == [b"l"]
+    assert two.drain_to(f"file://{tmp_path}/c").isEmpty() and one.drain() == [] and len(states) == 6
+    one.close(), two.close()
+    assert db.outstanding_snapshots() == 0
+
+
+def test_a_stream_of_a_table_has_the_same_chunks(spark, tmp_path):
+    """One commit, however many chunks; what was buffered goes before, and the tail is buffered."""
+    one, many = Database.open(spark, f"file://{tmp_path}/one"), Database.open(spark, f"file://{tmp_path}/many")
+    draw = random.Random(3)
+    ops = [(n * 3, b"%04d" % n, *(("delete", None) if n % 5 == 0 else ("put", draw.randbytes(draw.randrange(9))))) for n in range(60)]
+    writers = one.streaming_writer(30), many.streaming_writer(30)
+    for w in writers:
+        w.put(b"a", b"first")
+    for _, key, op, value in ops:
+        writers[0].put(key, value) if op == "put" else writers[0].delete(key)
+    rows = spark.createDataFrame(ops[::-1], "pos long, key binary, op string, value binary")
+    assert writers[1].write_all(rows) == writers[0].last and writers[1].batch.ops == writers[0].batch.ops
+    assert writers[1].finish() == writers[0].finish() and len(many.manifest.segments) <= 2 < len(one.manifest.segments)
+    columns = ["key", "seq", "op", "value", "batch_id", "batch_pos"]
+    logs = [sorted(map(tuple, db.log().select(*columns).collect()), key=lambda r: r[1]) for db in (one, many)]
+    assert logs[0] == logs[1] and one.manifest.next_batch == many.manifest.next_batch
+    with pytest.raises(InvalidArgument):
+        writers[1].write_all(rows.unionByName(rows))
+    with pytest.raises(InvalidArgument):
+        writers[1].write_all(rows.withColumn("op", F.lit("merge")))
+
+
 def test_custom_merges_fold_in_compaction(spark, tmp_path):
     def full(key, base, operands):
         return None if b"bad" in operands else (base or b"") + b"+".join(operands)

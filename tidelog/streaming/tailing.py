@@ -43,12 +43,15 @@ class TailingCursor:
     def __init__(self, db: Database, cf: int):
         self.db, self.cf, self.last, self.inner = db, cf, None, None
 
-    def _place(self, start: bytes | None) -> None:
+    def _open(self) -> None:
         if self.inner:
             self.inner.close()
         if self.db.options.read_only:
             self.db.refresh()
         self.inner = Cursor(self.db, self.db._cf(self.cf))
+
+    def _place(self, start: bytes | None) -> None:
+        self._open()
         self.inner._place(self.inner._rows(start), True)
 
     def seek(self, target: bytes) -> None:
@@ -84,17 +87,31 @@ class TailingCursor:
         if self.inner:
             self.inner.close()
 
+    def _rest(self) -> DataFrame:
+        """What there is to return now, in one pass and no order: the rest of the view, or, where that has ended, all of a new one past the last key."""
+        start = self.inner.key() if self.valid() else None if self.last is None else self.last + b"\x00"
+        if not self.valid():
+            self._open()
+        return self.inner._rows(start).select("key", "value", "seq")
+
+    def _left(self, top: bytes | None) -> None:
+        """All of the view is returned; ``top`` is the last key of it."""
+        self.last = self.last if top is None else bytes(top)
+        self.inner.positioned, self.inner.entry, self.inner.ahead, self.inner.full = True, None, [], False
+
     def drain(self) -> list[tuple[bytes, bytes]]:
         """What there is to return now."""
-        out = []
-        if not self.valid():
-            self.refresh()
-        while self.valid():
-            out.append((self.inner.key(), self.inner.value()))
-            self.last = self.inner.key()
-            self.inner.next()
+        out = [(bytes(r.key), bytes(r.value)) for r in self._rest().orderBy("key").collect()]
+        self._left(out[-1][0] if out else None)
         return out
 
+    def drain_to(self, path: str) -> DataFrame:
+        """The same as a table (key, value, seq) in a new folder, of which only the last key comes to the driver."""
+        self._rest().write.parquet(path)
+        shown = self.db.spark.read.schema("key binary, value binary, seq long").parquet(path)
+        self._left(shown.agg(F.max("key")).first()[0])
+        return shown
+
 
 class Tail:
     """A stream over a database's commits that appends, batch by batch, the values past its cursor to a Parquet folder.
