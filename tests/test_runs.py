@@ -319,6 +319,26 @@ def test_tailing_cursor_follows_random_histories(spark, tmp_path):
     assert db.outstanding_snapshots() == 0
 
 
+def test_runs_are_cut_by_what_is_written(spark, tmp_path):
+    """Not by what is read: old versions and footers of small files make no more runs. And of many runs, all keys get to theirs."""
+    db = opened(spark, tmp_path, target_file_size=4000)
+    for n in range(5):
+        db.write_group([db.batch().put(b"%03d" % k, b"%d" % n) for k in range(100)])
+    for _ in range(2):
+        db.compact_range()
+        assert len(db.manifest.segments) <= 3 and len(db.files.names(f"{db.path}/data")) <= 8
+    db.options = Options(target_file_size=100)
+    key = F.format_string("%04d", F.col("id")).cast("binary")
+    db.replay(spark.range(1500).select(key.alias("key"), (F.col("id") + 1).alias("seq"), F.lit("put").alias("op"), F.lit(b"v").alias("value")))
+    view = db.snapshot()
+    db.delete_range(b"0700", b"0710")
+    db.compact_range()
+    own = sorted(db.manifest.segments, key=lambda s: s.smallest_key)
+    assert len(own) > 257 and all(a.limit <= b.smallest_key for a, b in zip(own, own[1:], strict=False))
+    assert len(db.scan()) == 1589 and len(view.scan()) == 1600  # 071 lies in the range, too
+    view.release()
+
+
 def test_a_drain_is_one_pass(spark, tmp_path, monkeypatch):
     """Not a state a page: the list and the table hold the same, from the middle of a view and from a new one."""
     from tidelog.sources.database import Cursor
@@ -362,6 +382,39 @@ def test_a_stream_of_a_table_has_the_same_chunks(spark, tmp_path):
         writers[1].write_all(rows.withColumn("op", F.lit("merge")))
 
 
+def test_custom_merges_are_streamed(spark, monkeypatch):
+    """Keys of a task one after another, not a table each; results leave in parts."""
+    from tidelog.plans import resolve
+
+    monkeypatch.setattr(resolve, "OUT_BYTES", 200, raising=False)
+    log = spark.range(400).select(F.lit(1).alias("cf"), (F.col("id") % 40).cast("string").cast("binary").alias("key"), (F.col("id") + 1).alias("seq"), F.lit("merge").alias("op"), F.col("id").cast("string").cast("binary").alias("value"), F.lit(None).cast("binary").alias("end_key"))
+    state = resolve.resolve(log, None, CustomMerge("bar", lambda k, base, operands: b"|".join(operands)))
+    assert "FlatMapGroupsInPandas" not in state._jdf.queryExecution().executedPlan().toString()
+    assert {bytes(r.key): bytes(r.value) for r in state.collect()} == {b"%d" % k: b"|".join(b"%d" % n for n in range(k, 400, 40)) for k in range(40)}
+
+
+def test_a_split_join_splits_no_key(spark):
+    """A join whose hot keys the planner splits leaves a key in many tasks; the fold deals it anew."""
+    from tidelog.plans import resolve
+    from tidelog.session import tuned
+
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0"}
+    before = {name: spark.conf.get(name) for name in own}
+    session = tuned(spark)
+    try:
+        for name, value in own.items():
+            session.conf.set(name, value)
+        key = F.when(F.col("id") % 50 == 0, F.col("id").cast("string")).otherwise("hot")
+        log = spark.range(0, 40000, 1, 8).select(F.lit(1).alias("cf"), key.cast("binary").alias("key"), (F.col("id") + 1).alias("seq"), F.lit("merge").alias("op"), F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("value"), F.lit(None).cast("binary").alias("end_key"))
+        state = resolve.resolve(log, None, CustomMerge("n", lambda k, base, operands: b"%d" % len(operands)))
+        assert "REPARTITION_BY_COL" in state._jdf.queryExecution().executedPlan().toString()  # the planner drops one by the join's keys
+        rows = state.collect()
+    finally:
+        for name, value in before.items():
+            session.conf.set(name, value)
+    assert len(rows) == 801 and {bytes(r.key): bytes(r.value) for r in rows}[b"hot"] == b"39200"
+
+
 def test_custom_merges_fold_in_compaction(spark, tmp_path):
     def full(key, base, operands):
         return None if b"bad" in operands else (base or b"") + b"+".join(operands)

@@ -136,7 +136,8 @@ def by_key(kept: DataFrame, fold: Callable[[object, list[tuple]], list[tuple]])
     """
     more = kept.columns[5:]
     schema = T.StructType([*kept.schema.fields])
-    dealt = kept.repartition("cf", "key").sortWithinPartitions("cf", "key", "seq")
+    # by a hash of its own: dealing by the keys that a join has dealt by is left out of a plan, and such a join may split a hot key
+    dealt = kept.repartition(F.xxhash64("cf", "key")).sortWithinPartitions("cf", "key", "seq")
 
     def run(batches):
         types, at, rows, out, size = None, None, [], [], 0
